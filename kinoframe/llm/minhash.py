@@ -133,8 +133,7 @@ def _sets(k: int):
     def sets(part):
         found = shingle_sets(part.column("text"), k)
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int64)
-        ids = part.column("doc_id").to_numpy()
-        return np.concatenate([*found, np.zeros(0, np.uint64)]), offsets, (ids, np.zeros(len(ids), np.int64))
+        return np.concatenate([*found, np.zeros(0, np.uint64)]), offsets, (part.column("doc_id").to_numpy(), part.column("component").to_numpy())
 
     return sets
 
@@ -188,11 +187,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     x = named.join(mixed, "key", "left_semi")
     open_ids = x.select("id").distinct()
-    open_texts = durable(source.join(open_ids, source["doc_id"] == open_ids["id"], "left_semi").dropDuplicates(["doc_id"]), "open-texts")
-    pairs = candidates(open_texts, _sets(shingle), percent).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
-    la, lb = (labels.select(F.col("id").alias(f"i{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    pairs = pairs.join(la, F.col("a") == F.col("ia"), "left").join(lb, F.col("b") == F.col("ib"), "left")
-    rest = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    open_texts = source.join(open_ids, source["doc_id"] == open_ids["id"], "left_semi").dropDuplicates(["doc_id"]).join(labels, F.col("doc_id") == labels["id"], "left")
+    open_texts = durable(open_texts.select("doc_id", "text", F.coalesce("component", "doc_id").alias("component")), "open-texts")
+    rest = candidates(open_texts, _sets(shingle), percent, apart=True).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
     more = confirmed(rest)
     if more.head(1):
         labels = components(links.union(more))

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality
+from . import exact_dedup, minhash, mixing, packing, quality, substring
 
 try:
     import public_tokenizers
@@ -40,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_verdicts(documents(spark, sf_dir))
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance")
@@ -47,7 +51,7 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op8_quality_divergence)
+    f.__name__: f for f in (op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op7_substring_index, op8_quality_divergence)
 }
 
 ORACLES: dict[str, str] = {
@@ -71,6 +75,20 @@ reach AS (
 ), least AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+""",
+    "op7_substring_index": r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+    SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS seq FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words)
+), firsts AS (SELECT seq, min(doc_id) AS first FROM windows GROUP BY seq HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, s FROM windows JOIN firsts USING (seq) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hits),
+kept AS (
+    SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (doc_id, i)
+), joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN joined USING (doc_id)
 """,
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

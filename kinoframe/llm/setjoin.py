@@ -76,9 +76,11 @@ def _prefixes(sets: Sets, counts, percent: int):
     return run
 
 
-def candidates(units: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def candidates(units: DataFrame, sets: Sets, percent: int, apart: bool = False) -> DataFrame:
     """Pairs (a1, a2, b1, b2) of keys, a before b, that the filters leave; equal keys count as one set.
 
+    With apart, the second key names a class, and only sets of different classes pair.
+
     The rows of a token that many sets share meet in its join alone, which splits when skewed.
     """
     counts = units.sparkSession.sparkContext.broadcast(rarity(units, sets))
@@ -89,5 +91,7 @@ def candidates(units: DataFrame, sets: Sets, percent: int) -> DataFrame:
     fits = (100 + percent) * room >= percent * (F.col("n_x") + F.col("n_y"))
     long_enough = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
     first = (F.col("k1_x") < F.col("k1_y")) | ((F.col("k1_x") == F.col("k1_y")) & (F.col("k2_x") < F.col("k2_y")))
+    if apart:
+        first = (F.col("k1_x") < F.col("k1_y")) & (F.col("k2_x") != F.col("k2_y"))
     pairs = x.join(y, "token").where(first & long_enough & fits)
     return pairs.select(F.col("k1_x").alias("a1"), F.col("k2_x").alias("a2"), F.col("k1_y").alias("b1"), F.col("k2_y").alias("b2")).distinct()
