@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality, substring
+from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, substring, toxicity
 
 try:
     import public_tokenizers
@@ -24,6 +24,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).drop("text")
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), WORD_BPE)
 
@@ -50,11 +54,41 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), PIECE_BPE)
+
+
+def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op7_substring_index, op8_quality_divergence)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH lines AS (
+    SELECT doc_id, i, l[i] AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w
+    FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
+), sets AS (SELECT w, min((doc_id, i)) AS first, len(w) AS n FROM lines WHERE len(w) >= 5 GROUP BY w),
+numbered AS (SELECT *, row_number() OVER (ORDER BY first) AS u FROM sets),
+tokens AS (SELECT u, n, unnest(w) AS t FROM numbered),
+links AS (
+    SELECT a.u AS a, b.u AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.u < b.u AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.u, b.u HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))
+), both_ways AS (SELECT a AS u, b AS o FROM links UNION ALL SELECT b, a FROM links),
+near AS (SELECT x.u, count(*) AS links, min(o.first) AS earliest FROM both_ways x JOIN numbered o ON o.u = x.o GROUP BY x.u),
+told AS (
+    SELECT l.doc_id, l.i, l.line, coalesce(links, 0) AS links, n.u IS NOT NULL AND ((l.doc_id, l.i) > n.first OR coalesce(earliest < (l.doc_id, l.i), false)) AS gone
+    FROM lines l LEFT JOIN numbered n ON n.w = l.w LEFT JOIN near USING (u)
+), per AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links)::BIGINT AS n_links, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t
+    FROM told GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN per USING (doc_id)
+""",
     "op3_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
