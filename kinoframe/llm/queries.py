@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, substring, toxicity
+from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, substring, toxicity
 
 try:
     import public_tokenizers
@@ -44,6 +44,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents(spark, sf_dir)
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    known = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "role", "text")
+    return chat.parse_transcripts(chat.transcript_passages(conversations), chat.fit(known)).select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "part", "role", "continues", "rendered")
+
+
 def op7_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_verdicts(documents(spark, sf_dir))
 
@@ -63,7 +70,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
 }
 
 ORACLES: dict[str, str] = {
