@@ -14,15 +14,13 @@ share a doc_id are taken as one text in a row; their verdicts are the same.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, hash128, mix, slices
-from .setjoin import candidates
+from .common import Words, distinct, durable, hash128, mix, slices
+from .setjoin import bucket_counts, candidates
 
 PERCENT, MIN_WORDS = 80, 5
 
@@ -37,7 +35,7 @@ class LineSets:
         flat = [y for x in self.lines for y in x]
         w = Words(pa.array(flat, pa.string()))
         size = max(1, len(w.distinct))
-        pair = np.unique(w.row * size + w.codes)
+        pair = distinct(w.row * size + w.codes)
         self.of, code = pair // size, pair % size
         h = hash128(w.distinct)[code] if len(code) else np.zeros((0, 2), np.uint64)
         self.tokens = h[:, 0]
@@ -49,15 +47,35 @@ class LineSets:
             self.keys.append(mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]], 31 + k).view(np.int64))
 
 
+SURVEY = "doc_id long, n_lines long, k1 long, k2 long, place int, bucket int, n int"
+
+
 def _survey(batches):
-    """Of each document: its number of lines, and the keys of the first line of each set with enough words."""
+    """Three kinds of rows: documents with their number of lines; lines with enough words and the keys of
+    their sets; counters of the words of those lines."""
     for batch in batches:
         for part in slices(batch):
             s = LineSets(part.column("text"))
-            for_doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-            use = np.flatnonzero(s.n >= MIN_WORDS)
-            docs = pa.array(for_doc).take(pa.array(s.row[use]))
-            yield pa.RecordBatch.from_arrays([docs, pa.array(s.keys[0][use]), pa.array(s.keys[1][use]), pa.array(s.place[use].astype(np.int32))], names=["doc_id", "k1", "k2", "place"])
+            docs = part.column("doc_id")
+            use = s.n >= MIN_WORDS
+            bucket, n = bucket_counts(s.tokens[use[s.of]])
+            use = np.flatnonzero(use)
+            empty = [x is None for x in part.column("text").to_pylist()]
+            lines = pa.array([0 if e else len(x) for e, x in zip(empty, s.lines, strict=True)], pa.int64())
+            none = lambda k, t: pa.nulls(k, t)
+            d, u, c = len(docs), len(use), len(bucket)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([docs, docs.take(pa.array(s.row[use])), none(c, pa.int64())]),
+                    pa.concat_arrays([lines, none(u + c, pa.int64())]),
+                    pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[0][use]), none(c, pa.int64())]),
+                    pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[1][use]), none(c, pa.int64())]),
+                    pa.concat_arrays([none(d, pa.int32()), pa.array(s.place[use].astype(np.int32)), none(c, pa.int32())]),
+                    pa.concat_arrays([none(d + u, pa.int32()), pa.array(bucket)]),
+                    pa.concat_arrays([none(d + u, pa.int32()), pa.array(n)]),
+                ],
+                names=[x.split()[0] for x in SURVEY.split(", ")],
+            )
 
 
 def _unit_sets(part: pa.RecordBatch):
@@ -96,48 +114,45 @@ _SPACES = dict.fromkeys(range(9, 14), " ")
 def _cut(batches):
     for batch in batches:
         for part in slices(batch):
-            rows = []
-            for x, gone, links in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), part.column("n_links").to_pylist(), strict=True):
-                lines, drop = [] if x is None else x.split("\n"), set(gone or ())
-                kept = [line for i, line in enumerate(lines) if i not in drop]
-                rows.append((len(lines), len(lines) - len(kept), links or 0, "\n".join(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-            c = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(c[i], pa.int64()) for i in range(3)), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())],
-                names=["doc_id", "n_lines", "n_removed", "n_links", "text", "kept_sha256"],
-            )
+            out = []
+            for x, gone in zip(part.column("text").to_pylist(), part.column("removed").to_pylist(), strict=True):
+                drop = set(gone or ())
+                out.append(None if x is None else "\n".join(line for i, line in enumerate(x.split("\n")) if i not in drop))
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["removed"])
 
 
-def similar_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From (doc_id, text): places (doc_id, k1, k2, place) of all lines, units with their first line, links of units."""
-    places = durable(docs.where("doc_id is not null").mapInArrow(_survey, "doc_id long, k1 long, k2 long, place int"), "lines")
-    first = places.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"))
-    least = places.groupBy("k1", "k2", "doc_id").agg(F.min("place").alias("place"))
-    key = lambda a, b: (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
-    units = least.join(first, key(least, first) & (least["doc_id"] == first["first_doc"])).select(least["k1"], least["k2"], "first_doc", F.col("place").alias("first_place"))
-    units = durable(units, "units")
-    pairs = durable(candidates(docs.where("doc_id is not null"), _unit_sets, PERCENT), "line-pairs")
-    ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
-    wanted = units.join(ends, ["k1", "k2"]).groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", F.col("first_place").alias("place"))).alias("wanted"))
-    lines = durable(docs.join(wanted, "doc_id").mapInArrow(_wanted, "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"]), "line-texts")
-    a = lines.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("line").alias("line_a"))
-    b = lines.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("line").alias("line_b"))
-    links = durable(pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).mapInArrow(_similar, "a1 long, a2 long, b1 long, b2 long"), "line-links")
-    return places, units, links
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, n_links (links of its lines' sets), removed (places from 0)."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    survey = durable(source.mapInArrow(_survey, SURVEY), "survey")
+    places = survey.where("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2", "place")
+    key = ["k1", "k2"]
+    first = places.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    least = places.groupBy(*key, "doc_id").agg(F.min("place").alias("first_place"))
+    units = durable(least.join(first, [*key, "doc_id"]).withColumnRenamed("doc_id", "first_doc"), "units")
+
+    pairs = durable(candidates(source.where("doc_id is not null"), _unit_sets, PERCENT, counted=survey.where("bucket is not null").select("bucket", "n")), "line-pairs")
+    ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    wanted = units.join(ends, "k1").groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(*key, F.col("first_place").alias("place"))).alias("wanted"))
+    lines = durable(source.join(wanted, "doc_id").mapInArrow(_wanted, "k1 long, k2 long, line string").dropDuplicates(key), "line-texts")
+    a, b = (lines.select(F.col("k1").alias(s), F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"line_{s}")) for s in "ab")
+    links = durable(pairs.join(a, "a").join(b, "b").drop("a", "b").mapInArrow(_similar, "a1 long, a2 long, b1 long, b2 long"), "line-links")
+
+    both = links.union(links.select("b1", "b2", "a1", "a2")).toDF(*key, "o1", "o2")
+    other = units.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.struct("first_doc", "first_place").alias("other"))
+    near = both.join(other, ["o1", "o2"]).groupBy(*key).agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
+    # only sets that are repeated or linked decide anything: most lines drop out here
+    known = units.join(near, key, "left").where("copies > 1 or links > 0").select(*key, F.struct("first_doc", "first_place").alias("first"), "earliest", F.coalesce("links", F.lit(0)).alias("links"))
+    here = F.struct(F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
+    told = places.join(known, key).select("doc_id", "place", "links", ((here > F.col("first")) | F.coalesce(F.col("earliest") < here, F.lit(False))).alias("gone"))
+    per = told.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("place")))).alias("removed"), F.sum("links").alias("n_links"))
+    out = survey.where("n_lines is not null").select("doc_id", "n_lines").join(per, "doc_id", "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), removed.alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, n_links (links of its lines' sets), text (what stays), kept_sha256."""
+    """One row per document: doc_id and the text that stays."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places, units, links = similar_lines(source)
-    both = links.union(links.select("b1", "b2", "a1", "a2")).toDF("k1", "k2", "o1", "o2")
-    other = units.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.struct("first_doc", "first_place").alias("other"))
-    near = both.join(other, ["o1", "o2"]).groupBy("k1", "k2").agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
-    known = durable(units.join(near, ["k1", "k2"], "left").select("k1", "k2", F.struct("first_doc", "first_place").alias("first"), "earliest", F.coalesce("links", F.lit(0)).alias("links")), "known")
-    # only sets that are repeated or linked decide anything: most lines need no join
-    counts = places.groupBy("k1", "k2").count()
-    known = known.join(counts, ["k1", "k2"]).where("count > 1 or links > 0").drop("count")
-    here = F.struct(F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
-    told = places.join(known, ["k1", "k2"]).select("doc_id", "place", "links", ((here > F.col("first")) | F.coalesce(F.col("earliest") < here, F.lit(False))).alias("gone"))
-    per = told.groupBy("doc_id").agg(F.collect_set(F.when(F.col("gone"), F.col("place"))).alias("gone"), F.sum("links").alias("n_links"))
-    return source.join(per, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, n_links long, text string, kept_sha256 string")
+    gone = line_verdicts(source).where("n_removed > 0").select("doc_id", "removed").dropDuplicates(["doc_id"])
+    return source.join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id long, text string")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, mix, release, slices
+from .common import Words, distinct, durable, mix, release, slices
 from .setjoin import candidates
 
 ROWS, MISS = 5, 1e-6
@@ -49,7 +49,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     out = []
     for a, b in zip(words.offsets, words.offsets[1:], strict=False):
         if b - a >= k:
-            out.append(np.unique(grams[a : b - k + 1]))
+            out.append(distinct(grams[a : b - k + 1]))
         elif b > a:
             short = np.uint64(int(b - a) * 1_000_003)
             for x in h[a:b]:
@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     open_ids = x.select("id").distinct()
     open_texts = source.join(open_ids, source["doc_id"] == open_ids["id"], "left_semi").dropDuplicates(["doc_id"]).join(labels, F.col("doc_id") == labels["id"], "left")
     open_texts = durable(open_texts.select("doc_id", "text", F.coalesce("component", "doc_id").alias("component")), "open-texts")
-    rest = candidates(open_texts, _sets(shingle), percent, apart=True).select(F.col("a1").alias("a"), F.col("b1").alias("b"))
+    rest = candidates(open_texts, _sets(shingle), percent, classes=True)
     more = confirmed(rest)
     if more.head(1):
         labels = components(links.union(more))

@@ -25,7 +25,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).drop("text")
+    return line_dedup.line_verdicts(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +90,10 @@ told AS (
     SELECT l.doc_id, l.i, l.line, coalesce(links, 0) AS links, n.u IS NOT NULL AND ((l.doc_id, l.i) > n.first OR coalesce(earliest < (l.doc_id, l.i), false)) AS gone
     FROM lines l LEFT JOIN numbered n ON n.w = l.w LEFT JOIN near USING (u)
 ), per AS (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links)::BIGINT AS n_links, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS t
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links)::BIGINT AS n_links, coalesce(string_agg((i - 1)::VARCHAR, ',' ORDER BY i) FILTER (gone), '') AS t
     FROM told GROUP BY doc_id
 )
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, sha256(coalesce(t, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_links, 0) AS n_links, coalesce(t, '') AS removed
 FROM documents d LEFT JOIN per USING (doc_id)
 """,
     "op3_minhash_near_dedup": r"""

@@ -25,13 +25,18 @@ _MASK = np.uint64(COUNTERS - 1)
 Sets = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]
 
 
+def bucket_counts(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counters that tokens hash to, and how often."""
+    x = np.sort((flat & _MASK).astype(np.int32))
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[first], np.diff(np.append(first, len(x))).astype(np.int32)
+
+
 def _counts(sets: Sets):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                flat, _, _ = sets(part)
-                bucket, n = np.unique((flat & _MASK).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int32))], names=["bucket", "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, bucket_counts(sets(part)[0]))], names=["bucket", "n"])
 
     return run
 
@@ -43,9 +48,9 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([int(at[0]) // BLOCK], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
 
 
-def rarity(units: DataFrame, sets: Sets) -> np.ndarray:
-    """Saturated counts of all tokens: 4 MB, whatever the input."""
-    summed = units.mapInArrow(_counts(sets), "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+def rarity(counted: DataFrame) -> np.ndarray:
+    """Saturated counts of all tokens from rows (bucket, n): 4 MB, whatever the input."""
+    summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
     blocks = summed.groupBy(F.floor(F.col("bucket") / BLOCK).alias("b")).applyInArrow(_block, "block int, counts binary").collect()
     out = np.zeros(COUNTERS, np.uint8)
     for row in blocks:
@@ -57,41 +62,47 @@ def _prefixes(sets: Sets, counts, percent: int):
     def run(batches):
         table = counts.value
         for batch in batches:
+            seen: set[tuple[int, int]] = set()  # a batch gives the rows of a repeated set once
             for part in slices(batch):
                 flat, offsets, (k1, k2) = sets(part)
                 n = np.diff(offsets)
+                new = np.ones(len(n), bool)
+                for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                    new[i] = key not in seen
+                    seen.add(key)
                 row = np.repeat(np.arange(len(n)), n)
+                flat, row = flat[new[row]], row[new[row]]
                 rank = table[(flat & _MASK).astype(np.int64)]
                 order = np.lexsort((flat, rank, row))
                 flat, rank = flat[order], rank[order]
-                place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
+                here = np.where(new, n, 0)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(here) - here, here)
                 prefix = n - (percent * n + 99) // 100 + 1
                 use = (place < prefix[row]) & (rank > 1)  # a token counted once joins nothing
                 row = row[use]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[use].view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(n[row].astype(np.int32)), pa.array(place[use].astype(np.int32))],
-                    names=["token", "k1", "k2", "n", "place"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(flat[use].view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(n[row] << 32 | place[use])], names=["token", "k1", "k2", "at"])
 
     return run
 
 
-def candidates(units: DataFrame, sets: Sets, percent: int, apart: bool = False) -> DataFrame:
-    """Pairs (a1, a2, b1, b2) of keys, a before b, that the filters leave; equal keys count as one set.
-
-    With apart, the second key names a class, and only sets of different classes pair.
+def candidates(units: DataFrame, sets: Sets, percent: int, classes: bool = False, counted: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of first keys, a < b, that the filters leave; units with one first key count as one.
 
-    The rows of a token that many sets share meet in its join alone, which splits when skewed.
+    With classes, the second key names a class, and only sets of different classes pair.
+    counted: the tokens' (bucket, n), if they are at hand. Rows are dealt out by token once,
+    for both the removal of repeats and the join.
     """
-    counts = units.sparkSession.sparkContext.broadcast(rarity(units, sets))
-    rows = units.mapInArrow(_prefixes(sets, counts, percent), "token long, k1 long, k2 long, n int, place int").distinct()
-    x = rows.select("token", *(F.col(c).alias(c + "_x") for c in ("k1", "k2", "n", "place")))
-    y = rows.select("token", *(F.col(c).alias(c + "_y") for c in ("k1", "k2", "n", "place")))
-    room = 1 + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) - 1
-    fits = (100 + percent) * room >= percent * (F.col("n_x") + F.col("n_y"))
-    long_enough = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    first = (F.col("k1_x") < F.col("k1_y")) | ((F.col("k1_x") == F.col("k1_y")) & (F.col("k2_x") < F.col("k2_y")))
-    if apart:
-        first = (F.col("k1_x") < F.col("k1_y")) & (F.col("k2_x") != F.col("k2_y"))
-    pairs = x.join(y, "token").where(first & long_enough & fits)
-    return pairs.select(F.col("k1_x").alias("a1"), F.col("k2_x").alias("a2"), F.col("k1_y").alias("b1"), F.col("k2_y").alias("b2")).distinct()
+    counts = units.sparkSession.sparkContext.broadcast(rarity(units.mapInArrow(_counts(sets), "bucket int, n int") if counted is None else counted))
+    rows = units.mapInArrow(_prefixes(sets, counts, percent), "token long, k1 long, k2 long, at long")
+    columns = ["token", "k1", "at", *["k2"] * classes]
+    rows = rows.select(*columns).repartition("token").distinct()
+    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in columns[1:])) for s in "xy")
+    n_x, n_y = F.shiftright("at_x", 32), F.shiftright("at_y", 32)
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    room = F.least(n_x - place("at_x"), n_y - place("at_y"))
+    fits = (100 + percent) * room >= percent * (n_x + n_y)
+    long_enough = 100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)
+    first = F.col("k1_x") < F.col("k1_y")
+    if classes:
+        first &= F.col("k2_x") != F.col("k2_y")
+    return x.join(y, "token").where(first & long_enough & fits).select(F.col("k1_x").alias("a"), F.col("k1_y").alias("b")).distinct()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, mix, release, slices
+from .common import Words, distinct, durable, mix, release, slices
 
 WINDOW, GRAM = 50, 25
 BATCHES, MOST_RUNS = 3, 2
@@ -87,13 +87,12 @@ def _survey(batches):
     for batch in batches:
         for part in slices(batch):
             w = Windows(part.column("text"))
-            distinct = np.array(w.words.distinct.to_pylist(), dtype=object)
-            names, rows = distinct[w.words.codes], []
+            names, rows = np.array(w.words.distinct.to_pylist(), dtype=object)[w.words.codes], []
             for a, n, first, count in zip(w.words.offsets, w.words.counts, w.first, w.count, strict=False):
                 text = " ".join(names[a : a + n]).encode()
                 digest = hashlib.sha256(text)
                 s = np.frombuffer(digest.digest(), dtype="<i8")
-                rows.append((int(n), int(s[0]), int(s[1]), digest.hexdigest(), np.unique(w.anchor[first : first + count])))
+                rows.append((int(n), int(s[0]), int(s[1]), digest.hexdigest(), distinct(w.anchor[first : first + count])))
             c = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.list_(pa.int64()))],
