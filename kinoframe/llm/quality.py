@@ -35,6 +35,7 @@ References = dict[str, tuple[list[float], list[float]]]
 MIN_CLASS_CHARS, MIN_COMMON_WORDS = 250, 100
 #: (base, noise): a sample of n counts may be base + noise / sqrt(n) away, as a short text strays further.
 CLASS_LIMIT, COMMON_LIMIT = (0.10, 2.9), (0.15, 1.7)
+FIRST_SLACK = 1.6
 
 
 def repeated_words(words: str) -> Column:
@@ -126,7 +127,7 @@ def _shares(counts: str) -> Column:
     return F.expr(f"transform(array(aggregate({counts}, 0L, (a, x) -> a + x)), n -> transform({counts}, x -> x / n))[0]")
 
 
-def judge(counts: DataFrame, refs: References) -> DataFrame:
+def judge(counts: DataFrame, refs: References, slack: float = 1.0) -> DataFrame:
     """counts with class_distance and common_distance (null under their minimum lengths) and kept."""
     rows = {"class_distance": ("classes", 0, MIN_CLASS_CHARS, CLASS_LIMIT), "common_distance": ("common", 1, MIN_COMMON_WORDS, COMMON_LIMIT)}
     d, far = counts, F.lit(False)
@@ -134,7 +135,7 @@ def judge(counts: DataFrame, refs: References) -> DataFrame:
         n = F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
         all_distances = F.array(*(_distance(F.col("_shares"), ref[k]) for ref in refs.values())) if refs else F.array().cast("array<double>")
         d = d.withColumn("_shares", F.when(n >= least_n, _shares(column))).withColumn(name, F.array_min(all_distances)).drop("_shares")
-        far |= F.coalesce(F.col(name) > base + noise / F.sqrt(n), F.lit(False))
+        far |= F.coalesce(F.col(name) > slack * (base + noise / F.sqrt(n)), F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
@@ -142,7 +143,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, the base counts, base_failed, both distances and kept."""
     counts = durable(base_counts(docs, id_col, text_col, lang_col), "quality-counts")
     first = references(counts.where(~F.col("base_failed")))
-    refs = references(judge(counts, first).where("kept"))
+    # junk pulls the first references its way, so the first judgement is a lenient one
+    refs = first | references(judge(counts, first, FIRST_SLACK).where("kept"))
     return judge(counts, refs).drop("lang", "classes", "common")
 
 

@@ -1,0 +1,36 @@
+"""Rows of a query and of its DuckDB equivalent, in one comparable form."""
+
+import math
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+DATA = "/root/testdata/sf0.001"
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+    return tuple(map(plain, v)) if isinstance(v, list | tuple) else v
+
+
+def key(row):
+    return [(v is None, str(v)) for v in row]
+
+
+def spark_rows(df):
+    columns = sorted(df.columns)
+    return columns, sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=key)
+
+
+def duck_rows(sql, tables=None):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    for name, frame in (tables or {}).items():
+        con.execute(f"DROP VIEW IF EXISTS {name}")
+        con.register(name, frame)
+    got = con.execute(sql)
+    names = [d[0] for d in got.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[i] for i in order], sorted((tuple(plain(r[i]) for i in order) for r in got.fetchall()), key=key)
