@@ -103,8 +103,8 @@ def test_mix_meets_targets(docs, rows, empty):
     target = mixing.targets_of(sizes)
     assert abs(sum(target.values()) - min(1.5, 2) * sum(sizes.values())) < 1e-6 and all(target[s] <= 2 * sizes[s] for s in sizes)
     assert (got["taken"] <= 2 * got["size"]).all() and len(got) == len(rows)
-    for s, part in got.groupby(got["source"].fillna("\0")):
-        name = None if s == "\0" else s
+    for s, part in got.groupby(got["source"].fillna("~null")):
+        name = None if s == "~null" else s
         assert abs(part["target"].iloc[0] - target[name]) < 1e-6
         assert abs(part["taken"].sum() - target[name]) <= part["size"].max()
     assert mixing.mix(docs).toPandas().sort_values("doc_id").equals(mixing.mix(docs).toPandas().sort_values("doc_id"))
