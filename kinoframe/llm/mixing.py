@@ -28,6 +28,8 @@ from .common import WORD, durable, release
 WEIGHTS, BUDGET, MAX_RATE = (5, 2, 1), 1.5, 2.0
 NEWTON_STEPS, BINS, ROUNDS = 40, 1024, 3
 TOLERANCE = 1e-6
+#: Parts that the rows of one source are dealt to when they meet its row.
+SPREAD = 64
 
 
 def targets_of(sizes: dict[str | None, int], budget: float = BUDGET) -> dict[str | None, float]:
@@ -77,6 +79,13 @@ def solve_dual(hist: DataFrame, state: DataFrame) -> DataFrame:
     return state.drop("low", "high", "step")
 
 
+def _meet_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (doc_id, source, ...) with the one row of table (_s, ...) for each source, null if none; a hot source is spread."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SPREAD)).cast("int"))
+    table = table.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.join(table, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_part", "_p", "_s")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
     sized = docs.select(
@@ -92,13 +101,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     state = solve_dual(hist.where("size > 0"), spark.createDataFrame([(r["source"], r["source_size"], r["scale"] or 1.0, float(target[r["source"]])) for r in rows], schema))
     state = state.withColumnRenamed("source", "_s")
     at = F.when(F.col("target") >= MAX_RATE * F.col("source_size"), F.lit(MAX_RATE)).otherwise(_rate(F.col("lam"), F.col("size") / F.col("scale")))
-    rated = sized.join(state, sized["source"].eqNullSafe(state["_s"])).withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(at)).drop("_s", "lam", "scale")
+    rated = _meet_source(sized, state).withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(at)).drop("lam", "scale")
     base, part = F.floor("rate"), F.col("rate") - F.floor("rate")
     u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size"), F.lit(1 << 40)) / float(1 << 40)
     # a document gains its extra copy once the shift of its source reaches `flip`
     rated = rated.withColumns({"base": base.cast("long"), "flip": F.when(part > 0, 1 - part - u)})
     cuts = _shifts(rated)
-    out = rated.join(cuts.withColumnRenamed("source", "_s"), rated["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
+    out = _meet_source(rated, cuts.withColumnRenamed("source", "_s"))
     copies = F.col("base") + F.when(F.col("flip") < F.coalesce("shift", F.lit(0.0)), 1).otherwise(0)
     return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("base", "flip", "shift")
 
