@@ -102,3 +102,17 @@ def infinite_mean(values: DataFrame, key: str, x: str) -> DataFrame:
     """Mean of finite values, and how many are infinite; infinite if all are."""
     finite = F.abs(x) != float("inf")
     return values.groupBy(key).agg(F.count_if(~finite).alias("n_infinite"), F.avg(F.when(finite, F.col(x))).alias("finite_mean"), F.bool_and(~finite).alias("all_infinite"))
+
+
+def counters(sb: DataFrame) -> DataFrame:
+    """Total of each counter of a case and source, and its share of a frame that has any counter."""
+    sums = sb.groupBy("case", "source").agg(F.countDistinct("frame").alias("frames"), *(F.sum(c).alias(c) for c in CATEGORIES))
+    long = sums.unpivot(["case", "source", "frames"], list(CATEGORIES), "counter", "total")
+    return long.select("case", "source", "counter", "total", (F.col("total") / F.col("frames")).alias("per_frame"))
+
+
+def grand_total(sb: DataFrame, baseline: str, other: str) -> DataFrame:
+    """Bits of two sources by case and in all (case null); ratios are of sums, null without baseline bits."""
+    bits = lambda s: F.coalesce(F.sum(F.when(F.col("source") == s, F.col("bits"))), F.lit(0))
+    d = sb.rollup("case").agg(bits(baseline).alias("base_bits"), bits(other).alias("bits"))
+    return d.withColumn("ratio", F.when(F.col("base_bits") > 0, F.col("bits") / F.col("base_bits")))

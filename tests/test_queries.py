@@ -1,7 +1,7 @@
 import pytest
 from compare import DATA, duck_rows, spark_rows
 
-from kinoframe import queries
+from kinoframe import coding_queries, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
