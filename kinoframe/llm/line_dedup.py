@@ -8,8 +8,9 @@ Units meet by rarity-ordered prefixes under length and positional filters (see
 setjoin); each pair is verified on the words of both lines.
 
 Nulls: a null text has no lines; a row without doc_id keeps its lines and is
-compared with none. Lines of fewer than MIN_WORDS distinct words stay. Rows that
-share a doc_id are taken as one text in a row; their verdicts are the same.
+compared with none. Lines of fewer than min_words distinct words stay: MIN_WORDS
+unless the caller says otherwise, and with 1 every line that has a word is judged.
+Rows that share a doc_id are taken as one text in a row; their verdicts are the same.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .common import Words, distinct, durable, hash128, mix, slices
 from .setjoin import bucket_counts, candidates
 
 PERCENT, MIN_WORDS = 80, 5
+#: Smaller sets have no similar set but their equals, which need no join: 3 of 4 words are under PERCENT.
+LEAST_JOINED = 4
 
 
 class LineSets:
@@ -50,39 +53,46 @@ class LineSets:
 SURVEY = "doc_id long, n_lines long, k1 long, k2 long, place int, bucket int, n int"
 
 
-def _survey(batches):
+def _survey(min_words: int):
     """Three kinds of rows: documents with their number of lines; lines with enough words and the keys of
-    their sets; counters of the words of those lines."""
-    for batch in batches:
-        for part in slices(batch):
-            s = LineSets(part.column("text"))
-            docs = part.column("doc_id")
-            use = s.n >= MIN_WORDS
-            bucket, n = bucket_counts(s.tokens[use[s.of]])
-            use = np.flatnonzero(use)
-            empty = [x is None for x in part.column("text").to_pylist()]
-            lines = pa.array([0 if e else len(x) for e, x in zip(empty, s.lines, strict=True)], pa.int64())
-            none = lambda k, t: pa.nulls(k, t)
-            d, u, c = len(docs), len(use), len(bucket)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([docs, docs.take(pa.array(s.row[use])), none(c, pa.int64())]),
-                    pa.concat_arrays([lines, none(u + c, pa.int64())]),
-                    pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[0][use]), none(c, pa.int64())]),
-                    pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[1][use]), none(c, pa.int64())]),
-                    pa.concat_arrays([none(d, pa.int32()), pa.array(s.place[use].astype(np.int32)), none(c, pa.int32())]),
-                    pa.concat_arrays([none(d + u, pa.int32()), pa.array(bucket)]),
-                    pa.concat_arrays([none(d + u, pa.int32()), pa.array(n)]),
-                ],
-                names=[x.split()[0] for x in SURVEY.split(", ")],
-            )
-
-
-def _unit_sets(part: pa.RecordBatch):
-    s = LineSets(part.column("text"))
-    use = s.n >= MIN_WORDS
-    keep = use[s.of]
-    return s.tokens[keep], np.concatenate([[0], np.cumsum(s.n[use])]).astype(np.int64), (s.keys[0][use], s.keys[1][use])
+    their sets; counters of the words of the lines that the join takes."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                s = LineSets(part.column("text"))
+                docs = part.column("doc_id")
+                joined = s.n >= max(min_words, LEAST_JOINED)
+                bucket, n = bucket_counts(s.tokens[joined[s.of]])
+                use = np.flatnonzero(s.n >= min_words)
+                empty = [x is None for x in part.column("text").to_pylist()]
+                lines = pa.array([0 if e else len(x) for e, x in zip(empty, s.lines, strict=True)], pa.int64())
+                none = lambda k, t: pa.nulls(k, t)
+                d, u, c = len(docs), len(use), len(bucket)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([docs, docs.take(pa.array(s.row[use])), none(c, pa.int64())]),
+                        pa.concat_arrays([lines, none(u + c, pa.int64())]),
+                        pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[0][use]), none(c, pa.int64())]),
+                        pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[1][use]), none(c, pa.int64())]),
+                        pa.concat_arrays([none(d, pa.int32()), pa.array(s.place[use].astype(np.int32)), none(c, pa.int32())]),
+                        pa.concat_arrays([none(d + u, pa.int32()), pa.array(bucket)]),
+                        pa.concat_arrays([none(d + u, pa.int32()), pa.array(n)]),
+                    ],
+                    names=[x.split()[0] for x in SURVEY.split(", ")],
+                )
+
+    return run
+
+
+def _unit_sets(min_words: int):
+    def sets(part: pa.RecordBatch):
+        s = LineSets(part.column("text"))
+        use = s.n >= max(min_words, LEAST_JOINED)
+        keep = use[s.of]
+        return s.tokens[keep], np.concatenate([[0], np.cumsum(s.n[use])]).astype(np.int64), (s.keys[0][use], s.keys[1][use])
+
+    return sets
 
 
 def _wanted(batches):
@@ -121,17 +131,17 @@ def _cut(batches):
             yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(out, pa.string())).drop_columns(["removed"])
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_links (links of its lines' sets), removed (places from 0)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    survey = durable(source.mapInArrow(_survey, SURVEY), "survey")
+    survey = durable(source.mapInArrow(_survey(min_words), SURVEY), "survey")
     places = survey.where("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2", "place")
     key = ["k1", "k2"]
     first = places.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     least = places.groupBy(*key, "doc_id").agg(F.min("place").alias("first_place"))
     units = durable(least.join(first, [*key, "doc_id"]).withColumnRenamed("doc_id", "first_doc"), "units")
 
-    pairs = durable(candidates(source.where("doc_id is not null"), _unit_sets, PERCENT, counted=survey.where("bucket is not null").select("bucket", "n")), "line-pairs")
+    pairs = durable(candidates(source.where("doc_id is not null"), _unit_sets(min_words), PERCENT, counted=survey.where("bucket is not null").select("bucket", "n")), "line-pairs")
     ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     wanted = units.join(ends, "k1").groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(*key, F.col("first_place").alias("place"))).alias("wanted"))
     lines = durable(source.join(wanted, "doc_id").mapInArrow(_wanted, "k1 long, k2 long, line string").dropDuplicates(key), "line-texts")
@@ -151,8 +161,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), removed.alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id and the text that stays."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = line_verdicts(source).where("n_removed > 0").select("doc_id", "removed").dropDuplicates(["doc_id"])
+    gone = line_verdicts(source, min_words=min_words).where("n_removed > 0").select("doc_id", "removed").dropDuplicates(["doc_id"])
     return source.join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id long, text string")
