@@ -107,6 +107,11 @@ def block_frame_kinds(spark, sf_dir):
     return C.frame_kinds(blocks(spark, sf_dir), 96)
 
 
+@register(", b AS (SELECT *, lag(px) OVER (PARTITION BY label ORDER BY block_id) AS b FROM blocks) SELECT block_id, label, CASE WHEN b IS NULL THEN 'key' WHEN b = px THEN 'existing' ELSE 'inter' END AS kind FROM b")
+def block_frame_kinds_whole(spark, sf_dir):
+    return C.frame_kinds(blocks(spark, sf_dir), None)
+
+
 #: Fixed names that format parsing meets, valid and invalid.
 NAMES = ("yuv420p", "YUV422P10LE", " yuv444p12le ", "gray8", "y10le", "rgb24", "yuv420p16be", "yuv420p17le", "yuv422p9")
 _FRAMES = f"SELECT p_partkey AS id, ({list(NAMES)})[p_partkey % {len(NAMES)} + 1] AS name, (p_size * 7 + 16)::BIGINT AS width, (p_size * 5 + 9)::BIGINT AS height FROM part"

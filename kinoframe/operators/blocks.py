@@ -73,15 +73,26 @@ def rescale_depth(blocks: DataFrame, depth: int) -> DataFrame:
 
 def walsh_hadamard(blocks: DataFrame) -> DataFrame:
     """The 4x4 Walsh-Hadamard transform of each block's first quarter: DC and sum of absolute AC terms."""
-    px = lambda y, x: F.col("px")[8 * y + x].cast("long")
+    return _walsh_terms(blocks, ["block_id"], 8)
+
+
+def walsh_hadamard_quarters(blocks: DataFrame) -> DataFrame:
+    """The 4x4 Walsh-Hadamard transform of all four quarters of each block, a row each, in raster order from 0."""
+    quarter = lambda oy, ox: F.array(*(F.col("px")[8 * (oy + y) + ox + x] for y in range(4) for x in range(4)))
+    four = F.array(*(quarter(oy, ox) for oy in (0, 4) for ox in (0, 4)))
+    return _walsh_terms(blocks.select("block_id", F.posexplode(four).alias("quarter", "px")).withColumn("quarter", F.col("quarter").cast("long")), ["block_id", "quarter"], 4)
+
+
+def _walsh_terms(blocks: DataFrame, key: list[str], side: int) -> DataFrame:
+    px = lambda y, x: F.col("px")[side * y + x].cast("long")
     sign = lambda a, b: -1 if bin(a & b).count("1") % 2 else 1
     terms = F.array(*(sum((px(y, x) * (sign(u, y) * sign(v, x)) for y in range(4) for x in range(4) if y or x), px(0, 0)) for u in range(4) for v in range(4)))
-    d = blocks.select("block_id", terms.alias("_t"))
-    return d.select("block_id", F.col("_t")[0].alias("dc"), (total(F.transform("_t", F.abs)) - F.abs(F.col("_t")[0])).alias("ac"))
+    d = blocks.select(*key, terms.alias("_t"))
+    return d.select(*key, F.col("_t")[0].alias("dc"), (total(F.transform("_t", F.abs)) - F.abs(F.col("_t")[0])).alias("ac"))
 
 
 def coarse_matches(blocks: DataFrame, step: int) -> DataFrame:
-    """The smallest earlier block whose coarse signature is the same, with the distance in ids.
+    """The smallest earlier block whose coarse signature (first row) is the same, with the distance in ids.
 
     Signatures are grouped, not paired: the candidate of a block is the first of its group.
     """
@@ -91,6 +102,12 @@ def coarse_matches(blocks: DataFrame, step: int) -> DataFrame:
     return d.join(first.where("n > 1"), "signature").where("match_id < block_id").select("block_id", "match_id", (F.col("block_id") - F.col("match_id")).alias("distance"))
 
 
+def block_matches(blocks: DataFrame) -> DataFrame:
+    """The smallest earlier block with the same 64 samples, with the distance in ids; samples are compared, not hashes."""
+    first = blocks.groupBy("px").agg(F.min("block_id").alias("match_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return blocks.join(first, "px").where("match_id < block_id").select("block_id", "match_id", (F.col("block_id") - F.col("match_id")).alias("distance"))
+
+
 def change_runs(blocks: DataFrame) -> DataFrame:
     """Per label in id order: SAD to the label's block before, null for the first."""
     before = F.lag("px").over(Window.partitionBy("label").orderBy("block_id"))

@@ -109,14 +109,14 @@ def first_seen_palette(blocks: DataFrame, most: int) -> DataFrame:
     return d.select("block_id", F.array_join("p", ",").alias("palette"), F.size(F.filter("px", lambda x: ~F.array_contains("p", x))).cast("long").alias("escaped"))
 
 
-def placed(blocks: DataFrame, step: int) -> DataFrame:
-    """Frame of 8x8 blocks, row, column and coarse signature of each block."""
-    sig = F.array_join(F.transform(F.slice("px", 1, 8), lambda x: F.floor(x / step)), ",")
+def placed(blocks: DataFrame, step: int | None) -> DataFrame:
+    """Frame of 8x8 blocks, row, column and signature of each block: its first row in coarse steps, or with no step all samples."""
+    sig = F.array_join(F.transform(F.slice("px", 1, 8), lambda x: F.floor(x / step)), ",") if step else F.col("px")
     cell = F.col("block_id") % 64
     return blocks.select("block_id", F.floor(F.col("block_id") / 64).alias("frame"), F.floor(cell / 8).alias("row"), (cell % 8).alias("col"), sig.alias("sig"))
 
 
-def motion_matches(blocks: DataFrame, step: int) -> DataFrame:
+def motion_matches(blocks: DataFrame, step: int | None) -> DataFrame:
     """The nearest block of the same signature in the frame before, by Manhattan distance, then row and column.
 
     Signatures of more than MOST_IN_BUCKET blocks of a frame are no candidates, so a block meets that many at most.
@@ -130,7 +130,7 @@ def motion_matches(blocks: DataFrame, step: int) -> DataFrame:
     return best.select("block_id", "frame", "candidates", (F.col("b.ref_row") - F.col("row")).alias("mv_row"), (F.col("b.ref_col") - F.col("col")).alias("mv_col"))
 
 
-def frame_modes(blocks: DataFrame, step: int) -> DataFrame:
+def frame_modes(blocks: DataFrame, step: int | None) -> DataFrame:
     """How each frame follows from the one before: unchanged, one motion, mixed motion, partial or intra."""
     mv = motion_matches(blocks, step).groupBy("frame").agg(
         F.count("*").alias("matched"), F.count_if((F.col("mv_row") == 0) & (F.col("mv_col") == 0)).alias("still"), F.countDistinct("mv_row", "mv_col").alias("motions")
@@ -141,9 +141,9 @@ def frame_modes(blocks: DataFrame, step: int) -> DataFrame:
     return d.withColumn("mode", mode)
 
 
-def frame_kinds(blocks: DataFrame, step: int) -> DataFrame:
-    """key for the first block of a label, existing where it repeats the one before, inter else."""
-    d = blocks.select("block_id", "label", F.transform(F.slice("px", 1, 2), lambda x: F.floor(x / step)).alias("s"))
+def frame_kinds(blocks: DataFrame, step: int | None) -> DataFrame:
+    """key for the first block of a label, existing where it repeats the one before, inter else; compared on two coarse samples, or with no step on all."""
+    d = blocks.select("block_id", "label", (F.transform(F.slice("px", 1, 2), lambda x: F.floor(x / step)) if step else F.col("px")).alias("s"))
     before = F.lag("s").over(Window.partitionBy("label").orderBy("block_id"))
     return d.withColumn("b", before).select("block_id", "label", F.when(F.col("b").isNull(), "key").when(F.col("b") == F.col("s"), "existing").otherwise("inter").alias("kind"))
 

@@ -154,6 +154,18 @@ def block_coarse_matches(spark, sf_dir):
     return B.coarse_matches(blocks(spark, sf_dir), 96)
 
 
+@register(
+    ", s AS (SELECT block_id, q, i // 4 AS y, i % 4 AS x, px[8 * (4 * (q // 2) + i // 4) + 4 * (q % 2) + i % 4 + 1]::BIGINT AS p FROM blocks, (SELECT unnest(range(4)) AS q), (SELECT unnest(range(16)) AS i)), t AS (SELECT block_id, q, u, v, sum(p * CASE WHEN (bit_count(u & y) + bit_count(v & x)) % 2 = 1 THEN -1 ELSE 1 END)::BIGINT AS c FROM s, (SELECT unnest(range(4)) AS u), (SELECT unnest(range(4)) AS v) GROUP BY ALL) SELECT block_id, q AS quarter, (sum(c) FILTER (u = 0 AND v = 0))::BIGINT AS dc, coalesce(sum(abs(c)) FILTER (u > 0 OR v > 0), 0)::BIGINT AS ac FROM t GROUP BY 1, 2"
+)
+def block_walsh_hadamard_quarters(spark, sf_dir):
+    return B.walsh_hadamard_quarters(blocks(spark, sf_dir))
+
+
+@register(", f AS (SELECT px, min(block_id) AS match_id FROM blocks GROUP BY px) SELECT block_id, match_id, block_id - match_id AS distance FROM blocks JOIN f USING (px) WHERE match_id < block_id")
+def block_matches(spark, sf_dir):
+    return B.block_matches(blocks(spark, sf_dir))
+
+
 @register(", r AS (SELECT *, lag(px) OVER (PARTITION BY label ORDER BY block_id) AS ref FROM blocks) SELECT block_id, label, CASE WHEN ref IS NOT NULL THEN list_sum(list_transform(range(1, 65), lambda i: abs(px[i] - ref[i])))::BIGINT END AS sad FROM r")
 def block_change_runs(spark, sf_dir):
     return B.change_runs(blocks(spark, sf_dir))

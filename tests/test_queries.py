@@ -16,6 +16,33 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
 
 
+def blocks_of(spark, px):
+    return spark.createDataFrame([(i, 1, p) for i, p in enumerate(px)], "block_id long, label int, px array<int>")
+
+
+def test_blocks_match_on_all_samples(spark):
+    from kinoframe.operators import blocks as B
+    from kinoframe.operators import coding as C
+
+    px = [[5] * 64, [5] * 63 + [6], [5] * 64, [5] * 63 + [6], [5] * 63 + [6]]
+    df = blocks_of(spark, px)
+    assert sorted(map(tuple, B.block_matches(df).collect())) == [(2, 0, 2), (3, 1, 2), (4, 1, 3)]
+    assert [r["kind"] for r in C.frame_kinds(df, None).orderBy("block_id").collect()] == ["key", "inter", "inter", "inter", "existing"]
+    # two frames of blocks that differ in the last sample only: block i moves one column on
+    frames = [[5] * 63 + [i] for i in range(64)] + [[5] * 63 + [(i - 1) % 64 if i % 8 else 200] for i in range(64)]
+    got = C.motion_matches(blocks_of(spark, frames), None).collect()
+    assert len(got) == 56 and {(r["candidates"], r["mv_row"], r["mv_col"]) for r in got} == {(1, 0, -1)}
+    assert [r["mode"] for r in C.frame_modes(blocks_of(spark, frames), None).orderBy("frame").collect()] == ["intra", "partial"]
+
+
+def test_walsh_hadamard_of_every_quarter(spark):
+    from kinoframe.operators import blocks as B
+
+    px = [[0] * 4 + [1] * 4] * 4 + [[2, 3] * 2 + [7] * 4] * 4
+    got = B.walsh_hadamard_quarters(blocks_of(spark, [sum(px, [])])).orderBy("quarter").collect()
+    assert [tuple(r) for r in got] == [(0, 0, 0, 0), (0, 1, 16, 0), (0, 2, 40, 8), (0, 3, 112, 0)]
+
+
 def test_errors_of_equal_blocks_have_no_psnr(spark):
     from kinoframe.operators import blocks as B
 
