@@ -112,6 +112,25 @@ def block_frame_kinds_whole(spark, sf_dir):
     return C.frame_kinds(blocks(spark, sf_dir), None)
 
 
+_WHOLE_MOTION = (
+    ", pl AS (SELECT block_id, block_id // 64 AS frame, block_id % 64 // 8 AS r, block_id % 8 AS c, px AS sig FROM blocks), pairs AS (SELECT n.block_id, n.frame, n.r, n.c, p.r AS pr, p.c AS pc FROM pl n JOIN pl p ON p.frame = n.frame - 1 AND p.sig = n.sig),"
+    " mv AS (SELECT block_id, frame, count(*) OVER (PARTITION BY block_id) AS candidates, pr - r AS mv_row, pc - c AS mv_col FROM pairs QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY abs(pr - r) + abs(pc - c), pr, pc) = 1)"
+)
+
+
+@register(f"{_WHOLE_MOTION} SELECT * FROM mv")
+def block_motion_matches_whole(spark, sf_dir):
+    return C.whole_motion_matches(blocks(spark, sf_dir))
+
+
+@register(
+    f"{_WHOLE_MOTION}, t AS (SELECT frame, count(*) AS n_blocks, count(mv_row) AS matched, count(*) FILTER (mv_row = 0 AND mv_col = 0) AS still, count(DISTINCT (mv_row, mv_col)) FILTER (mv_row IS NOT NULL) AS motions FROM pl LEFT JOIN (SELECT block_id, mv_row, mv_col FROM mv) USING (block_id) GROUP BY 1)"
+    " SELECT *, CASE WHEN still = n_blocks THEN 'unchanged' WHEN matched = n_blocks AND motions = 1 THEN 'motion' WHEN matched = n_blocks THEN 'mixed' WHEN matched > 0 THEN 'partial' ELSE 'intra' END AS mode FROM t"
+)
+def block_frame_modes_whole(spark, sf_dir):
+    return C.frame_modes(blocks(spark, sf_dir), None)
+
+
 #: Fixed names that format parsing meets, valid and invalid.
 NAMES = ("yuv420p", "YUV422P10LE", " yuv444p12le ", "gray8", "y10le", "rgb24", "yuv420p16be", "yuv420p17le", "yuv422p9")
 _FRAMES = f"SELECT p_partkey AS id, ({list(NAMES)})[p_partkey % {len(NAMES)} + 1] AS name, (p_size * 7 + 16)::BIGINT AS width, (p_size * 5 + 9)::BIGINT AS height FROM part"

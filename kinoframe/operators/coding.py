@@ -130,9 +130,22 @@ def motion_matches(blocks: DataFrame, step: int | None) -> DataFrame:
     return best.select("block_id", "frame", "candidates", (F.col("b.ref_row") - F.col("row")).alias("mv_row"), (F.col("b.ref_col") - F.col("col")).alias("mv_col"))
 
 
+def whole_motion_matches(blocks: DataFrame) -> DataFrame:
+    """motion_matches on all samples and with no bound on a signature's blocks, so flat areas match as well.
+
+    A block meets one row, the places of its equals: a frame has 64 at most.
+    """
+    now = placed(blocks, None)
+    places_of = now.groupBy((F.col("frame") + 1).alias("frame"), "sig").agg(F.collect_list(F.struct("row", "col")).alias("refs"))
+    far = lambda r: F.abs(r["row"] - F.col("row")) + F.abs(r["col"] - F.col("col"))
+    best = F.array_min(F.transform("refs", lambda r: F.struct(far(r).alias("d"), r["row"].alias("ref_row"), r["col"].alias("ref_col"))))
+    d = now.join(places_of, ["frame", "sig"]).withColumn("b", best)
+    return d.select("block_id", "frame", F.size("refs").cast("long").alias("candidates"), (F.col("b.ref_row") - F.col("row")).alias("mv_row"), (F.col("b.ref_col") - F.col("col")).alias("mv_col"))
+
+
 def frame_modes(blocks: DataFrame, step: int | None) -> DataFrame:
-    """How each frame follows from the one before: unchanged, one motion, mixed motion, partial or intra."""
-    mv = motion_matches(blocks, step).groupBy("frame").agg(
+    """How each frame follows from the one before: unchanged, one motion, mixed motion, partial or intra; with no step, by whole_motion_matches."""
+    mv = (motion_matches(blocks, step) if step else whole_motion_matches(blocks)).groupBy("frame").agg(
         F.count("*").alias("matched"), F.count_if((F.col("mv_row") == 0) & (F.col("mv_col") == 0)).alias("still"), F.countDistinct("mv_row", "mv_col").alias("motions")
     )
     d = placed(blocks, step).groupBy("frame").agg(F.count("*").alias("n_blocks")).join(mv, "frame", "left").fillna(0, ["matched", "still", "motions"])

@@ -35,6 +35,22 @@ def test_blocks_match_on_all_samples(spark):
     assert [r["mode"] for r in C.frame_modes(blocks_of(spark, frames), None).orderBy("frame").collect()] == ["intra", "partial"]
 
 
+def test_flat_frames_match_in_place(spark):
+    from kinoframe.operators import coding as C
+
+    flat, other = [[5] * 64] * 64, [[5] * 64 if i % 8 < 4 else [9] * 64 for i in range(64)]
+    moved = [[9] * 64 if i % 8 < 4 else [5] * 64 for i in range(64)]
+    df = blocks_of(spark, flat + flat + other + moved)
+    assert [r["mode"] for r in C.frame_modes(df, None).orderBy("frame").collect()] == ["intra", "unchanged", "partial", "mixed"]
+    px, got = [r["px"] for r in df.orderBy("block_id").collect()], {}
+    for b in range(64, 256):
+        f, y, x = b // 64, b % 64 // 8, b % 8
+        refs = [(abs(j // 8 - y) + abs(j % 8 - x), j // 8, j % 8) for j in range(64) if px[64 * (f - 1) + j] == px[b]]
+        if refs:
+            got[b] = (f, len(refs), min(refs)[1] - y, min(refs)[2] - x)
+    assert {r[0]: tuple(r[1:]) for r in C.whole_motion_matches(df).collect()} == got
+
+
 def test_walsh_hadamard_of_every_quarter(spark):
     from kinoframe.operators import blocks as B
 
