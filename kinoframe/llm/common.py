@@ -45,6 +45,24 @@ def durable(df: DataFrame, name: str, partition: list[str] | None = None) -> Dat
     return out
 
 
+ROW = "_row"
+
+
+def content_hash(df: DataFrame) -> Column:
+    """A hash of a row's values (maps cannot be hashed)."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t))
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df, durable, with a number of its own in ROW for each row, whatever its id; in the given order, if any.
+
+    Rows of one order value are told apart by their content, and rows that are the same are spread.
+    """
+    if order:
+        df = df.withColumn(ROW, F.monotonically_increasing_id()).orderBy(*order, content_hash(df), ROW)
+    return durable(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
     spark, path = df.sparkSession, df._durable_path

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct, durable, mix, release, slices
+from .common import ROW, Words, distinct, durable, mix, numbered, release, slices
 from .setjoin import candidates
 
 ROWS, MISS = 5, 1e-6
@@ -201,6 +201,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each near-duplicate group; all columns as they were."""
-    gone = near_groups(docs, shingle, percent, id_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """docs with one row of each near-duplicate group, that of the least id (null is the largest); all columns as they were."""
+    rows = numbered(docs, "near-rows", F.col(id_col).asc_nulls_last())
+    gone = near_groups(rows, shingle, percent, ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, release
+from .common import ROW, WORD, durable, numbered, release
 
 WEIGHTS, BUDGET, MAX_RATE = (5, 2, 1), 1.5, 2.0
 NEWTON_STEPS, BINS, ROUNDS = 40, 1024, 3
@@ -86,11 +86,19 @@ def _meet_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_part", "_p", "_s")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, taken and, if given, row_col.
+
+    The dither is by id and size, and for rows whose id is null or shared by row_col too, or they would gain their extra copies all at once.
+    """
     sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        *[row_col] * bool(row_col), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
+    salt = []
+    if row_col:
+        shared = sized.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+        sized = sized.join(shared, "doc_id", "left").withColumn("_salt", F.when(F.col("doc_id").isNull() | F.col("_n").isNotNull(), F.col(row_col))).drop("_n")
+        salt = ["_salt"]
     sized = durable(sized, "mix-sizes")
     hist = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
@@ -103,13 +111,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     at = F.when(F.col("target") >= MAX_RATE * F.col("source_size"), F.lit(MAX_RATE)).otherwise(_rate(F.col("lam"), F.col("size") / F.col("scale")))
     rated = _meet_source(sized, state).withColumn("rate", F.when(F.col("size") == 0, 0.0).otherwise(at)).drop("lam", "scale")
     base, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "size", *salt), F.lit(1 << 40)) / float(1 << 40)
     # a document gains its extra copy once the shift of its source reaches `flip`
     rated = rated.withColumns({"base": base.cast("long"), "flip": F.when(part > 0, 1 - part - u)})
     cuts = _shifts(rated)
     out = _meet_source(rated, cuts.withColumnRenamed("source", "_s"))
     copies = F.col("base") + F.when(F.col("flip") < F.coalesce("shift", F.lit(0.0)), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("base", "flip", "shift")
+    return out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("base", "flip", "shift", *salt)
 
 
 def _shifts(rated: DataFrame) -> DataFrame:
@@ -140,7 +148,8 @@ def _shifts(rated: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns as they were."""
-    copies = mix(docs, id_col, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    many = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"]))
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    """docs with each row as often as the mix takes it, whatever ids rows share; columns as they were."""
+    rows = numbered(docs, "mix-rows")
+    copies = mix(rows, id_col, row_col=ROW, **options).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
+    many = rows.join(copies, ROW)
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, words_of
+from .common import ROW, durable, numbered, words_of
 
 WS = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -148,7 +148,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return judge(counts, refs).drop("lang", "classes", "common")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rejected rows; all columns as they were."""
-    gone = quality_verdicts(docs, id_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def keep_good(docs: DataFrame) -> DataFrame:
+    """docs without the rejected rows, whatever ids they share; all columns as they were."""
+    rows = numbered(docs, "quality-rows")
+    gone = quality_verdicts(rows, ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -187,6 +187,76 @@ def test_chat_roles_in_blocks(spark):
     assert chat.best_path(joined, None, None, np.zeros(chat.STATES)) == whole[2::3]
 
 
+@pytest.fixture(scope="module")
+def odd_ids():
+    """Rows of good, short and repeating texts whose ids are null, shared or repeated with the text."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(30)] for _ in range(12)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "edit"]) for w in base[:6]] + ["too short", "a b c d e f " * 6, "", None]
+    texts += [" ".join(word() for _ in range(12)) for _ in range(40)]
+    ids = [None, 5, 5, 9, None, 7]
+    out = [(ids[i % 6] if i < 22 else None, t, "s1" if i % 3 else None) for i, t in enumerate(texts)]
+    out += [(9, texts[0], "s1"), (5, texts[0], None), (None, texts[1], "s1"), (5, texts[1], "s1"), (None, texts[2], "s1"), (None, texts[2], "s1"), (None, "too short", "s1"), (5, "too short", "s1")]
+    return [(i, t, "en", s, "", "") for i, t, s in out + out[:3]]
+
+
+def _stage(spark, rows, run):
+    return sorted(((r["doc_id"], r["text"], r["source"]) for r in run(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+
+
+def test_quality_stage_with_odd_ids(spark, odd_ids):
+    def good(text):
+        w = WORD.findall(text or "")
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        return len(w) >= 10 and len(windows) == len(set(windows))
+
+    want = sorted(((r[0], r[1], r[3]) for r in odd_ids if good(r[1])), key=repr)
+    assert _stage(spark, odd_ids, quality.keep_good) == want
+
+
+def test_exact_stage_with_odd_ids(spark, odd_ids):
+    best = {}
+    for i, t, *_ in odd_ids:
+        best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+    got = _stage(spark, odd_ids, exact_dedup.drop_exact_copies)
+    assert sorted((t or "", -1 if i is None else i) for i, t, _ in got) == sorted(best.items())
+
+
+def test_near_stage_with_odd_ids(spark, odd_ids):
+    def shingles(text):
+        w = WORD.findall((text or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(r[1]) for r in odd_ids]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    known = lambda i: float("inf") if i is None else i
+    want = sorted(min(known(odd_ids[k][0]) for k in range(len(sets)) if group[k] == g) for g in set(group))
+    got = _stage(spark, odd_ids, minhash.drop_near_copies)
+    assert sorted(known(r[0]) for r in got) == want
+    place = {}
+    for k, r in enumerate(odd_ids):
+        place.setdefault(r[1], group[k])
+    kept = [place[t] for _, t, _ in got if shingles(t)]
+    assert len(kept) == len(set(kept)) == len({g for g, s in zip(group, sets, strict=True) if s})
+
+
+def test_mixing_stage_with_odd_ids(spark, odd_ids):
+    sizes = {}
+    for _, text, _, source, *_ in odd_ids:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
+    target, taken = mixing.targets_of(sizes), dict.fromkeys(sizes, 0)
+    rows = {(r[0], r[1], r[3]) for r in odd_ids}
+    for i, text, source in _stage(spark, odd_ids, mixing.mixed_documents):
+        assert (i, text, source) in rows
+        taken[source] += len(WORD.findall(text or ""))
+    assert all(abs(taken[s] - target[s]) <= 36 for s in sizes)
+
+
 def test_pipeline_keeps_one_of_each(spark):
     import corpus_pipeline
 
