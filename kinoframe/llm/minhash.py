@@ -7,16 +7,18 @@ so all fill. Equal coordinates estimate the Jaccard similarity with
 concentration bounds like t independent minima. There are as many bands of 5
 coordinates as meet a pair at the threshold with a probability of 1 - 1e-6.
 
-Copies (equal sets) count once, by their smallest id. Within a bucket all
-compare to the smallest id first. Where a bucket then still holds several
-components, its documents go through an exact prefix join (setjoin), which
-yields every similar pair among them, and those between components are
-compared. So a large group of near copies costs its size, not its square, and
-no link between components is left out. A link is confirmed on both full sets,
-rebuilt from the texts.
+Copies (equal sets) count once, by their smallest id. The documents that share
+a bucket form a group with the smallest id of it, their leader. Each document's
+full set is sent once to every group it is in, and all of the group are compared
+there on full sets, as a product of 0/1 matrices. A large group is cut into
+blocks that each hold the leader, so it costs its size; where it then still has
+several components, the documents outside its largest one meet all of the group
+in pairs of blocks. Every two documents that share a bucket are so compared,
+unless links already hold them together, and no pair is ever made a row.
 
 Nulls: a null text has no words; without words a document links with nothing.
-Rows of one doc_id are one document as to its component; a null id has none.
+Rows of one doc_id are one document as to its component, which has the links of
+all their texts; a row with a null id has no component and links with nothing.
 Words are split at ASCII white space and lower-cased in A-Z only.
 """
 
@@ -26,14 +28,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, Words, distinct, durable, mix, numbered, release, slices
-from .setjoin import candidates
+from .groups import blocks_for, by_group, components, join_up, similar
 
 ROWS, MISS = 5, 1e-6
+#: Characters whose sets a task holds at once when it sends them out.
+SHIP_CHARS = 500_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,46 +120,70 @@ def _sketcher(k: int, bands: int):
     return run
 
 
-def _verifier(k: int, percent: int):
+def _shipper(k: int):
+    """A row for each tag (leader, lo, hi, component) of a document, with the document's whole set."""
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text_a"):
-                a, b = shingle_sets(part.column("text_a"), k), shingle_sets(part.column("text_b"), k)
-                ok = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for part in slices(batch, most=SHIP_CHARS):
+                sets = [s.tobytes() for s in shingle_sets(part.column("text"), k)]
+                tags = part.column("tags")
+                row = pa.array(np.repeat(np.arange(part.num_rows), np.diff(tags.offsets.to_numpy())))
+                tag = tags.flatten()
+                yield pa.RecordBatch.from_arrays([*(tag.field(c) for c in ("leader", "lo", "hi", "component")), part.column("id").take(row), pa.array(sets, pa.binary()).take(row)], names=["leader", "lo", "hi", "component", "id", "tokens"])
 
     return run
 
 
-def _sets(k: int):
-    def sets(part):
-        found = shingle_sets(part.column("text"), k)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int64)
-        return np.concatenate([*found, np.zeros(0, np.uint64)]), offsets, (part.column("doc_id").to_numpy(), part.column("component").to_numpy())
-
-    return sets
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over edges (a, b), by minimum labels and pointer jumps."""
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
-        low = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "least").alias("component"), F.col("component").alias("old"))
-        low = durable(low, "lower")
-        jump = low.select(F.col("id").alias("j"), F.col("component").alias("further"))
-        new = durable(low.join(jump, low["component"] == jump["j"], "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "labels")
-        changed = new.where("component < old").head(1)
-        release(low)
-        release(labels)
-        labels = new
-        if not changed:
-            release(both)
-            return labels.select("id", "component")
+def _linker(percent: int):
+    """Of a group's links those that join two of its components, each once."""
+
+    def link(table: pa.Table):
+        ids, component = (table.column(c).to_numpy() for c in ("id", "component"))
+        lengths = pc.binary_length(table.column("tokens")).to_numpy() // 8
+        tokens = np.frombuffer(b"".join(table.column("tokens").to_pylist()), dtype=np.uint64)
+        if (component != component[0]).any():
+            a, b = np.nonzero(np.triu(similar(tokens, np.concatenate([[0], np.cumsum(lengths)]), percent)))
+            _, known = np.unique(component, return_inverse=True)
+            _, first = np.unique(known, return_index=True)
+            before = join_up(np.arange(len(ids)), first[known], np.arange(len(ids)))
+            after = join_up(before.copy(), a, b)
+            new = np.flatnonzero((after != before) & (before == np.arange(len(ids))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[after[new]]), pa.array(ids[new])], names=["a", "b"])
+
+    return link
+
+
+def _links(source: DataFrame, tagged: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) of different components among the documents that share a tag (leader, lo, hi): rows (id, leader, lo, hi, component)."""
+    tags = tagged.groupBy("id").agg(F.collect_list(F.struct("leader", "lo", "hi", "component")).alias("tags"))
+    shipped = source.join(tags, source["doc_id"] == tags["id"]).select("id", "text", "tags").mapInArrow(_shipper(shingle), "leader long, lo int, hi int, component long, id long, tokens binary")
+    key = ["leader", "lo", "hi"]
+    return durable(shipped.repartition(*key).sortWithinPartitions(*key).mapInArrow(by_group(key, _linker(percent)), "a long, b long"), "links")
+
+
+def _round_of_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Tags for the first round: each document with its leader, a large group in blocks that all hold the leader."""
+    cut = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    all_of_them = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cut = cut.withColumn("lo", F.explode(F.when(F.col("id") == F.col("leader"), all_of_them).otherwise(F.array(own))))
+    return cut.select("id", "leader", "lo", F.col("lo").alias("hi"), F.col("id").alias("component"))
+
+
+def _round_of_pairs(members: DataFrame, large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tags for the second round: in each large group still of several components, the blocks outside its largest
+    component meet one another and every block of that component."""
+    m = members.join(large.select("leader"), "leader").join(labels, "id", "left").select("leader", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    per = m.groupBy("leader", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
+    whole = per.groupBy("leader").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("n_main"), F.max_by("t", "n").alias("t_main"), F.sum("n").alias("n"), F.sum("t").alias("t")).where("n > n_main")
+    whole = whole.select("leader", "main", blocks_for(F.col("n") - F.col("n_main"), F.col("t") - F.col("t_main")).alias("out"), blocks_for(F.col("n_main"), F.col("t_main")).alias("within"))
+    m = m.join(whole, "leader")
+    outside, h = F.col("component") != F.col("main"), F.xxhash64("id")
+    m = m.withColumn("own", F.when(outside, F.pmod(h, F.col("out"))).otherwise(F.col("out") + F.pmod(h, F.col("within"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(outside, F.col("out") + F.col("within")).otherwise(F.col("out")) - 1)
+    m = m.withColumn("other", F.explode(others))
+    return m.select("id", "leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "component")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,35 +195,24 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     copied = first.where("copies > 1").drop("copies")
     placed = durable(sketched.join(copied, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")), "placed")
     release(sketched)
-    rows = placed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    rows = placed.where("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), "n_shingles")
     shared = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
-    buckets = durable(rows.join(shared, "key"), "buckets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs.distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = durable(source.join(ids, source["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]), "texts")
-        a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        out = durable(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verifier(shingle, percent), "a long, b long"), "links")
-        release(texts)
-        return out
-
-    star = buckets.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    links = confirmed(star)
-    labels = components(links)
-    named = buckets.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    named = durable(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    x = named.join(mixed, "key", "left_semi")
-    open_ids = x.select("id").distinct()
-    open_texts = source.join(open_ids, source["doc_id"] == open_ids["id"], "left_semi").dropDuplicates(["doc_id"]).join(labels, F.col("doc_id") == labels["id"], "left")
-    open_texts = durable(open_texts.select("doc_id", "text", F.coalesce("component", "doc_id").alias("component")), "open-texts")
-    rest = candidates(open_texts, _sets(shingle), percent, classes=True)
-    more = confirmed(rest)
-    if more.head(1):
-        labels = components(links.union(more))
-    release(buckets)
-    release(named)
+    members = durable(rows.join(shared, "key").select("leader", "id", "n_shingles").distinct(), "members")
+    weight = members.groupBy("leader").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("t"))
+    large = durable(weight.select("leader", blocks_for(F.col("n"), F.col("t")).alias("blocks")).where("blocks > 1"), "large")
+    # an id whose rows have several texts is one document: it holds their groups of copies together
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    own = placed.join(several, "doc_id").where("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = _links(source, _round_of_blocks(members, large), shingle, percent)
+    edges = links.union(own)
+    labels = components(edges)
+    if large.head(1):
+        more = _links(source, _round_of_pairs(members, large, labels), shingle, percent)
+        if more.head(1):
+            labels = components(edges.union(more))
+        release(more)
+    for table in (members, large, links):
+        release(table)
     out = placed.select("doc_id", "n_shingles", "rep").join(labels, F.col("rep") == labels["id"], "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
