@@ -4,13 +4,15 @@ A line is the set of its distinct words. Lines of PERCENT % Jaccard similarity
 or more are links; a line goes if an earlier one (by doc_id, then place) links
 to it, itself kept or not, or has the same set. Equal sets are one unit, known by
 a 128-bit hash, so a line repeated in a third of all documents costs one unit.
-Units meet by rarity-ordered prefixes under length and positional filters (see
-setjoin); each pair is verified on the words of both lines.
+Units meet by rarity-ordered prefixes under length and positional filters, and
+those that may be similar form families (see setjoin). A family's lines come
+together once, in blocks; Jaccard is verified there on the words of all of them,
+and a unit's number of links and earliest link leave the task.
 
 Nulls: a null text has no lines; a row without doc_id keeps its lines and is
 compared with none. Lines of fewer than min_words distinct words stay: MIN_WORDS
 unless the caller says otherwise, and with 1 every line that has a word is judged.
-Rows that share a doc_id are taken as one text in a row; their verdicts are the same.
+Rows that share a doc_id get one verdict: a place is removed if one of their lines there is.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, distinct, durable, hash128, mix, slices
-from .setjoin import bucket_counts, candidates
+from .groups import blocks_for, by_group, similar
+from .setjoin import Counters, families
 
 PERCENT, MIN_WORDS = 80, 5
 #: Smaller sets have no similar set but their equals, which need no join: 3 of 4 words are under PERCENT.
@@ -50,37 +53,31 @@ class LineSets:
             self.keys.append(mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]], 31 + k).view(np.int64))
 
 
-SURVEY = "doc_id long, n_lines long, k1 long, k2 long, place int, bucket int, n int"
+SURVEY = "doc_id long, n_lines long, k1 long, k2 long, place int, n int, bucket int, uses long"
+ARROW = {"long": pa.int64(), "int": pa.int32()}
 
 
 def _survey(min_words: int):
-    """Three kinds of rows: documents with their number of lines; lines with enough words and the keys of
-    their sets; counters of the words of the lines that the join takes."""
+    """Three kinds of rows: documents with their number of lines; lines with enough words, and the keys and sizes
+    of their sets; how many words of the lines that the join takes fall to each counter, in all of a task."""
+    fields = {x.split()[0]: ARROW[x.split()[1]] for x in SURVEY.split(", ")}
+
+    def batch_of(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in fields.items()], names=list(fields))
 
     def run(batches):
+        counters = Counters()
         for batch in batches:
             for part in slices(batch):
                 s = LineSets(part.column("text"))
                 docs = part.column("doc_id")
-                joined = s.n >= max(min_words, LEAST_JOINED)
-                bucket, n = bucket_counts(s.tokens[joined[s.of]])
-                use = np.flatnonzero(s.n >= min_words)
+                counters.add(s.tokens[(s.n >= max(min_words, LEAST_JOINED))[s.of]])
                 empty = [x is None for x in part.column("text").to_pylist()]
-                lines = pa.array([0 if e else len(x) for e, x in zip(empty, s.lines, strict=True)], pa.int64())
-                none = lambda k, t: pa.nulls(k, t)
-                d, u, c = len(docs), len(use), len(bucket)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.concat_arrays([docs, docs.take(pa.array(s.row[use])), none(c, pa.int64())]),
-                        pa.concat_arrays([lines, none(u + c, pa.int64())]),
-                        pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[0][use]), none(c, pa.int64())]),
-                        pa.concat_arrays([none(d, pa.int64()), pa.array(s.keys[1][use]), none(c, pa.int64())]),
-                        pa.concat_arrays([none(d, pa.int32()), pa.array(s.place[use].astype(np.int32)), none(c, pa.int32())]),
-                        pa.concat_arrays([none(d + u, pa.int32()), pa.array(bucket)]),
-                        pa.concat_arrays([none(d + u, pa.int32()), pa.array(n)]),
-                    ],
-                    names=[x.split()[0] for x in SURVEY.split(", ")],
-                )
+                yield batch_of(len(docs), doc_id=docs, n_lines=[0 if e else len(x) for e, x in zip(empty, s.lines, strict=True)])
+                use = np.flatnonzero(s.n >= min_words)
+                yield batch_of(len(use), doc_id=docs.take(pa.array(s.row[use])), k1=s.keys[0][use], k2=s.keys[1][use], place=s.place[use].astype(np.int32), n=s.n[use].astype(np.int32))
+        for bucket, uses in counters.rows():
+            yield batch_of(len(bucket), bucket=bucket, uses=uses)
 
     return run
 
@@ -90,35 +87,48 @@ def _unit_sets(min_words: int):
         s = LineSets(part.column("text"))
         use = s.n >= max(min_words, LEAST_JOINED)
         keep = use[s.of]
-        return s.tokens[keep], np.concatenate([[0], np.cumsum(s.n[use])]).astype(np.int64), (s.keys[0][use], s.keys[1][use])
+        return s.tokens[keep], np.concatenate([[0], np.cumsum(s.n[use])]).astype(np.int64), s.keys[0][use]
 
     return sets
 
 
-def _wanted(batches):
-    """The text of the lines at the wanted places."""
-    for batch in batches:
-        for part in slices(batch):
-            rows = [(k["k1"], k["k2"], (x or "").split("\n")[k["place"]]) for x, ks in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True) for k in ks]
-            c = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=["k1", "k2", "line"])
+FAMILY = ("family", "blocks", "own", "k1", "k2", "doc_id", "place", "line")
 
 
-def _similar(batches):
+def _wanted(batches):
+    """The text of the lines at the wanted places, with what is known of their sets."""
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), strict=True):
-            x, y = set(_split(a)), set(_split(b))
-            both = len(x & y)
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["a1", "a2", "b1", "b2"])
-
-
-def _split(line: str) -> list[str]:
-    return [w for w in line.translate(_SPACES).split(" ") if w]
-
-
-_SPACES = dict.fromkeys(range(9, 14), " ")
+        for part in slices(batch):
+            tags = part.column("wanted")
+            row = np.repeat(np.arange(part.num_rows), np.diff(tags.offsets.to_numpy()))
+            tag = tags.flatten()
+            lines = [(x or "").split("\n") for x in part.column("text").to_pylist()]
+            found = [lines[r][p] if p < len(lines[r]) else "" for r, p in zip(row.tolist(), tag.field("place").to_pylist(), strict=True)]
+            known = {c: tag.field(c) for c in FAMILY[:5] + ("place",)} | {"doc_id": part.column("doc_id").take(pa.array(row)), "line": pa.array(found, pa.string())}
+            keys = LineSets(known["line"]).keys  # rows that share an id may have other lines there
+            same = (keys[0] == known["k1"].to_numpy()) & (keys[1] == known["k2"].to_numpy())
+            yield pa.RecordBatch.from_arrays([known[c] for c in FAMILY], names=FAMILY).filter(pa.array(same))
+
+
+def _links_in_family(table: pa.Table):
+    """Of each set of a family, or of two blocks of one: how many others are similar, and the earliest line of those."""
+    c = {k: table.column(k).to_numpy() for k in ("own", "k1", "k2", "doc_id", "place")}
+    order = np.lexsort((c["place"], c["doc_id"], c["k2"], c["k1"]))
+    again = (c["k1"][order][1:] == c["k1"][order][:-1]) & (c["k2"][order][1:] == c["k2"][order][:-1])
+    order = order[np.concatenate([[True], ~again])]  # a line of repeated rows is one set
+    c = {k: x[order] for k, x in c.items()}
+    w = Words(table.column("line").combine_chunks().take(pa.array(order)))
+    size = max(1, len(w.distinct))
+    pair = distinct(w.row * size + w.codes)
+    link = similar(pair % size, np.searchsorted(pair // size, np.arange(len(order) + 1)), PERCENT)
+    if table.column("lo")[0] != table.column("hi")[0]:
+        link &= c["own"][:, None] != c["own"][None, :]
+    links = link.sum(axis=1)
+    use = np.flatnonzero(links)
+    early = np.lexsort((c["place"], c["doc_id"]))
+    first = early[link[use][:, early].argmax(axis=1)] if len(use) else use
+    columns = [c["k1"][use], c["k2"][use], links[use].astype(np.int64), c["doc_id"][first], c["place"][first]]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "links", "first_doc", "first_place"])
 
 
 def _cut(batches):
@@ -135,22 +145,23 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, n_lines, n_removed, n_links (links of its lines' sets), removed (places from 0)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     survey = durable(source.mapInArrow(_survey(min_words), SURVEY), "survey")
-    places = survey.where("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2", "place")
+    places = survey.where("k1 is not null and doc_id is not null").select("doc_id", "k1", "k2", "place", "n")
     key = ["k1", "k2"]
     first = places.groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    least = places.groupBy(*key, "doc_id").agg(F.min("place").alias("first_place"))
+    least = places.groupBy(*key, "doc_id").agg(F.min("place").alias("first_place"), F.first("n").alias("n"))
     units = durable(least.join(first, [*key, "doc_id"]).withColumnRenamed("doc_id", "first_doc"), "units")
 
-    pairs = durable(candidates(source.where("doc_id is not null"), _unit_sets(min_words), PERCENT, counted=survey.where("bucket is not null").select("bucket", "n")), "line-pairs")
-    ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    wanted = units.join(ends, "k1").groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(*key, F.col("first_place").alias("place"))).alias("wanted"))
-    lines = durable(source.join(wanted, "doc_id").mapInArrow(_wanted, "k1 long, k2 long, line string").dropDuplicates(key), "line-texts")
-    a, b = (lines.select(F.col("k1").alias(s), F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"line_{s}")) for s in "ab")
-    links = durable(pairs.join(a, "a").join(b, "b").drop("a", "b").mapInArrow(_similar, "a1 long, a2 long, b1 long, b2 long"), "line-links")
-
-    both = links.union(links.select("b1", "b2", "a1", "a2")).toDF(*key, "o1", "o2")
-    other = units.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.struct("first_doc", "first_place").alias("other"))
-    near = both.join(other, ["o1", "o2"]).groupBy(*key).agg(F.min("other").alias("earliest"), F.count("*").alias("links"))
+    named = source.where("doc_id is not null")
+    family = families(named, _unit_sets(min_words), PERCENT, survey.where("bucket is not null").select("bucket", F.col("uses").alias("n")))
+    members = units.join(family, F.col("k1") == family["id"]).select("component", *key, "first_doc", "first_place", "n")
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("t")).select("component", blocks_for(F.col("m"), F.col("t")).alias("blocks"))
+    tags = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
+    tags = tags.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("component").alias("family"), "blocks", "own", *key, F.col("first_place").alias("place"))).alias("wanted"))
+    lines = named.join(tags, "doc_id").mapInArrow(_wanted, "family long, blocks int, own int, k1 long, k2 long, doc_id long, place int, line string")
+    lines = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = ["family", "lo", "hi"]
+    near = lines.select(*dealt, "own", *key, "doc_id", "place", "line").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(by_group(dealt, _links_in_family), "k1 long, k2 long, links long, first_doc long, first_place int")
+    near = durable(near.groupBy(*key).agg(F.sum("links").alias("links"), F.min(F.struct("first_doc", "first_place")).alias("earliest")), "line-links")
     # only sets that are repeated or linked decide anything: most lines drop out here
     known = units.join(near, key, "left").where("copies > 1 or links > 0").select(*key, F.struct("first_doc", "first_place").alias("first"), "earliest", F.coalesce("links", F.lit(0)).alias("links"))
     here = F.struct(F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place"))
