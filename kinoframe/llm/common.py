@@ -24,6 +24,12 @@ SLICE_CHARS = 2_000_000
 _own_root: dict[str, str] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: one large file may be a single split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only in local mode with none set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -34,10 +40,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_root.setdefault("dir", tempfile.mkdtemp(prefix="spark-kinoframe-", dir="/tmp"))
 
 
+def tables_root(spark: SparkSession) -> str:
+    """The folder of this application's durable tables in the shared one."""
+    return f"{scratch_root(spark)}/kinoframe-{spark.sparkContext.applicationId}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all durable tables of this application, when no result of its operators is read any more."""
+    _delete(spark, tables_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame, name: str, partition: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends at files that survive executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -45,7 +66,8 @@ def durable(df: DataFrame, name: str, partition: list[str] | None = None) -> Dat
     return out
 
 
-ROW = "_row"
+#: A column that input tables are not expected to have.
+ROW = "__kinoframe_row__"
 
 
 def content_hash(df: DataFrame) -> Column:
@@ -65,9 +87,7 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
-    spark, path = df.sparkSession, df._durable_path
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(df.sparkSession, df._durable_path)
 
 
 def words_of(text: Column) -> Column:

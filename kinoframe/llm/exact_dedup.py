@@ -4,12 +4,12 @@ A text's UTF-8 bytes are cut where a rolling hash of the last 32 bytes hits a
 pattern, so equal passages give equal chunks wherever they stand. Every
 distinct chunk is shuffled once (copies collapse before the shuffle) to check
 that its 64-bit hash names one content only; hashes that name several get a
-rank within the hash. A document is then its ordered list of chunk
+rank within the hash, told to the texts that hold them. A document is then its ordered list of chunk
 identifiers, and only these short lists are grouped and joined.
 
 Nulls: a null text counts as empty; empty texts equal each other. A null
 doc_id never wins against another id. Repeated rows (same id and text) count
-in group_size and share the verdict of their id. Other columns are ignored.
+in group_size; rows of one id and different texts belong to their texts' groups. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,13 +100,14 @@ def _chunks(bits: int, placed: bool):
             for part in slices(batch):
                 rows = []
                 texts = [(x or "").encode() for x in part.column("text").to_pylist()]
-                for doc, chunks in zip(part.column("doc_id").to_pylist(), chunks_of(texts), strict=True):
-                    rows += [(h, c, doc, i) for i, (h, c) in enumerate(zip(_names(chunks, bits), chunks, strict=True))]
+                for text, chunks in zip(texts, chunks_of(texts), strict=True):
+                    sha = hashlib.sha256(text).digest() if placed else None
+                    rows += [(h, c, sha, i) for i, (h, c) in enumerate(zip(_names(chunks, bits), chunks, strict=True))]
                 columns = list(zip(*rows, strict=True)) or [[], [], [], []]
                 arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())]
                 if placed:
-                    arrays += [pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "content", "doc_id", "at"][: len(arrays)])
+                    arrays += [pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "content", "sha", "at"][: len(arrays)])
 
     return run
 
@@ -123,10 +124,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if many.isEmpty():
         recipes = recipes.withColumn("ranks", F.array().cast("array<struct<at:int,rank:int>>"))
     else:
-        placed = source.mapInArrow(_chunks(hash_bits, True), "h long, content binary, doc_id long, at int")
+        placed = source.mapInArrow(_chunks(hash_bits, True), "h long, content binary, sha binary, at int")
         unsure = distinct.join(many, "h", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("content")))
-        ranks = placed.join(unsure, ["h", "content"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "rank"))).alias("ranks"))
-        recipes = recipes.join(ranks, "doc_id", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<at:int,rank:int>>")))
+        ranks = placed.join(unsure, ["h", "content"]).groupBy("sha").agg(F.array_sort(F.collect_set(F.struct("at", "rank"))).alias("ranks"))
+        recipes = recipes.join(ranks, "sha", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<struct<at:int,rank:int>>")))
     groups = recipes.groupBy("recipe", "ranks").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     return recipes.join(groups, ["recipe", "ranks"], "left").select(
         "doc_id",

@@ -20,6 +20,8 @@ Reruns agree: dither comes from a hash of doc_id (null: a fixed value) and size.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import ROW, WORD, durable, numbered, release
 WEIGHTS, BUDGET, MAX_RATE = (5, 2, 1), 1.5, 2.0
 NEWTON_STEPS, BINS, ROUNDS = 40, 1024, 3
 TOLERANCE = 1e-6
+#: A column that input tables are not expected to have.
+COPIES = "__kinoframe_copies__"
 #: Parts that the rows of one source are dealt to when they meet its row.
 SPREAD = 64
 
@@ -76,6 +80,8 @@ def solve_dual(hist: DataFrame, state: DataFrame) -> DataFrame:
         state = new
         if not state.where((F.col("step") > 0) & (F.col("target") < MAX_RATE * F.col("source_size")) & (F.abs("lam") < 1e5)).head(1):
             break
+    else:
+        warnings.warn(f"a source's rates did not meet its target within {NEWTON_STEPS} Newton steps", stacklevel=2)
     return state.drop("low", "high", "step")
 
 
@@ -150,6 +156,6 @@ def _shifts(rated: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with each row as often as the mix takes it, whatever ids rows share; columns as they were."""
     rows = numbered(docs, "mix-rows")
-    copies = mix(rows, id_col, row_col=ROW, **options).where("copies > 0").select(ROW, F.col("copies").alias("_copies"))
+    copies = mix(rows, id_col, row_col=ROW, **options).where("copies > 0").select(ROW, F.col("copies").alias(COPIES))
     many = rows.join(copies, ROW)
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return many.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias(COPIES)).select(*docs.columns)

@@ -11,6 +11,7 @@ starting where one could no longer hold the longest tail.
 
 Nulls: a null text counts as empty, whose only token is the end id. Repeated
 rows are packed as often as they stand; equal pieces take different places.
+Groups are dealt by row, so pieces of null or shared ids spread like others.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ class WordEncoder:
     the joined bytes, not of the pair; both agree if each token comes out of
     its own text, since a span whose ends no merge crosses merges as it would
     alone. Tokens that fail this in the tokenizers library can never appear
-    there and are left out of the ranks. Other words go to that library itself.
+    there and are left out of the ranks. Other words go to that library itself,
+    and so do those that hold a special token's string, which it cuts out.
     """
 
     def __init__(self, path: str):
@@ -57,8 +59,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         config = json.loads(self.whole.to_str())
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in config["added_tokens"]) or "(?!)", regex.IGNORECASE)
         self.parts = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         vocab, suffix = config["model"]["vocab"], config["model"]["end_of_word_suffix"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -96,7 +98,7 @@ class WordEncoder:
         """All ids of the texts, and each text's offset in them."""
         words = Words(texts)
         distinct = words.distinct.to_pylist()
-        is_plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in distinct), bool, len(distinct))
+        is_plain = np.fromiter((PLAIN.fullmatch(w) is not None and not self.special.search(w) for w in distinct), bool, len(distinct))
         table, length = self.plain([w for w, x in zip(distinct, is_plain, strict=True) if x])
         odd = [np.array(x.ids, dtype=np.uint32) for x in self.whole.encode_batch_fast([w for w, x in zip(distinct, is_plain, strict=True) if not x], add_special_tokens=False)]
         each = np.zeros(len(distinct), np.int64)
@@ -158,7 +160,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 def harmonic_pack(pieces: DataFrame) -> DataFrame:
     """pieces (columns length, doc_id, start and any others) with sequence_id and offset.
 
-    Lengths must be from 1 to 4096; the table is read twice, so make it durable if it is dear.
+    Lengths must be from 1 to 4096. The table is read twice and its rows are numbered, so make it durable.
     """
     n = F.col("length")
     k = F.least(F.floor(CAPACITY / n), F.lit(CLASSES)).cast("int")
@@ -167,7 +169,7 @@ def harmonic_pack(pieces: DataFrame) -> DataFrame:
     pieces = pieces.withColumn("_class", k * 2 + exact.cast("int"))
     counts = {r["_class"]: r["count"] for r in pieces.groupBy("_class").count().collect()}  # 130 rows at most
     groups = F.create_map(*(F.lit(x) for c, m in counts.items() for x in (c, -(-m // GROUP_PIECES)))) if counts else F.lit(None).cast("map<int,int>")
-    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start"), F.element_at(groups, F.col("_class"))).cast("long"))
+    pieces = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(groups, F.col("_class"))).cast("long"))
     line = Window.partitionBy("_class", "_group").orderBy("doc_id", "start", "length")
     before = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("_class", "_group")

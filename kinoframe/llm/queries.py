@@ -5,23 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, substring, toxicity
+from .common import spread
 
-try:
-    import public_tokenizers
-
-    WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-except ModuleNotFoundError:  # the vocabulary files are a parameter of the operators
-    WORD_BPE, PIECE_BPE = "/opt/tokenizers/word_bpe_49k.json", "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary files: a parameter of the operators, here those of the installed public collection.
+WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers on this machine find the package where the driver did; a cluster has it installed
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +52,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents(spark, sf_dir)
-    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    known = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "role", "text")
+    conversations = table(spark, sf_dir, "conversations")
+    known = conversations.where(~chat.held_out(F.col("conv_id"))).select(F.col("conv_id").alias("conv"), F.col("turn").alias("pos"), "role", "text")
     return chat.parse_transcripts(chat.transcript_passages(conversations), chat.fit(known)).select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "part", "role", "continues", "rendered")
 
 
@@ -71,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
