@@ -10,8 +10,8 @@ together once, in blocks; Jaccard is verified there on the words of all of them,
 and a unit's number of links and earliest link leave the task.
 
 Nulls: a null text has no lines; a row without doc_id keeps its lines and is
-compared with none. Lines of fewer than min_words distinct words stay: MIN_WORDS
-unless the caller says otherwise, and with 1 every line that has a word is judged.
+compared with none. Lines of fewer than min_words distinct words stay; with
+MIN_WORDS every line that has a word is judged, one without stays.
 Rows that share a doc_id get one verdict: a place is removed if one of their lines there is.
 """
 
@@ -26,7 +26,7 @@ from .common import Words, distinct, durable, hash128, mix, slices
 from .groups import blocks_for, by_group, similar
 from .setjoin import Counters, families
 
-PERCENT, MIN_WORDS = 80, 5
+PERCENT, MIN_WORDS = 80, 1
 #: Smaller sets have no similar set but their equals, which need no join: 3 of 4 words are under PERCENT.
 LEAST_JOINED = 4
 

@@ -30,11 +30,6 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_verdicts(documents(spark, sf_dir)).withColumn("removed", F.array_join("removed", ","))
 
 
-def op1_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1 over every line that has a word; op1_line_dedup itself leaves out what its SQL leaves out."""
-    return line_dedup.line_verdicts(documents(spark, sf_dir), min_words=1).withColumn("removed", F.array_join("removed", ","))
-
-
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), WORD_BPE)
 
@@ -76,7 +71,7 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op1_line_dedup_all, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
 }
 
 ORACLES: dict[str, str] = {
@@ -84,7 +79,7 @@ ORACLES: dict[str, str] = {
 WITH lines AS (
     SELECT doc_id, i, l[i] AS line, list_sort(list_distinct(list_filter(regexp_split_to_array(l[i], '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w
     FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
-), sets AS (SELECT w, min((doc_id, i)) AS first, len(w) AS n FROM lines WHERE len(w) >= 5 GROUP BY w),
+), sets AS (SELECT w, min((doc_id, i)) AS first, len(w) AS n FROM lines WHERE len(w) >= 1 GROUP BY w),
 numbered AS (SELECT *, row_number() OVER (ORDER BY first) AS u FROM sets),
 tokens AS (SELECT u, n, unnest(w) AS t FROM numbered),
 links AS (
@@ -142,5 +137,3 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """,
 }
-
-ORACLES["op1_line_dedup_all"] = ORACLES["op1_line_dedup"].replace("WHERE len(w) >= 5", "WHERE len(w) >= 1")
