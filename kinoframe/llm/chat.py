@@ -9,25 +9,30 @@ Viterbi runs in blocks, as max-plus matrix products are associative: each
 passage becomes a 6 x 6 matrix of best scores, passages join in blocks of 64
 positions, blocks in blocks, until a transcript is one block. On the way back
 every block learns the states it begins and ends in, and fixes those of its
-members. So a transcript of any length takes groups of 64 members at most,
-times the rows that share a position.
+members. A task works on many blocks at once: step by step over all of them.
+
+Each turn is written as its role, its lines and an end mark; the mark comes
+where the next turn begins, or the transcript ends, so a turn that goes on in
+the next passage stays one. The rows of a transcript in order, one under the
+other, are its canonical form.
 
 Nulls: a null text is one empty line; rows with a null transcript id form one
-transcript, null positions come first. Rows at one position go by their text.
-An empty table gives no turns, and an untrained model has even odds.
+transcript, null positions come first. Rows at one position go by their text,
+and repeated rows share one place and one rendering. An empty table gives no
+turns, and an untrained model has even odds.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, release
+from .groups import changes, whole_groups
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role * 2 + (0 begins, 1 continues)
@@ -37,6 +42,11 @@ MARKERS = {"system": ("system", "instructions"), "user": ("user", "human", "you"
 _OF = {m: r for r, ms in MARKERS.items() for m in ms}
 _MARKER = re.compile(r"^\s*(?:#+\s*|\*\*|<\|?|\[)?(" + "|".join(sorted(_OF, key=len, reverse=True)) + r")(?:\*\*)?\s*(?::|\|?>|\])\s*(?:\*\*)?", re.IGNORECASE)
 LENGTHS = (1, 4, 12, 40)
+FEATURES = 2 * (len(LENGTHS) + 1)
+#: Lines whose matrices a task holds at once.
+LINES_AT_ONCE = 50_000
+
+Model = dict[str, np.ndarray]
 
 
 def marker_of(line: str) -> tuple[str | None, str]:
@@ -51,10 +61,12 @@ def feature(line: str) -> int:
     return 2 * sum(n >= x for x in LENGTHS) + line.rstrip().endswith("?")
 
 
-FEATURES = 2 * (len(LENGTHS) + 1)
+def held_out(conv: Column) -> Column:
+    """A fold of transcripts that a model is not fitted on: a quarter, by crc32."""
+    return F.coalesce(F.crc32(conv.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(turns: DataFrame) -> dict[str, np.ndarray]:
+def fit(turns: DataFrame) -> Model:
     """Log odds from labelled turns (conv, pos, role, text): small tables of fixed size."""
     turns = turns.where(F.col("role").isin(*ROLES))
     change, first = np.ones((3, 3)), np.ones(3)
@@ -67,14 +79,13 @@ def fit(turns: DataFrame) -> dict[str, np.ndarray]:
             change[ROLES.index(r["before"]), ROLES.index(r["role"])] += r["count"]
 
     def count(batches):
+        seen = np.zeros((len(ROLES), 2, FEATURES), np.int64)
         for batch in batches:
-            seen: dict[tuple, int] = {}
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for i, line in enumerate((text or "").split("\n")):
-                    key = (ROLES.index(role), int(i > 0), feature(marker_of(line)[1]))
-                    seen[key] = seen.get(key, 0) + 1
-            c = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["r", "later", "f", "n"])
+                    seen[ROLES.index(role), int(i > 0), feature(marker_of(line)[1])] += 1
+        at = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(seen[at])], names=["r", "later", "f", "n"])
 
     emit = np.ones((STATES, FEATURES))
     for r in turns.select("role", "text").mapInArrow(count, "r long, later long, f long, n long").groupBy("r", "later", "f").agg(F.sum("n").alias("n")).collect():
@@ -90,134 +101,179 @@ def fit(turns: DataFrame) -> dict[str, np.ndarray]:
     return {"move": np.log(move), "start": np.log(start), "emit": np.log(emit / emit.sum(axis=1, keepdims=True))}
 
 
-def line_scores(text: str | None, model: dict[str, np.ndarray]) -> np.ndarray:
-    """Log odds (line, state) of a passage's lines."""
-    lines = (text or "").split("\n")
-    out = np.zeros((len(lines), STATES))
-    for i, line in enumerate(lines):
-        role, rest = marker_of(line)
-        out[i] = model["emit"][:, feature(rest)]
-        for s in range(STATES):
-            own, begins = ROLES[s // 2] == role, s % 2 == 0
-            out[i, s] += math.log((0.5 if role is None else 0.45 if own else 0.025) if begins else (0.98 if role is None else 0.01))
-            out[i, s] += math.log((0.9 if i == 0 else 0.1) if begins else (0.05 if i == 0 else 0.95))
+def line_odds(model: Model) -> np.ndarray:
+    """Log odds of every kind of line, by (feature, role of the marker or 3 for none, opens its passage, state)."""
+    out = np.repeat(np.repeat(model["emit"].T[:, None, None, :], 4, axis=1), 2, axis=2)
+    for s in range(STATES):
+        begins = s % 2 == 0
+        out[:, :3, :, s] += np.log(0.025 if begins else 0.01)
+        out[:, 3, :, s] += np.log(0.5 if begins else 0.98)
+        if begins:
+            out[:, s // 2, :, s] += np.log(0.45 / 0.025)
+        out[:, :, 1, s] += np.log(0.9 if begins else 0.05)
+        out[:, :, 0, s] += np.log(0.1 if begins else 0.95)
     return out
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+class Lines:
+    """The lines of some passages: each one's passage, marker, text without it, and step matrix."""
+
+    def __init__(self, texts: list[str | None], heads: np.ndarray, model: Model, odds: np.ndarray):
+        split = [(x or "").split("\n") for x in texts]
+        self.count = np.array([len(x) for x in split], dtype=np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.text = [line for x in split for line in x]
+        marked = [marker_of(line) for line in self.text]
+        self.rest = [rest for _, rest in marked]
+        self.marker = np.array([len(ROLES) if role is None else ROLES.index(role) for role, _ in marked], dtype=np.int64)
+        opens = np.zeros(len(self.text), np.int64)
+        opens[self.begin] = 1
+        scores = odds[np.fromiter(map(feature, self.rest), np.int64, len(self.rest)), self.marker, opens]
+        self.steps = model["move"][None] + scores[:, None, :]
+        at = self.begin[heads]
+        self.steps[at] = model["start"][None, None, :] + scores[at][:, None, :]
+
+
+def products(m: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The max-plus product of each run of matrices (counts of one or more), neighbours first."""
+    while (count > 1).any():
+        of = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(m)) - np.repeat(np.cumsum(count) - count, count)
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < count[of]))
+        both = (m[left][:, :, :, None] + m[left + 1][:, None, :, :]).max(axis=2)
+        m = m.copy()
+        m[left] = both
+        m = m[place % 2 == 0]
+        count = (count + 1) // 2
+    return m
+
+
+def best_paths(m: np.ndarray, count: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The state after each matrix, on the best path of each run; begin and end are its outer states, -1: any."""
+    first, most = np.cumsum(count) - count, int(count.max(initial=0))
+    score = np.where((begin[:, None] == np.arange(STATES)) | (begin[:, None] < 0), 0.0, -np.inf)
+    back, out = np.zeros((len(m), STATES), np.int8), np.zeros(len(m), np.int64)
+    for k in range(most):
+        live = np.flatnonzero(count > k)
+        full = score[live][:, :, None] + m[first[live] + k]
+        back[first[live] + k] = full.argmax(axis=1)
+        score[live] = full.max(axis=1)
+    state = np.where(end < 0, score.argmax(axis=1), end)
+    for k in range(most - 1, -1, -1):
+        live = np.flatnonzero(count > k)
+        out[first[live] + k] = state[live]
+        state[live] = back[first[live] + k, state[live]]
+    return out
 
 
-def step(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """From the state before a line to the state in it."""
-    return move + scores[None, :]
+_MATRIX = "array<double>"
 
 
-def best_path(matrices: list[np.ndarray], begin: int | None, end: int | None, start: np.ndarray) -> list[int]:
-    """The states after each matrix; begin is the state before the first (None: use start), end the last's."""
-    score, back = start if begin is None else np.where(np.arange(STATES) == begin, 0.0, -np.inf), []
-    for m in matrices:
-        full = score[:, None] + m
-        back.append(full.argmax(axis=0))
-        score = full.max(axis=0)
-    state = int(score.argmax()) if end is None else end
-    out = [state]
-    for b in reversed(back[1:]):
-        state = int(b[state])
-        out.append(state)
-    return out[::-1]
+def _matrices(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = table.column("m")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATES, STATES)
 
 
-_MATRIX = "array<double>"
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), STATES * STATES).cast(pa.list_(pa.float64()))
+
 
+def _runs(table: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    first = np.concatenate([[0], changes(table, keys)]).astype(np.int64)
+    return first, np.diff(np.append(first, table.num_rows))
 
-def _up(table: pa.Table) -> pa.Table:
-    order = table.sort_by([("idx", "ascending"), ("tie", "ascending")])
-    m = None
-    for x in order.column("m").to_pylist():
-        x = np.array(x).reshape(STATES, STATES)
-        m = x if m is None else times(m, x)
-    return pa.table({"conv": order.column("conv")[:1], "idx": pa.array([order.column("idx")[0].as_py() // SPAN], pa.int64()), "tie": pa.array([""]), "m": pa.array([m.reshape(-1)], pa.list_(pa.float64()))})
 
+def _up(batches):
+    for table in whole_groups(batches, ["conv", "block"], LINES_AT_ONCE):
+        first, count = _runs(table, ["conv", "block"])
+        at = pa.array(first)
+        yield pa.RecordBatch.from_arrays([table.column("conv").combine_chunks().take(at), table.column("block").combine_chunks().take(at), pa.array([""] * len(first)), _lists(products(_matrices(table), count))], names=["conv", "idx", "tie", "m"])
 
-def _down(start: np.ndarray):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """left: the members of a block; right: the block's states, or null at the top."""
-        order = left.sort_by([("idx", "ascending"), ("tie", "ascending")])
-        if not order.num_rows:
-            return order.select(["conv", "idx", "tie"]).append_column("begin", pa.array([], pa.int32())).append_column("end", pa.array([], pa.int32()))
-        begin, end = (right.column(c)[0].as_py() for c in ("begin", "end"))
-        states = best_path([np.array(x).reshape(STATES, STATES) for x in order.column("m").to_pylist()], begin, end, start)
-        return order.select(["conv", "idx", "tie"]).append_column("begin", pa.array([begin, *states[:-1]], pa.int32())).append_column("end", pa.array(states, pa.int32()))
 
-    return run
+def _down(batches):
+    """The states before and in each member of the blocks, whose own are in b and e."""
+    for table in whole_groups(batches, ["conv", "block"], LINES_AT_ONCE):
+        first, count = _runs(table, ["conv", "block"])
+        b, e = (table.column(c).to_numpy() for c in ("b", "e"))
+        states = best_paths(_matrices(table), count, b[first], e[first])
+        before = np.concatenate([[0], states[:-1]])
+        before[first] = b[first]
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("conv", "idx", "tie")), pa.array(before.astype(np.int32)), pa.array(states.astype(np.int32))], names=["conv", "idx", "tie", "begin", "end"])
 
 
-def parse_transcripts(passages: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def parse_transcripts(passages: DataFrame, model: Model) -> DataFrame:
     """Turns (conv, pos, part, role, continues, text, rendered) of passages (conv, pos, text), each of some lines."""
-    # the virtual state before a transcript: any of equal score, whose first step is the start's
-    begin_scores = np.zeros(STATES)
-    shared = passages.sparkSession.sparkContext.broadcast(model)
+    shared = passages.sparkSession.sparkContext.broadcast((model, line_odds(model)))
+
+    def pieces(batch):
+        """Slices of a batch with a bounded number of lines."""
+        sizes = np.array([1 if x is None else x.count("\n") + 1 for x in batch.column("text").to_pylist()])
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(LINES_AT_ONCE, int(sizes.sum()), LINES_AT_ONCE)) + 1
+        edges = np.unique(np.concatenate([[0], cuts, [batch.num_rows]])).clip(max=batch.num_rows).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            yield part, Lines(part.column("text").to_pylist(), np.array(part.column("head").to_pylist(), bool), *shared.value)
 
     def matrices(batches):
-        model = shared.value
         for batch in batches:
-            out = []
-            for text, head in zip(batch.column("text").to_pylist(), batch.column("head").to_pylist(), strict=True):
-                m = None
-                for i, s in enumerate(line_scores(text, model)):
-                    one = step(s, np.tile(model["start"], (STATES, 1)) if head and i == 0 else model["move"])
-                    m = one if m is None else times(m, one)
-                out.append(m.reshape(-1))
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("idx"), batch.column("tie"), pa.array(out, pa.list_(pa.float64()))], names=["conv", "idx", "tie", "m"])
-
-    base = passages.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("conv").alias("_conv"), "pos", "text")
-    low = base.groupBy("conv").agg(F.min(F.coalesce("pos", F.lit(-1))).alias("low"))
-    base = base.join(low, "conv").withColumn("idx", F.coalesce("pos", F.lit(-1)) - F.col("low")).withColumn("tie", F.sha2(F.coalesce("text", F.lit("")), 256))
+            for part, lines in pieces(batch):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv", "idx", "tie")), _lists(products(lines.steps, lines.count))], names=["conv", "idx", "tie", "m"])
+
+    base = passages.select(F.coalesce(F.col("conv").cast("string"), F.lit("")).alias("conv"), F.col("conv").alias("_conv"), F.coalesce("pos", F.lit(-1)).alias("at"), "pos", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("tie"))
+    ends = base.groupBy("conv").agg(F.min(F.struct("at", "tie")).alias("low"), F.max(F.struct("at", "tie")).alias("high"))
+    here = F.struct("at", "tie")
+    lines = base.join(ends, "conv").withColumns({"idx": F.col("at") - F.col("low.at"), "head": here == F.col("low"), "last": here == F.col("high")})
+    lines = durable(lines.drop("low", "high", "at"), "passages")
     # repeated rows are one member of a block
-    lines = durable(base.withColumn("head", F.col("idx") == 0).drop("low"), "passages")
     level = durable(lines.select("conv", "idx", "tie", "text", "head").dropDuplicates(["conv", "idx", "tie"]).mapInArrow(matrices, f"conv string, idx long, tie string, m {_MATRIX}"), "level")
     levels, most = [level], level.agg(F.max("idx")).first()[0] or 0
-    while most > 0:
-        level = durable(level.groupBy("conv", F.floor(F.col("idx") / SPAN).alias("block")).applyInArrow(_up, f"conv string, idx long, tie string, m {_MATRIX}"), "level")
+    order = ["conv", "block", "idx", "tie"]
+    while most >= SPAN:
+        members = level.withColumn("block", F.floor(F.col("idx") / SPAN)).repartition("conv", "block").sortWithinPartitions(*order)
+        level = durable(members.mapInArrow(_up, f"conv string, idx long, tie string, m {_MATRIX}"), "level")
         levels.append(level)
         most //= SPAN
-    states = levels[-1].select("conv", F.lit(0).cast("long").alias("block"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end")).distinct()
+    states = None
     for level in reversed(levels):
         members = level.withColumn("block", F.floor(F.col("idx") / SPAN))
-        below = members.groupBy("conv", "block").cogroup(states.groupBy("conv", "block")).applyInArrow(_down(begin_scores), "conv string, idx long, tie string, begin int, end int")
-        below = durable(below, "states")
-        states = below.select("conv", F.col("idx").alias("block"), "begin", "end")
+        if states is None:  # one block a transcript, whose outer states are any
+            members = members.withColumns({"b": F.lit(-1), "e": F.lit(-1)}).repartition("conv", "block")
+        else:
+            members = members.join(states, ["conv", "block"]).repartition("conv", "block")
+        below = durable(members.sortWithinPartitions(*order).mapInArrow(_down, "conv string, idx long, tie string, begin int, end int"), "states")
+        states = below.select("conv", F.col("idx").alias("block"), F.col("begin").alias("b"), F.col("end").alias("e"))
     for level in levels:
         release(level)
 
     def render(batches):
-        model = shared.value
         for batch in batches:
-            rows = []
-            for conv, pos, text, head, begin, end in zip(*(batch.column(c).to_pylist() for c in ("_conv", "pos", "text", "head", "begin", "end")), strict=True):
-                lines, scores = (text or "").split("\n"), line_scores(text, model)
-                move = [step(s, np.tile(model["start"], (STATES, 1)) if head and i == 0 else model["move"]) for i, s in enumerate(scores)]
-                path, part = best_path(move, begin, end, np.zeros(STATES)), -1
-                turns: list[list] = []
-                for s, line in zip(path, lines, strict=True):
-                    role, rest = marker_of(line)
-                    body = rest if role == ROLES[s // 2] else line
-                    if s % 2 == 0 or not turns:
-                        turns.append([ROLES[s // 2], s % 2 == 1, [body]])
-                    else:
-                        turns[-1][2].append(body)
-                for part, (role, continues, body) in enumerate(turns):
-                    said = "\n".join(body)
-                    rows.append((conv, pos, part, role, continues, said, said if continues else f"<|{role}|>\n{said}\n<|end|>"))
-            c = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["conv", "pos", "part", "role", "continues", "text", "rendered"])
-
-    found = below.select(F.col("conv").alias("c"), F.col("idx").alias("i"), F.col("tie").alias("t"), "begin", "end")
-    full = lines.join(found, (F.col("conv") == F.col("c")) & (F.col("idx") == F.col("i")) & (F.col("tie") == F.col("t")))
-    return full.select("_conv", "pos", "text", "head", "begin", "end").mapInArrow(render, "conv long, pos long, part int, role string, continues boolean, text string, rendered string")
+            for part, lines in pieces(batch):
+                begin, end = (part.column(c).to_numpy() for c in ("begin", "end"))
+                path = best_paths(lines.steps, lines.count, begin, end)
+                own = lines.marker == path // 2  # a marker of another role is part of the text
+                body = [rest if x else text for x, rest, text in zip(own.tolist(), lines.rest, lines.text, strict=True)]
+                new = path % 2 == 0
+                opens = np.zeros(len(path), bool)
+                opens[lines.begin] = True
+                cut = np.flatnonzero(new | opens)
+                row = np.repeat(np.arange(part.num_rows), lines.count)[cut]
+                said = ["\n".join(body[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(body)], strict=True)]
+                heads, lasts = (np.array(part.column(c).to_pylist(), bool) for c in ("head", "last"))
+                is_head = heads[row] & opens[cut]
+                is_last = lasts[row] & np.append(row[1:] != row[:-1], True)
+                roles = [ROLES[s] for s in (path[cut] // 2).tolist()]
+                rendered = [
+                    ("" if head or not begins else "<|end|>\n") + (f"<|{role}|>\n" if begins or head else "") + text + ("\n<|end|>" if last else "")
+                    for text, role, begins, head, last in zip(said, roles, new[cut].tolist(), is_head.tolist(), is_last.tolist(), strict=True)
+                ]
+                number = np.arange(len(cut)) - np.repeat(np.flatnonzero(opens[cut]), np.diff(np.append(np.flatnonzero(opens[cut]), len(cut))))
+                at = pa.array(row)
+                columns = [part.column("_conv").take(at), part.column("pos").take(at), pa.array(number.astype(np.int32)), pa.array(roles), pa.array(~new[cut] & ~is_head), pa.array(said), pa.array(rendered)]
+                yield pa.RecordBatch.from_arrays(columns, names=["conv", "pos", "part", "role", "continues", "text", "rendered"])
+
+    full = lines.join(below, ["conv", "idx", "tie"])
+    return full.select("_conv", "pos", "text", "head", "last", "begin", "end").mapInArrow(render, "conv long, pos long, part int, role string, continues boolean, text string, rendered string")
 
 
 def transcript_passages(conversations: DataFrame) -> DataFrame:

@@ -62,6 +62,26 @@ def by_group(keys: list[str], work: GroupWork):
     return run
 
 
+def whole_groups(batches, keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows, many at once: `rows` or more, but for the last (keys without nulls)."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = changes(table, keys)
+        if len(cut):
+            yield table.slice(0, int(cut[-1]))
+            table = table.slice(int(cut[-1]))
+        held, size = table.to_batches(), table.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def overlaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many tokens each two of the sets share, as a matrix; tokens of a set are distinct."""
     g = len(offsets) - 1
