@@ -5,8 +5,9 @@ A word's probability is the sum over all its segmentations into pieces, by the
 forward algorithm; a text's is the product over its words (runs of letters,
 lower-cased, with a word-start mark). Piece probabilities are learned by EM:
 forward-backward counts over a word table of a bounded sample of labelled
-documents (SAMPLE_DOCS a language, chosen by hash), summed by Spark.
-A word longer than LONGEST characters is scored in parts of that length.
+documents (SAMPLE_DOCS a language, chosen by hash), summed by Spark. Sums are
+scaled as they go, so a word may have any length, and there may be any number
+of languages; the model is one number for each language and piece.
 
 Nulls: a null text, or one without letters, is `und` with score 0. Rows with a
 null lang teach nothing. With nothing to learn from, all is `und`.
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import Words, durable, slices
 
-SAMPLE_DOCS, ROUNDS, MOST_LANGUAGES = 2000, 2, 256
-LONGEST, LONGEST_PIECE, UNKNOWN = 32, 16, 1e-9
-SCORE_CHARS = 8_000_000
+SAMPLE_DOCS, ROUNDS, UNKNOWN = 2000, 2, 1e-9
+#: Steps after which sums are scaled: UNKNOWN ** RESCALE is far from underflow.
+RESCALE = 16
+#: Characters scored at once, and numbers that a group of words may take.
+SCORE_CHARS, CELLS = 8_000_000, 4_000_000
 _BASE = np.uint64(0x100000001B3)
 MARK = "▁"
 
@@ -39,7 +42,7 @@ def public_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return sorted({p for p in pieces if len(p) <= LONGEST_PIECE and p == p.lower() and all(c.isalpha() or c == MARK for c in p)})
+    return sorted({p for p in pieces if p == p.lower() and all(c.isalpha() or c == MARK for c in p)})
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -50,7 +53,7 @@ class Segmenter:
     """Finds all pieces of words and sums over segmentations."""
 
     def __init__(self, pieces: list[str]):
-        self.tables, self.n = {}, len(pieces)
+        self.tables, self.n, self.longest = {}, len(pieces), max(map(len, pieces), default=1)
         by: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by.setdefault(len(p), []).append(i)
@@ -71,7 +74,7 @@ class Segmenter:
         width, out = codes.shape[1], {}
         h = np.zeros((width, len(codes)), np.uint64)
         flat = codes.T.astype(np.uint64)
-        for n in range(1, min(LONGEST_PIECE, width) + 1):
+        for n in range(1, min(self.longest, width) + 1):
             h = (h[: width - n + 1] ^ flat[n - 1 :]) * _BASE
             if n in self.tables:
                 keys, ids = self.tables[n]
@@ -79,57 +82,56 @@ class Segmenter:
                 out[n] = np.where(keys[at] == h.reshape(-1), ids[at], self.n).reshape(h.shape)
         return out
 
-    def forward(self, codes: np.ndarray, spans: dict[int, np.ndarray], p: np.ndarray, reverse: bool = False) -> np.ndarray:
-        """alpha[position, word, language], or beta when reversed; p has a row of zeros for no piece."""
+    def steps(self, codes: np.ndarray, spans: dict[int, np.ndarray], p: np.ndarray, reverse: bool = False):
+        """alpha at each position in turn, (word, language) arrays with the logarithms of their scales; beta from the
+        end when reversed. p has a row of zeros for no piece. Only as many positions are held as a piece is long."""
         width = codes.shape[1]
-        a = np.zeros((width + 1, len(codes), p.shape[1]))
-        a[width if reverse else 0] = 1
-        for j in range(width - 1, -1, -1) if reverse else range(1, width + 1):
-            for n, ids in spans.items():
-                start = j if reverse else j - n
-                if 0 <= start and start + n <= width:
-                    a[j] += a[start + n if reverse else start] * p[ids[start]]
+        log = np.zeros((len(codes), p.shape[1]))
+        near = [np.ones((len(codes), p.shape[1]))]  # the last positions, latest first
+        yield near[0], log
+        for j in range(1, width + 1):
             # a character that no piece covers alone
-            a[j] += a[j + 1 if reverse else j - 1] * UNKNOWN
-        return a
-
-    def _widths(self, words: list[str]):
-        """Groups of words of one length, each with their places."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
+            new = near[0] * UNKNOWN
+            for n, ids in spans.items():
+                if n <= j:
+                    new += near[n - 1] * p[ids[width - j if reverse else j - n]]
+            near = [new, *near[: self.longest - 1]]
+            if j % RESCALE == 0:
+                scale = np.max(near, axis=0)
+                near = [x / scale for x in near]
+                log = log + np.log(scale)
+            yield near[0], log
+
+    def _widths(self, words: list[str], cells: int):
+        """Groups of marked words of one length, each with their places; `cells` numbers are held for each word."""
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
         for n in np.unique(length):
-            for at in np.array_split(np.flatnonzero(length == n), max(1, int((length == n).sum()) // 20_000 + 1)):
-                if len(at):
-                    yield at, _codes([words[i] for i in at], int(n))
-
-    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """Marked words cut into parts, and the word that each belongs to."""
-        out, owner = [], []
-        for i, w in enumerate(words):
-            w = MARK + w
-            for k in range(0, len(w), LONGEST):
-                out.append(w[k : k + LONGEST])
-                owner.append(i)
-        return out, np.array(owner, dtype=np.int64)
+            at = np.flatnonzero(length == n)
+            most = max(1, CELLS // (cells + int(n)))
+            for a in range(0, len(at), most):
+                part = at[a : a + most]
+                yield part, _codes([MARK + words[i] for i in part], int(n))
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        parts, owner = self.parts(words)
-        out = np.zeros((len(words), p.shape[1] - 0))
-        for at, codes in self._widths(parts):
-            a = self.forward(codes, self.spans(codes), p)[-1]
-            np.add.at(out, owner[at], np.log(np.maximum(a, 1e-300)))
+        out = np.zeros((len(words), p.shape[1]))
+        for at, codes in self._widths(words, (self.longest + 2) * p.shape[1]):
+            for a, log in self.steps(codes, self.spans(codes), p):
+                pass
+            out[at] = np.log(a) + log
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in `counts` occurrences of the words, for one language (p has one column)."""
         out = np.zeros(self.n + 1)
-        parts, owner = self.parts(words)
-        for at, codes in self._widths(parts):
+        longest = max(map(len, words), default=0) + 1
+        for at, codes in self._widths(words, 4 * longest):
             spans = self.spans(codes)
-            a, b = self.forward(codes, spans, p), self.forward(codes, spans, p, reverse=True)
-            weight = counts[owner[at]] / np.maximum(a[-1, :, 0], 1e-300)
+            (a, la), (b, lb) = (map(np.array, zip(*((x[:, 0], log[:, 0]) for x, log in self.steps(codes, spans, p, back)), strict=True)) for back in (False, True))
+            b, lb = b[::-1], lb[::-1]
+            whole = np.log(a[-1]) + la[-1]
             for n, ids in spans.items():
                 for start in range(ids.shape[0]):
-                    use = a[start, :, 0] * p[ids[start], 0] * b[start + n, :, 0] * weight
+                    use = a[start] * p[ids[start], 0] * b[start + n] * np.exp(la[start] + lb[start + n] - whole) * counts[at]
                     out += np.bincount(ids[start], use, self.n + 1)
         return out[:-1]
 
@@ -149,7 +151,7 @@ def _word_counts(batches):
 def train(labelled: DataFrame, vocabulary_path: str) -> tuple[list[str], list[str], np.ndarray]:
     """Languages, pieces and piece probabilities (piece, language) from rows (doc_id, text, lang)."""
     labelled = labelled.where("text is not null and lang is not null")
-    sizes = sorted(((r["count"], r["lang"]) for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()), reverse=True)
+    sizes = sorted(((r["count"], r["lang"]) for r in labelled.groupBy("lang").count().collect()), reverse=True)
     langs, pieces = sorted(lang for _, lang in sizes), public_pieces(vocabulary_path)
     if not langs:
         return [], pieces, np.zeros((len(pieces), 0))
@@ -159,15 +161,16 @@ def train(labelled: DataFrame, vocabulary_path: str) -> tuple[list[str], list[st
     table = durable(table, "word-counts")
     p = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
     for _ in range(ROUNDS):
-        model = labelled.sparkSession.sparkContext.broadcast((langs, pieces, p))  # languages x vocabulary, a fixed bound
+        model = labelled.sparkSession.sparkContext.broadcast((langs, pieces, p))  # one number for each language and piece
 
         def expect(batches):
             langs, pieces, p = model.value
             segmenter = Segmenter(pieces)
             for batch in batches:
                 names = np.array(batch.column("lang").to_pylist(), dtype=object)
-                for k, lang in enumerate(langs):
-                    at = np.flatnonzero(names == lang)
+                place = {lang: k for k, lang in enumerate(langs)}
+                for lang in sorted(set(names)):
+                    at, k = np.flatnonzero(names == lang), place[lang]
                     if len(at):
                         words = batch.column("word").take(pa.array(at)).to_pylist()
                         use = segmenter.expected(words, batch.column("n").to_numpy()[at].astype(float), np.append(p[:, k], 0.0)[:, None])
