@@ -18,16 +18,16 @@ from .common import durable, release
 
 #: Rows, and tokens of their sets, of a block on the average.
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 21
-#: Cells of a 0/1 matrix that are held at once.
-CELLS = 1 << 24
+#: Cells of a 0/1 matrix that are held at once, and its rows that are multiplied at once.
+CELLS, STRIP = 1 << 24, 512
 
 #: From the table of one group to a batch of results.
 GroupWork = Callable[[pa.Table], Iterator[pa.RecordBatch]]
 
 
-def blocks_for(rows: Column, tokens: Column) -> Column:
+def blocks_for(rows: Column, tokens: Column, block_rows: int | None = None) -> Column:
     """In how many blocks a group of so many rows and tokens is cut."""
-    return F.ceil(F.greatest(rows / BLOCK_ROWS, tokens / BLOCK_TOKENS, F.lit(1))).cast("int")
+    return F.ceil(F.greatest(rows / (block_rows or BLOCK_ROWS), tokens / BLOCK_TOKENS, F.lit(1))).cast("int")
 
 
 def changes(table: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
@@ -83,9 +83,9 @@ def whole_groups(batches, keys: list[str], rows: int) -> Iterator[pa.Table]:
 
 
 def overlaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many tokens each two of the sets share, as a matrix; tokens of a set are distinct."""
+    """How many tokens each two of the sets share (below 2^24), as a matrix; tokens of a set are distinct."""
     g = len(offsets) - 1
-    out = np.zeros((g, g))
+    out = np.zeros((g, g), np.float32)
     row = np.repeat(np.arange(g), np.diff(offsets))
     order = np.argsort(tokens)
     value, row = tokens[order], row[order]
@@ -99,14 +99,18 @@ def overlaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lo, hi = np.searchsorted(column, [a, a + wide])
         x = np.zeros((g, min(wide, int(column[-1]) + 1 - a)), np.float32)
         x[row[lo:hi], column[lo:hi] - a] = 1
-        out += x @ x.T
+        for r in range(0, g, STRIP):
+            out[r : r + STRIP] += x[r : r + STRIP] @ x.T
     return out
 
 
 def similar(tokens: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
     """Which two of the sets have a Jaccard similarity of percent / 100 or more; no set with itself, none that is empty."""
-    both, n = overlaps(tokens, offsets).astype(np.int64), np.diff(offsets)
-    link = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    both, n = overlaps(tokens, offsets), np.diff(offsets)
+    link = np.zeros(both.shape, bool)
+    for r in range(0, len(n), STRIP):
+        k = both[r : r + STRIP].astype(np.int64)
+        link[r : r + STRIP] = (k > 0) & (100 * k >= percent * (n[r : r + STRIP, None] + n[None, :] - k))
     np.fill_diagonal(link, False)
     return link
 
@@ -127,20 +131,36 @@ def join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = further
 
 
+def _forest(batches):
+    """A task's edges as stars: every id it has seen, but for the least of its component there, with that least one."""
+    tables = [b.select(["a", "b"]) for b in batches if b.num_rows]
+    if tables:
+        table = pa.Table.from_batches(tables)
+        a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        parent = join_up(np.arange(len(ids)), at[: len(a)], at[len(a) :])
+        member = np.flatnonzero(parent != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[parent[member]]), pa.array(ids[member])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over edges (a, b), by minimum labels and pointer jumps."""
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    """(id, component): the smallest id reachable over edges (a, b), for all ids of an edge.
+
+    Each edge is dealt out under both of its ids, so edges that share an id meet, and every task makes stars of what
+    it has; rounds go on until the stars are whole. Tasks are of Spark's advisory size: a hot id is split over several
+    (its stars meet in the next round), small inputs take one task and one round.
+    """
+    edges = edges.where("a != b").select("a", "b")
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("least"))
-        low = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "least").alias("component"), F.col("component").alias("old"))
-        low = durable(low, "lower")
-        jump = low.select(F.col("id").alias("j"), F.col("component").alias("further"))
-        new = durable(low.join(jump, low["component"] == jump["j"], "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "labels")
-        changed = new.where("component < old").head(1)
-        release(low)
-        release(labels)
-        labels = new
-        if not changed:
-            release(both)
-            return labels.select("id", "component")
+        dealt = edges.withColumn("key", F.col("a")).union(edges.withColumn("key", F.col("b"))).hint("rebalance", "key")
+        stars = durable(dealt.mapInArrow(_forest, "a long, b long").distinct(), "stars")
+        twice = stars.groupBy("b").count().where("count > 1").select(F.col("b").alias("id"))
+        inner = stars.select(F.col("a").alias("id")).distinct().join(stars.select(F.col("b").alias("id")), "id", "left_semi")
+        more = twice.union(inner).head(1)
+        if hasattr(edges, "_durable_path"):
+            release(edges)
+        if not more:
+            break
+        edges = stars
+    least = stars.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("component"))
+    return stars.select(F.col("b").alias("id"), F.col("a").alias("component")).union(least)

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, distinct, durable, hash128, mix, slices
-from .groups import blocks_for, by_group, similar
+from .common import Words, distinct, durable, hash128, mix, ragged, slices
+from .groups import blocks_for, changes, similar, whole_groups
 from .setjoin import Counters, families
 
 PERCENT, MIN_WORDS = 80, 1
@@ -92,6 +92,9 @@ def _unit_sets(min_words: int):
     return sets
 
 
+#: Lines of a block of a family, on the average; lines taken up at once; a family of so few is compared pair by pair.
+BLOCK_LINES, FAMILY_ROWS, FEW, PAIRS_AT_ONCE = 4096, 4096, 32, 100_000
+DEALT = ["family", "lo", "hi"]
 FAMILY = ("family", "blocks", "own", "k1", "k2", "doc_id", "place", "line")
 
 
@@ -110,25 +113,67 @@ def _wanted(batches):
             yield pa.RecordBatch.from_arrays([known[c] for c in FAMILY], names=FAMILY).filter(pa.array(same))
 
 
-def _links_in_family(table: pa.Table):
+class Found:
+    """For each row, how many others are similar and the least rank of those."""
+
+    def __init__(self, rank: np.ndarray):
+        self.rank, self.links, self.least = rank, np.zeros(len(rank), np.int64), np.full(len(rank), len(rank), np.int64)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        np.add.at(self.links, x, 1)
+        np.minimum.at(self.least, x, self.rank[y])
+
+
+def _links_in_families(batches):
     """Of each set of a family, or of two blocks of one: how many others are similar, and the earliest line of those."""
-    c = {k: table.column(k).to_numpy() for k in ("own", "k1", "k2", "doc_id", "place")}
-    order = np.lexsort((c["place"], c["doc_id"], c["k2"], c["k1"]))
-    again = (c["k1"][order][1:] == c["k1"][order][:-1]) & (c["k2"][order][1:] == c["k2"][order][:-1])
-    order = order[np.concatenate([[True], ~again])]  # a line of repeated rows is one set
-    c = {k: x[order] for k, x in c.items()}
-    w = Words(table.column("line").combine_chunks().take(pa.array(order)))
-    size = max(1, len(w.distinct))
-    pair = distinct(w.row * size + w.codes)
-    link = similar(pair % size, np.searchsorted(pair // size, np.arange(len(order) + 1)), PERCENT)
-    if table.column("lo")[0] != table.column("hi")[0]:
-        link &= c["own"][:, None] != c["own"][None, :]
-    links = link.sum(axis=1)
-    use = np.flatnonzero(links)
-    early = np.lexsort((c["place"], c["doc_id"]))
-    first = early[link[use][:, early].argmax(axis=1)] if len(use) else use
-    columns = [c["k1"][use], c["k2"][use], links[use].astype(np.int64), c["doc_id"][first], c["place"][first]]
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "links", "first_doc", "first_place"])
+    for table in whole_groups(batches, DEALT, FAMILY_ROWS):
+        c = {k: table.column(k).to_numpy() for k in ("own", "k1", "k2", "doc_id", "place", "lo", "hi")}
+        c["group"] = np.zeros(table.num_rows, np.int64)
+        c["group"][changes(table, DEALT)] = 1
+        c["group"] = np.cumsum(c["group"])
+        order = np.lexsort((c["place"], c["doc_id"], c["k2"], c["k1"], c["group"]))
+        again = np.ones(max(len(order) - 1, 0), bool)
+        for k in ("group", "k1", "k2"):
+            again &= c[k][order][1:] == c[k][order][:-1]
+        order = order[np.concatenate([[True], ~again])]  # a line of repeated rows is one set
+        c = {k: x[order] for k, x in c.items()}
+        w = Words(table.column("line").combine_chunks().take(pa.array(order)))
+        size = max(1, len(w.distinct))
+        pair = distinct(w.row * size + w.codes)
+        offsets = np.searchsorted(pair, np.arange(len(order) + 1) * size)
+        n = np.diff(offsets)
+        early = np.lexsort((c["place"], c["doc_id"]))
+        rank = np.empty(len(order), np.int64)
+        rank[early] = np.arange(len(order))
+        found, across = Found(rank), c["lo"] != c["hi"]
+        first = np.flatnonzero(np.concatenate([[True], c["group"][1:] != c["group"][:-1]]))
+        many = np.diff(np.append(first, len(order)))
+        for a, g in zip(first[many > FEW].tolist(), many[many > FEW].tolist(), strict=True):
+            link = similar(pair[offsets[a] : offsets[a + g]] % size, offsets[a : a + g + 1] - offsets[a], PERCENT)
+            if across[a]:
+                link &= c["own"][a : a + g, None] != c["own"][None, a : a + g]
+            found.links[a : a + g] = link.sum(axis=1)
+            by_rank = np.argsort(rank[a : a + g])
+            some = np.flatnonzero(link.any(axis=1))
+            found.least[a + some] = rank[a + by_rank[link[some][:, by_rank].argmax(axis=1)]]
+        # small families: every two of their sets, all at once
+        rows = ragged(first[many <= FEW], many[many <= FEW])
+        end = np.repeat((first + many)[many <= FEW], many[many <= FEW])
+        left, right = np.repeat(rows, end - rows - 1), ragged(rows + 1, end - rows - 1)
+        use = (100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right])) & (~across[left] | (c["own"][left] != c["own"][right]))
+        left, right = left[use], right[use]
+        for k in range(0, len(left), PAIRS_AT_ONCE):
+            x, y = left[k : k + PAIRS_AT_ONCE], right[k : k + PAIRS_AT_ONCE]
+            wanted = np.repeat(y, n[x]) * size + pair[ragged(offsets[x], n[x])] % size
+            hit = pair[np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)] == wanted
+            both = np.bincount(np.repeat(np.arange(len(x)), n[x]), hit, len(x)).astype(np.int64)
+            ok = (both > 0) & (100 * both >= PERCENT * (n[x] + n[y] - both))
+            found.add(x[ok], y[ok])
+            found.add(y[ok], x[ok])
+        use = np.flatnonzero(found.links)
+        other = early[found.least[use]]
+        columns = [c["k1"][use], c["k2"][use], found.links[use], c["doc_id"][other], c["place"][other]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k1", "k2", "links", "first_doc", "first_place"])
 
 
 def _cut(batches):
@@ -154,13 +199,12 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = source.where("doc_id is not null")
     family = families(named, _unit_sets(min_words), PERCENT, survey.where("bucket is not null").select("bucket", F.col("uses").alias("n")))
     members = units.join(family, F.col("k1") == family["id"]).select("component", *key, "first_doc", "first_place", "n")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("t")).select("component", blocks_for(F.col("m"), F.col("t")).alias("blocks"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("t")).select("component", blocks_for(F.col("m"), F.col("t"), BLOCK_LINES).alias("blocks"))
     tags = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
     tags = tags.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct(F.col("component").alias("family"), "blocks", "own", *key, F.col("first_place").alias("place"))).alias("wanted"))
     lines = named.join(tags, "doc_id").mapInArrow(_wanted, "family long, blocks int, own int, k1 long, k2 long, doc_id long, place int, line string")
     lines = lines.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    dealt = ["family", "lo", "hi"]
-    near = lines.select(*dealt, "own", *key, "doc_id", "place", "line").repartition(*dealt).sortWithinPartitions(*dealt).mapInArrow(by_group(dealt, _links_in_family), "k1 long, k2 long, links long, first_doc long, first_place int")
+    near = lines.select(*DEALT, "own", *key, "doc_id", "place", "line").repartition(*DEALT).sortWithinPartitions(*DEALT).mapInArrow(_links_in_families, "k1 long, k2 long, links long, first_doc long, first_place int")
     near = durable(near.groupBy(*key).agg(F.sum("links").alias("links"), F.min(F.struct("first_doc", "first_place")).alias("earliest")), "line-links")
     # only sets that are repeated or linked decide anything: most lines drop out here
     known = units.join(near, key, "left").where("copies > 1 or links > 0").select(*key, F.struct("first_doc", "first_place").alias("first"), "earliest", F.coalesce("links", F.lit(0)).alias("links"))

@@ -8,7 +8,8 @@ counters, kept as logarithms, and then to 35 bits.
 
 A posting is a prefix token with its set's name, size and place, and 64 bits
 in which each token of the set flips one: sets that differ in d tokens differ
-in d bits at most. Spark deals postings out by token. A task compares those of
+in d bits at most. Sets of more than LONG tokens have 256 bits, the 64 being
+their four words laid over one another. Spark deals postings out by token. A task compares those of
 a token, drops pairs that fail a filter, and gives links that hold the rest
 together: fewer than it has postings, however many pairs there are. A token
 with more than MOST_POSTINGS postings goes on to a second pass, dealt out in
@@ -31,7 +32,7 @@ from .groups import changes, components, join_up
 
 COUNTERS, BLOCK, RANKS = 1 << 22, 1 << 12, 8
 MOST_POSTINGS, PAIRS_AT_ONCE, ROWS_AT_ONCE = 2048, 1 << 21, 100_000
-HASH_BITS, RANK_BITS = 35, 8
+HASH_BITS, RANK_BITS, LONG = 35, 8, 72
 _MASK = np.uint64(COUNTERS - 1)
 
 #: From texts to (flat distinct token hashes, offsets, names of the sets), all numpy.
@@ -45,7 +46,7 @@ class Counters:
         self.n = np.zeros(COUNTERS, np.int64)
 
     def add(self, tokens: np.ndarray) -> None:
-        self.n += np.bincount((tokens & _MASK).astype(np.int64), minlength=COUNTERS)
+        np.add.at(self.n, (tokens & _MASK).astype(np.int64), 1)
 
     def rows(self, step: int = 1 << 16):
         """(bucket, n) of the counters in use, in batches of arrays."""
@@ -71,11 +72,30 @@ def rarity(counted: DataFrame) -> np.ndarray:
     return out
 
 
+def flipped(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bits of each set, shape (4, sets): all in one word, then words 1 to 3 of four for long sets, 0 for others."""
+    n = np.diff(offsets)
+    out = np.zeros((4, len(n)), np.uint64)
+
+    def words(flat: np.ndarray, begin: np.ndarray, use: np.ndarray | None = None) -> np.ndarray:
+        bit = np.uint64(1) << (flat >> np.uint64(58))
+        return np.bitwise_xor.reduceat(np.append(bit if use is None else np.where(use, bit, np.uint64(0)), np.uint64(0)), begin)
+
+    full, long = np.flatnonzero(n), np.flatnonzero(n > LONG)
+    if len(full):
+        out[0, full] = words(flat, offsets[full])
+    if len(long):
+        part = flat[ragged(offsets[long], n[long])]
+        word = part >> np.uint64(56) & np.uint64(3)
+        begin = np.cumsum(n[long]) - n[long]
+        for k in (1, 2, 3):
+            out[k, long] = words(part, begin, word == k)
+    return out
+
+
 def prefix_postings(flat: np.ndarray, offsets: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """token, set number, size and place of the postings of some sets; and the bits of each set."""
     n = np.diff(offsets)
-    bits = np.bitwise_xor.reduceat(np.append(np.uint64(1) << (flat >> np.uint64(58)), np.uint64(0)), offsets[:-1]) if len(n) else np.zeros(0, np.uint64)
-    bits[n == 0] = 0
     out, shift, width = [], np.uint64(HASH_BITS + RANK_BITS), 1 << (64 - HASH_BITS - RANK_BITS)
     for low in range(0, len(n), width):  # sets whose numbers fit beside a token
         high = min(low + width, len(n))
@@ -90,7 +110,7 @@ def prefix_postings(flat: np.ndarray, offsets: np.ndarray, table: np.ndarray, pe
         row = row[use]
         out.append(((ordered[use] & (np.uint64(1) << shift) - np.uint64(1)).view(np.int64), row + low, here[row], place[use]))
     token, row, size, place = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*out, strict=True) if out else [[]] * 4))
-    return token, row, size, place, bits.view(np.int64)
+    return token, row, size, place, flipped(flat, offsets).view(np.int64)
 
 
 def _postings(sets: Sets, ranks, percent: int):
@@ -105,12 +125,12 @@ def _postings(sets: Sets, ranks, percent: int):
                 n = np.diff(offsets)
                 flat = flat[np.repeat(new, n)]
                 token, row, size, place, bits = prefix_postings(flat, np.concatenate([[0], np.cumsum(n[new])]), table, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(names[new][row]), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(bits[row])], names=["token", "name", "n", "place", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(names[new][row]), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), *(pa.array(x[row]) for x in bits)], names=list(FIELDS))
 
     return run
 
 
-def held_together(group: np.ndarray, name: np.ndarray, n: np.ndarray, place: np.ndarray, bits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def held_together(group: np.ndarray, name: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) of names that connect all that pass the filters within a group; rows are sorted by group and n."""
     names, node = np.unique(name, return_inverse=True)
     parent, at = np.arange(len(names)), group << 32
@@ -125,21 +145,26 @@ def held_together(group: np.ndarray, name: np.ndarray, n: np.ndarray, place: np.
         fits = (100 + percent) * np.minimum(n[x] - place[x], n[y] - place[y]) >= need
         x, y, need = x[fits], y[fits], need[fits]
         # |x & y| = (|x| + |y| - d) / 2, and d is at least the number of bits that differ
-        room = n[x] + n[y] - np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).astype(np.int64)
-        use = (100 + percent) * room >= 2 * need
+        differ = [(b[x] ^ b[y]).view(np.uint64) for b in bits]
+        d = np.bitwise_count(differ[0]).astype(np.int64)
+        both_long = np.minimum(n[x], n[y]) > LONG
+        four = [differ[0] ^ differ[1] ^ differ[2] ^ differ[3], *differ[1:]]
+        d = np.where(both_long, sum(np.bitwise_count(w).astype(np.int64) for w in four), d)
+        use = (100 + percent) * (n[x] + n[y] - d) >= 2 * need
         parent = join_up(parent, node[x[use]], node[y[use]])
     moved = np.flatnonzero(parent != np.arange(len(names)))
     return names[parent[moved]], names[moved]
 
 
-FIELDS = ("token", "name", "n", "place", "bits")
-PASSED = "kind int, token long, name long, n int, place int, bits long, block int"
+FIELDS = ("token", "name", "n", "place", "bits", "bits1", "bits2", "bits3")
+POSTING = "token long, name long, n int, place int, bits long, bits1 long, bits2 long, bits3 long"
+PASSED = f"kind int, {POSTING}, block int"
 EDGE, HOT, TOTAL = 0, 1, 2
 
 
 def _batch(kind: int, **columns) -> pa.RecordBatch:
     rows = len(next(iter(columns.values())))
-    types = {"token": pa.int64(), "name": pa.int64(), "n": pa.int32(), "place": pa.int32(), "bits": pa.int64(), "block": pa.int32()}
+    types = {"token": pa.int64(), "name": pa.int64(), "n": pa.int32(), "place": pa.int32(), **{c: pa.int64() for c in FIELDS[4:]}, "block": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array(np.full(rows, kind, np.int32)), *(pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items())], names=["kind", *types])
 
 
@@ -180,7 +205,8 @@ def _linked(keys: list[str], percent: int, most: int | None):
                     yield total()
                     hot = None
             stay = ~go[group]
-            a, b = held_together(group[stay], *(c[k][stay].astype(np.int64) for k in FIELDS[1:]), percent)
+            x = [c[k][stay].astype(np.int64) for k in FIELDS]
+            a, b = held_together(group[stay], *x[1:4], x[4:], percent)
             yield _batch(EDGE, token=a, name=b)
 
         for batch in batches:
@@ -213,7 +239,7 @@ def families(units: DataFrame, sets: Sets, percent: int, counted: DataFrame) ->
     counted: (bucket, n) of the tokens of the sets, by Counters. Sets of one name count as one.
     """
     ranks = units.sparkSession.sparkContext.broadcast(rarity(counted))  # 4 MB
-    rows = units.mapInArrow(_postings(sets, ranks, percent), "token long, name long, n int, place int, bits long")
+    rows = units.mapInArrow(_postings(sets, ranks, percent), POSTING)
     order = ["n", "name", "place"]
     passed = durable(rows.repartition("token").sortWithinPartitions("token", *order).mapInArrow(_linked(["token"], percent, MOST_POSTINGS), PASSED), "postings")
     edges = passed.where(F.col("kind") == EDGE).select(F.col("token").alias("a"), F.col("name").alias("b"))
