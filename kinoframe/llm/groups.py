@@ -20,6 +20,8 @@ from .common import durable, release
 BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 21
 #: Cells of a 0/1 matrix that are held at once, and its rows that are multiplied at once.
 CELLS, STRIP = 1 << 24, 512
+#: Edges of a graph that one task takes whole: some 32 MB.
+EDGES_AT_ONCE = 2_000_000
 
 #: From the table of one group to a batch of results.
 GroupWork = Callable[[pa.Table], Iterator[pa.RecordBatch]]
@@ -146,21 +148,23 @@ def _forest(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for all ids of an edge.
 
-    Each edge is dealt out under both of its ids, so edges that share an id meet, and every task makes stars of what
-    it has; rounds go on until the stars are whole. Tasks are of Spark's advisory size: a hot id is split over several
-    (its stars meet in the next round), small inputs take one task and one round.
+    Up to EDGES_AT_ONCE edges are one task's work. More are dealt out under both of their ids, so edges that share an
+    id meet, and every task makes stars of what it has; rounds go on until the stars are whole. Those tasks are of
+    Spark's advisory size: a hot id is split over several, whose stars meet in the next round.
     """
-    edges = edges.where("a != b").select("a", "b")
+    edges = durable(edges.where("a != b").select("a", "b"), "edges")
     while True:
-        dealt = edges.withColumn("key", F.col("a")).union(edges.withColumn("key", F.col("b"))).hint("rebalance", "key")
-        stars = durable(dealt.mapInArrow(_forest, "a long, b long").distinct(), "stars")
+        whole = edges.count() <= EDGES_AT_ONCE
+        dealt = edges.coalesce(1) if whole else edges.withColumn("key", F.col("a")).union(edges.withColumn("key", F.col("b"))).hint("rebalance", "key")
+        stars = dealt.mapInArrow(_forest, "a long, b long")
+        stars = durable(stars if whole else stars.distinct(), "stars")
+        release(edges)
+        edges = stars
+        if whole:
+            break
         twice = stars.groupBy("b").count().where("count > 1").select(F.col("b").alias("id"))
         inner = stars.select(F.col("a").alias("id")).distinct().join(stars.select(F.col("b").alias("id")), "id", "left_semi")
-        more = twice.union(inner).head(1)
-        if hasattr(edges, "_durable_path"):
-            release(edges)
-        if not more:
+        if not twice.union(inner).head(1):
             break
-        edges = stars
     least = stars.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("component"))
     return stars.select(F.col("b").alias("id"), F.col("a").alias("component")).union(least)
