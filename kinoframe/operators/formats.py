@@ -47,3 +47,22 @@ def quantizers(rows: DataFrame, most: int = 255) -> DataFrame:
     d = rows.groupBy("qp").agg(F.count("*").alias("n"))
     clamped = F.least(F.greatest(F.col("qp"), F.lit(0)), F.lit(63))
     return d.select("qp", "n", F.least(F.floor((10 * F.col("qp") + 2) / 3), F.lit(most)).alias("q_index"), F.expr("shiftleft(1L, cast(least(greatest(qp, 0), 63) div 6 as int))").alias("lambda"), clamped.alias("clamped"))
+
+
+def parse_specs(rows: DataFrame) -> DataFrame:
+    """rows (id, video, fps, qp: strings) parsed: WxH:format, rate as a whole, decimal or n/d over 0, qp of 1 to 255; null where it is none."""
+    video = r"^\s*([0-9]+)x([0-9]+):\s*([A-Za-z0-9]+)\s*$"
+    part = lambda i: F.when(F.col("video").rlike(video), F.regexp_extract("video", video, i))
+    numerator, divisor = F.substring_index("fps", "/", 1).try_cast("double"), F.when(F.instr("fps", "/") > 0, F.substring_index("fps", "/", -1).try_cast("double")).otherwise(1.0)
+    rate = F.when((numerator > 0) & (divisor > 0), F.round(numerator / F.nullif(divisor, F.lit(0.0)), 6))
+    qp = F.col("qp").try_cast("long")
+    return rows.select("id", part(1).try_cast("long").alias("width"), part(2).try_cast("long").alias("height"), F.lower(part(3)).alias("format"), rate.alias("fps"), F.when(qp.between(1, 255), qp).alias("qp"))
+
+
+def integer_sizes(rows: DataFrame) -> DataFrame:
+    """For sizes n: canvas (up to a multiple of 8), log2 rounded up and its power, and the code lengths of n in
+    exponential Golomb and, with 2 low bits, Rice codes."""
+    up = F.when(F.col("n") <= 1, 0).otherwise(F.length(F.bin(F.col("n") - 1))).cast("long")
+    d = rows.withColumns({"canvas": F.floor((F.col("n") + 7) / 8) * 8, "log2_up": up})
+    golomb, rice = F.length(F.bin(F.col("n") + 1)).cast("long") * 2 - 1, F.floor(F.col("n") / 4) + 3
+    return d.withColumns({"power_up": F.expr("shiftleft(1L, cast(log2_up as int))"), "golomb_bits": golomb, "rice_bits": rice})

@@ -99,7 +99,7 @@ def enabled_cases(parts: DataFrame, codecs: DataFrame) -> DataFrame:
 
 
 def infinite_mean(values: DataFrame, key: str, x: str) -> DataFrame:
-    """Mean of finite values, and how many are infinite; infinite if all are."""
+    """Mean of the finite values of each key (null where there is none), how many are infinite, and whether all are."""
     finite = F.abs(x) != float("inf")
     return values.groupBy(key).agg(F.count_if(~finite).alias("n_infinite"), F.avg(F.when(finite, F.col(x))).alias("finite_mean"), F.bool_and(~finite).alias("all_infinite"))
 

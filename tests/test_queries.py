@@ -1,7 +1,7 @@
 import pytest
 from compare import DATA, duck_rows, spark_rows
 
-from kinoframe import coding_queries, queries  # noqa: F401
+from kinoframe import coding_queries, media_queries, queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -65,3 +65,39 @@ def test_errors_of_equal_blocks_have_no_psnr(spark):
     df = spark.createDataFrame([(0, 1, [7] * 64), (1, 1, [7] * 64), (2, 1, [8] * 64)], "block_id long, label int, px array<int>")
     got = {r["block_id"]: (r["sad"], r["sse"], r["psnr"]) for r in B.errors(B.previous(df)).collect()}
     assert got[1] == (0, 0, None) and got[2][:2] == (64, 64)
+
+
+def test_strict_mean_and_reasons(spark):
+    from kinoframe.operators import reports as R
+
+    inf = float("inf")
+    rows = [(1, 2.0), (1, 4.0), (2, inf), (2, inf), (3, 1.0), (3, inf)]
+    got = {r["k"]: r["mean"] for r in R.psnr_mean(spark.createDataFrame(rows, "k int, x double"), "k", "x").collect()}
+    assert got == {1: 3.0, 2: inf, 3: None}
+    logs = [(0, "ok\n x error: bad \nFAIL: late"), (1, "a\n b \n\n"), (2, None), (3, " \n")]
+    got = {r["k"]: r["reason"] for r in R.failure_reasons(spark.createDataFrame(logs, "k int, t string"), "k", "t").collect()}
+    assert got == {0: "x error: bad", 1: "b", 2: R.NO_REASON, 3: R.NO_REASON}
+
+
+def test_key_value_lines_and_manifests(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kinoframe.sources import text as X
+
+    df = spark.createDataFrame([("a=1 b=x=y noise a=2 =z c=",)], "value string")
+    assert df.select(X.key_values(F.col("value"))).first()[0] == {"a": "2", "b": "x=y", "c": ""}
+    rows = spark.createDataFrame([(1, "a|b"), (2, None)], "n long, s string")
+    assert sorted(r["line"] for r in X.markdown_rows(rows, ["n", "s"]).collect()) == ["| 1 | a\\|b |", "| 2 | n/a |"]
+    X.write_jsonl(rows, str(tmp_path / "j"))
+    assert sorted(map(tuple, X.read_jsonl(spark, str(tmp_path / "j"), "n long, s string, t int", {"t": 7}).collect())) == [(1, "a|b", 7), (2, None, 7)]
+    X.write_manifest(rows, str(tmp_path / "m"))
+    with pytest.raises(Exception, match="n|s"):
+        X.read_manifest(spark, str(tmp_path / "m"), "other long, s string").collect()
+
+
+def test_transform_pair_on_extremes(spark):
+    from kinoframe.operators import samples as S
+
+    px = [[255 * ((i * k) % 2) for i in range(64)] for k in (0, 1, 3)] + [[(i * 37 + 11) % 256 for i in range(64)]]
+    got = S.wht(blocks_of(spark, px)).collect()
+    assert len(got) == 16 and all(list(r["samples"]) == list(r["restored"]) and all(c % 8 == 0 for c in r["coefficients"]) for r in got)
