@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinoframe.llm import exact_dedup, minhash, mixing, packing, quality
-from kinoframe.llm.common import durable
+from kinoframe.llm.common import durable, release
 from kinoframe.llm.queries import WORD_BPE, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are near a reference of their language; others go."""
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text stays, that of the largest id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
@@ -42,9 +44,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            release(before)  # the stage after it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
