@@ -83,8 +83,8 @@ def block_first_seen_palette(spark, sf_dir):
 
 
 _MOTION = (
-    ", pl AS (SELECT block_id, block_id // 64 AS frame, block_id % 64 // 8 AS r, block_id % 8 AS c, list_transform(px[1:8], lambda x: x // 96) AS sig FROM blocks), few AS (SELECT frame, sig FROM pl GROUP BY ALL HAVING count(*) <= 8),"
-    " pairs AS (SELECT n.block_id, n.frame, n.r, n.c, p.r AS pr, p.c AS pc FROM pl n JOIN few f ON f.frame = n.frame - 1 AND f.sig = n.sig JOIN pl p ON p.frame = f.frame AND p.sig = f.sig),"
+    ", pl AS (SELECT block_id, block_id // 64 AS frame, block_id % 64 // 8 AS r, block_id % 8 AS c, list_transform(px, lambda x: x // 96) AS sig FROM blocks),"
+    " pairs AS (SELECT n.block_id, n.frame, n.r, n.c, p.r AS pr, p.c AS pc FROM pl n JOIN pl p ON p.frame = n.frame - 1 AND p.sig = n.sig),"
     " mv AS (SELECT block_id, frame, count(*) OVER (PARTITION BY block_id) AS candidates, pr - r AS mv_row, pc - c AS mv_col FROM pairs QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY abs(pr - r) + abs(pc - c), pr, pc) = 1)"
 )
 
@@ -102,7 +102,7 @@ def block_frame_modes(spark, sf_dir):
     return C.frame_modes(blocks(spark, sf_dir), 96)
 
 
-@register(", s AS (SELECT block_id, label, list_transform(px[1:2], lambda x: x // 96) AS s FROM blocks), b AS (SELECT *, lag(s) OVER (PARTITION BY label ORDER BY block_id) AS b FROM s) SELECT block_id, label, CASE WHEN b IS NULL THEN 'key' WHEN b = s THEN 'existing' ELSE 'inter' END AS kind FROM b")
+@register(", s AS (SELECT block_id, label, list_transform(px, lambda x: x // 96) AS s FROM blocks), b AS (SELECT *, lag(s) OVER (PARTITION BY label ORDER BY block_id) AS b FROM s) SELECT block_id, label, CASE WHEN b IS NULL THEN 'key' WHEN b = s THEN 'existing' ELSE 'inter' END AS kind FROM b")
 def block_frame_kinds(spark, sf_dir):
     return C.frame_kinds(blocks(spark, sf_dir), 96)
 
@@ -120,7 +120,7 @@ _WHOLE_MOTION = (
 
 @register(f"{_WHOLE_MOTION} SELECT * FROM mv")
 def block_motion_matches_whole(spark, sf_dir):
-    return C.whole_motion_matches(blocks(spark, sf_dir))
+    return C.motion_matches(blocks(spark, sf_dir), None)
 
 
 @register(

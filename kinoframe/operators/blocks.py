@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIXELS = 64
+#: Ids of a range of a label's blocks.
+RANGE = 4096
 
 
 def total(values: Column | str) -> Column:
@@ -72,8 +74,8 @@ def rescale_depth(blocks: DataFrame, depth: int) -> DataFrame:
 
 
 def walsh_hadamard(blocks: DataFrame) -> DataFrame:
-    """The 4x4 Walsh-Hadamard transform of each block's first quarter: DC and sum of absolute AC terms."""
-    return _walsh_terms(blocks, ["block_id"], 8)
+    """The 4x4 Walsh-Hadamard transforms of each block's four quarters: sums of their DC and of their absolute AC terms."""
+    return walsh_hadamard_quarters(blocks).groupBy("block_id").agg(F.sum("dc").alias("dc"), F.sum("ac").alias("ac"))
 
 
 def walsh_hadamard_quarters(blocks: DataFrame) -> DataFrame:
@@ -92,12 +94,11 @@ def _walsh_terms(blocks: DataFrame, key: list[str], side: int) -> DataFrame:
 
 
 def coarse_matches(blocks: DataFrame, step: int) -> DataFrame:
-    """The smallest earlier block whose coarse signature (first row) is the same, with the distance in ids.
+    """The smallest earlier block whose 64 samples are the same in coarse steps, with the distance in ids.
 
     Signatures are grouped, not paired: the candidate of a block is the first of its group.
     """
-    signature = F.sha2(F.array_join(F.transform(F.slice("px", 1, 8), lambda x: F.floor(x / step)), ","), 256)
-    d = blocks.select("block_id", signature.alias("signature"))
+    d = blocks.select("block_id", F.transform("px", lambda x: F.floor(x / step)).alias("signature"))
     first = d.groupBy("signature").agg(F.min("block_id").alias("match_id"), F.count("*").alias("n"))
     return d.join(first.where("n > 1"), "signature").where("match_id < block_id").select("block_id", "match_id", (F.col("block_id") - F.col("match_id")).alias("distance"))
 
@@ -108,8 +109,21 @@ def block_matches(blocks: DataFrame) -> DataFrame:
     return blocks.join(first, "px").where("match_id < block_id").select("block_id", "match_id", (F.col("block_id") - F.col("match_id")).alias("distance"))
 
 
+def before_in_label(blocks: DataFrame, value: str, name: str) -> DataFrame:
+    """blocks with `name`: the value of the label's block before, by id; null for its first.
+
+    A label is cut into ranges of ids, so that a large one is many groups; the first block of a range takes the last
+    value of the nearest range before it, from a table of one row a range.
+    """
+    d = blocks.withColumn("_range", F.floor(F.col("block_id") / RANGE))
+    last = d.groupBy("label", "_range").agg(F.max_by(value, "block_id").alias("_last"))
+    edge = last.select(F.col("label").alias("_label"), F.col("_range").alias("_of"), F.lag("_last").over(Window.partitionBy("label").orderBy("_range")).alias("_edge"))
+    inside = Window.partitionBy("label", "_range").orderBy("block_id")
+    d = d.withColumn(name, F.lag(value).over(inside)).withColumn("_at", F.row_number().over(inside))
+    d = d.join(edge, F.col("label").eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_of")))
+    return d.withColumn(name, F.when(F.col("_at") == 1, F.col("_edge")).otherwise(F.col(name))).drop("_range", "_at", "_label", "_of", "_edge")
+
+
 def change_runs(blocks: DataFrame) -> DataFrame:
     """Per label in id order: SAD to the label's block before, null for the first."""
-    before = F.lag("px").over(Window.partitionBy("label").orderBy("block_id"))
-    d = blocks.withColumn("ref", before)
-    return d.select("block_id", "label", total(F.zip_with("px", "ref", lambda a, b: F.abs(a - b))).alias("sad"))
+    return before_in_label(blocks, "px", "ref").select("block_id", "label", total(F.zip_with("px", "ref", lambda a, b: F.abs(a - b))).alias("sad"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import previous, total
+from .blocks import before_in_label, previous, total
 
 SIDE = 8
-MOST_IN_BUCKET = 8
 
 
 def at(values: Column | str, i: Column) -> Column:
@@ -110,8 +109,8 @@ def first_seen_palette(blocks: DataFrame, most: int) -> DataFrame:
 
 
 def placed(blocks: DataFrame, step: int | None) -> DataFrame:
-    """Frame of 8x8 blocks, row, column and signature of each block: its first row in coarse steps, or with no step all samples."""
-    sig = F.array_join(F.transform(F.slice("px", 1, 8), lambda x: F.floor(x / step)), ",") if step else F.col("px")
+    """Frame of 8x8 blocks, row, column and signature of each block: its 64 samples, in coarse steps if there is a step."""
+    sig = F.transform("px", lambda x: F.floor(x / step)) if step else F.col("px")
     cell = F.col("block_id") % 64
     return blocks.select("block_id", F.floor(F.col("block_id") / 64).alias("frame"), F.floor(cell / 8).alias("row"), (cell % 8).alias("col"), sig.alias("sig"))
 
@@ -119,23 +118,10 @@ def placed(blocks: DataFrame, step: int | None) -> DataFrame:
 def motion_matches(blocks: DataFrame, step: int | None) -> DataFrame:
     """The nearest block of the same signature in the frame before, by Manhattan distance, then row and column.
 
-    Signatures of more than MOST_IN_BUCKET blocks of a frame are no candidates, so a block meets that many at most.
+    All 64 samples count, and equal blocks are not bounded, so flat areas match. A block meets one row, the places of
+    its equals: a frame has 64 at most.
     """
     now = placed(blocks, step)
-    ref = now.select((F.col("frame") + 1).alias("frame"), "sig", F.col("row").alias("ref_row"), F.col("col").alias("ref_col"))
-    few = ref.groupBy("frame", "sig").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_IN_BUCKET).drop("n")
-    pairs = now.join(ref.join(few, ["frame", "sig"]), ["frame", "sig"])
-    far = F.abs(F.col("ref_row") - F.col("row")) + F.abs(F.col("ref_col") - F.col("col"))
-    best = pairs.groupBy("block_id", "frame", "row", "col").agg(F.count("*").alias("candidates"), F.min(F.struct(far.alias("d"), "ref_row", "ref_col")).alias("b"))
-    return best.select("block_id", "frame", "candidates", (F.col("b.ref_row") - F.col("row")).alias("mv_row"), (F.col("b.ref_col") - F.col("col")).alias("mv_col"))
-
-
-def whole_motion_matches(blocks: DataFrame) -> DataFrame:
-    """motion_matches on all samples and with no bound on a signature's blocks, so flat areas match as well.
-
-    A block meets one row, the places of its equals: a frame has 64 at most.
-    """
-    now = placed(blocks, None)
     places_of = now.groupBy((F.col("frame") + 1).alias("frame"), "sig").agg(F.collect_list(F.struct("row", "col")).alias("refs"))
     far = lambda r: F.abs(r["row"] - F.col("row")) + F.abs(r["col"] - F.col("col"))
     best = F.array_min(F.transform("refs", lambda r: F.struct(far(r).alias("d"), r["row"].alias("ref_row"), r["col"].alias("ref_col"))))
@@ -144,8 +130,8 @@ def whole_motion_matches(blocks: DataFrame) -> DataFrame:
 
 
 def frame_modes(blocks: DataFrame, step: int | None) -> DataFrame:
-    """How each frame follows from the one before: unchanged, one motion, mixed motion, partial or intra; with no step, by whole_motion_matches."""
-    mv = (motion_matches(blocks, step) if step else whole_motion_matches(blocks)).groupBy("frame").agg(
+    """How each frame follows from the one before: unchanged, one motion, mixed motion, partial or intra."""
+    mv = motion_matches(blocks, step).groupBy("frame").agg(
         F.count("*").alias("matched"), F.count_if((F.col("mv_row") == 0) & (F.col("mv_col") == 0)).alias("still"), F.countDistinct("mv_row", "mv_col").alias("motions")
     )
     d = placed(blocks, step).groupBy("frame").agg(F.count("*").alias("n_blocks")).join(mv, "frame", "left").fillna(0, ["matched", "still", "motions"])
@@ -155,10 +141,9 @@ def frame_modes(blocks: DataFrame, step: int | None) -> DataFrame:
 
 
 def frame_kinds(blocks: DataFrame, step: int | None) -> DataFrame:
-    """key for the first block of a label, existing where it repeats the one before, inter else; compared on two coarse samples, or with no step on all."""
-    d = blocks.select("block_id", "label", (F.transform(F.slice("px", 1, 2), lambda x: F.floor(x / step)) if step else F.col("px")).alias("s"))
-    before = F.lag("s").over(Window.partitionBy("label").orderBy("block_id"))
-    return d.withColumn("b", before).select("block_id", "label", F.when(F.col("b").isNull(), "key").when(F.col("b") == F.col("s"), "existing").otherwise("inter").alias("kind"))
+    """key for the first block of a label, existing where it repeats the one before, inter else; compared on all samples, in coarse steps if there is a step."""
+    d = blocks.select("block_id", "label", (F.transform("px", lambda x: F.floor(x / step)) if step else F.col("px")).alias("s"))
+    return before_in_label(d, "s", "b").select("block_id", "label", F.when(F.col("b").isNull(), "key").when(F.col("b") == F.col("s"), "existing").otherwise("inter").alias("kind"))
 
 
 __all__ = ["dpcm", "edge_predictors", "energy_split", "first_seen_palette", "frame_kinds", "frame_modes", "index_runs", "motion_matches", "paeth", "previous", "rate_distortion", "row_identity", "variance"]

@@ -143,13 +143,13 @@ def block_depth_10(spark, sf_dir):
 
 
 @register(
-    ", s AS (SELECT block_id, i // 4 AS y, i % 4 AS x, px[8 * (i // 4) + i % 4 + 1]::BIGINT AS p FROM (SELECT block_id, px, unnest(range(16)) AS i FROM blocks)), t AS (SELECT block_id, u, v, sum(p * CASE WHEN (bit_count(u & y) + bit_count(v & x)) % 2 = 1 THEN -1 ELSE 1 END)::BIGINT AS c FROM s, (SELECT unnest(range(4)) AS u), (SELECT unnest(range(4)) AS v) GROUP BY 1, 2, 3) SELECT block_id, (sum(c) FILTER (u = 0 AND v = 0))::BIGINT AS dc, coalesce(sum(abs(c)) FILTER (u > 0 OR v > 0), 0)::BIGINT AS ac FROM t GROUP BY 1"
+    ", s AS (SELECT block_id, q, i // 4 AS y, i % 4 AS x, px[8 * (4 * (q // 2) + i // 4) + 4 * (q % 2) + i % 4 + 1]::BIGINT AS p FROM blocks, (SELECT unnest(range(4)) AS q), (SELECT unnest(range(16)) AS i)), t AS (SELECT block_id, q, u, v, sum(p * CASE WHEN (bit_count(u & y) + bit_count(v & x)) % 2 = 1 THEN -1 ELSE 1 END)::BIGINT AS c FROM s, (SELECT unnest(range(4)) AS u), (SELECT unnest(range(4)) AS v) GROUP BY ALL), k AS (SELECT block_id, q AS quarter, (sum(c) FILTER (u = 0 AND v = 0))::BIGINT AS dc, coalesce(sum(abs(c)) FILTER (u > 0 OR v > 0), 0)::BIGINT AS ac FROM t GROUP BY 1, 2) SELECT block_id, sum(dc)::BIGINT AS dc, sum(ac)::BIGINT AS ac FROM k GROUP BY 1"
 )
 def block_walsh_hadamard(spark, sf_dir):
     return B.walsh_hadamard(blocks(spark, sf_dir))
 
 
-@register(", d AS (SELECT block_id, list_transform(px[1:8], lambda x: x // 96) AS g FROM blocks), f AS (SELECT g, min(block_id) AS match_id FROM d GROUP BY g) SELECT block_id, match_id, block_id - match_id AS distance FROM d JOIN f USING (g) WHERE match_id < block_id")
+@register(", d AS (SELECT block_id, list_transform(px, lambda x: x // 96) AS g FROM blocks), f AS (SELECT g, min(block_id) AS match_id FROM d GROUP BY g) SELECT block_id, match_id, block_id - match_id AS distance FROM d JOIN f USING (g) WHERE match_id < block_id")
 def block_coarse_matches(spark, sf_dir):
     return B.coarse_matches(blocks(spark, sf_dir), 96)
 

@@ -48,7 +48,7 @@ def test_flat_frames_match_in_place(spark):
         refs = [(abs(j // 8 - y) + abs(j % 8 - x), j // 8, j % 8) for j in range(64) if px[64 * (f - 1) + j] == px[b]]
         if refs:
             got[b] = (f, len(refs), min(refs)[1] - y, min(refs)[2] - x)
-    assert {r[0]: tuple(r[1:]) for r in C.whole_motion_matches(df).collect()} == got
+    assert {r[0]: tuple(r[1:]) for r in C.motion_matches(df, None).collect()} == got
 
 
 def test_walsh_hadamard_of_every_quarter(spark):
@@ -101,3 +101,13 @@ def test_transform_pair_on_extremes(spark):
     px = [[255 * ((i * k) % 2) for i in range(64)] for k in (0, 1, 3)] + [[(i * 37 + 11) % 256 for i in range(64)]]
     got = S.wht(blocks_of(spark, px)).collect()
     assert len(got) == 16 and all(list(r["samples"]) == list(r["restored"]) and all(c % 8 == 0 for c in r["coefficients"]) for r in got)
+
+
+def test_block_before_across_ranges(spark):
+    from kinoframe.operators import blocks as B
+
+    ids = [0, 1, 4095, 4096, 4097, 20000, 20001, 50000]
+    rows = [(i, label, i) for label in (1, None) for i in ids if label or i != 4097]
+    df = spark.createDataFrame(rows, "block_id long, label int, v long")
+    want = {(label, i): max((j for j, other, _ in rows if other == label and j < i), default=None) for i, label, _ in rows}
+    assert {(r["label"], r["block_id"]): r["b"] for r in B.before_in_label(df, "v", "b").collect()} == want
