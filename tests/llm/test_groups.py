@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinoframe.llm import chat, groups, langid, line_dedup, minhash, mixing, quality, setjoin, toxicity
+from kinoframe.llm import chat, groups, langid, line_dedup, minhash, mixing, quality, setjoin, substring, toxicity
 
 
 def reachable(edges):
@@ -257,3 +257,34 @@ def test_released_tables_are_gone(spark):
     assert made.agg(F.sum("id")).first()[0] == 3
     purge(spark)
     assert not __import__("os").path.exists(path)
+
+
+def test_windows_are_verified_on_words(spark):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(n))
+    passage = text(90)
+    texts = [text(200), passage + " " + text(60), "x " * 300, text(40) + " " + passage, "x " * 120 + passage, text(900), passage, passage, "y " + "x " * 60 + "z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, true = set(), {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+        true[d] = len({i + k for i, x in enumerate(windows) if x in seen for k in range(50)})
+        seen.update(windows)
+    whole = {r.doc_id: r.n_removed for r in substring.substring_verdicts(docs).collect()}
+    assert whole == true and sum(true.values()) > 400
+    # with hashes of six bits most windows collide: nothing goes that must stay
+    few = {r.doc_id: r.n_removed for r in substring.substring_verdicts(docs, hash_bits=6).collect()}
+    assert all(few[d] <= true[d] for d in true)
+
+
+def test_index_is_kept_between_jobs(spark, tmp_path):
+    rnd = random.Random(9)
+    passage = " ".join(rnd.choice(["ab", "cd", "ef", "gh"]) for _ in range(70))
+    first = spark.createDataFrame([(1, "one two " + passage), (2, None)], "doc_id long, text string")
+    later = spark.createDataFrame([(5, passage + " three"), (6, "four")], "doc_id long, text string")
+    index = substring.FingerprintIndex(spark)
+    assert {r.n_removed for r in index.add_batch(first).collect()} == {0}
+    index.save(str(tmp_path / "index"))
+    again = substring.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    assert {r.doc_id: r.n_removed for r in again.add_batch(later, first).collect()} == {5: 70, 6: 0}
