@@ -16,12 +16,15 @@ def nearest_rank(column: str, p: float) -> Column:
 
 
 def superblock_summary(sb: DataFrame) -> DataFrame:
+    """A row a (case, source, frame): counts, sums and spread of bits, and the three categories of most bits (ties by name)."""
+    ranked = F.array_sort(F.array(*(F.struct((-F.sum(c)).alias("less"), F.lit(c).alias("name")) for c in CATEGORIES)))
     return sb.groupBy(*KEYS).agg(
         F.count("*").alias("n"),
         F.sum("bits").alias("total_bits"),
         F.avg("bits").alias("mean_bits"),
         nearest_rank("bits", 0.95).cast("long").alias("p95_bits"),
         F.max("bits").alias("max_bits"),
+        F.array_join(F.transform(F.slice(ranked, 1, 3), lambda t: F.concat(t["name"], F.lit("="), (-t["less"]).cast("string"))), ", ").alias("top_categories"),
     )
 
 

@@ -24,7 +24,11 @@ def register(sql: str):
     return add
 
 
-@register('SELECT "case", source, frame, count(*) AS n, sum(bits)::BIGINT AS total_bits, avg(bits) AS mean_bits, quantile_disc(bits, 0.95) AS p95_bits, max(bits) AS max_bits FROM sb GROUP BY ALL')
+@register(
+    'SELECT "case", source, frame, count(*) AS n, sum(bits)::BIGINT AS total_bits, avg(bits) AS mean_bits, quantile_disc(bits, 0.95) AS p95_bits, max(bits) AS max_bits, array_to_string(list_transform(list_sort(['
+    + ", ".join(f"{{'less': -sum({c})::BIGINT, 'name': '{c}'}}" for c in CATEGORIES)
+    + "])[1:3], lambda t: concat(t.name, '=', -t.less)), ', ') AS top_categories FROM sb GROUP BY \"case\", source, frame"
+)
 def trace_superblock_summary(spark, sf_dir):
     return T.superblock_summary(superblocks(spark, sf_dir))
 
