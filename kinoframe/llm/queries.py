@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, substring, toxicity
+from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, periodic, quality, substring, toxicity
 from .common import spread
 
 #: The vocabulary files: a parameter of the operators, here those of the installed public collection.
@@ -70,8 +70,12 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(spark, sf_dir), rewrite=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu, op12_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
