@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, periodic, quality, substring, toxicity
+from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, periodic, prefix_trie, quality, substring, toxicity
 from .common import spread
 
 #: The vocabulary files: a parameter of the operators, here those of the installed public collection.
@@ -74,8 +74,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(documents(spark, sf_dir), rewrite=True)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu, op12_periodic_runs)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu, op12_periodic_runs, op13_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
@@ -139,5 +143,34 @@ FROM words LEFT JOIN joined USING (doc_id)
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_prefix_trie": r"""
+WITH ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+    SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(s) + 1), lambda i: list_prepend(ascii(s[i])::BIGINT, list_transform(range(8), lambda j: -1::BIGINT))))),
+            lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 9 AS h
+    FROM ids
+), turns AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), rebuilt AS (
+    SELECT h.conv_id, 0 AS part, i, role, text FROM heads h JOIN turns t ON t.conv_id = base AND i < h
+    UNION ALL SELECT h.conv_id, 1, i, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND i >= h
+), placed AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, sha256(len(role) || ':' || role || text) AS turn, strlen(text) AS bytes FROM rebuilt),
+prefixes AS (
+    SELECT conv_id, d, string_agg(turn, '') OVER upto AS k, coalesce(string_agg(turn, '') OVER (upto ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS parent, bytes FROM placed WINDOW upto AS (PARTITION BY conv_id ORDER BY d)
+    UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM ids
+), long AS (SELECT conv_id, max(d) AS n FROM prefixes GROUP BY conv_id),
+nodes AS (
+    SELECT k, any_value(d) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved, max(n) = any_value(d) AS leaf,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+    FROM prefixes JOIN long USING (conv_id) GROUP BY k
+), below AS (
+    SELECT p.k, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves, count(*) FILTER (n.depth = p.d + 1) AS n_children
+    FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.k
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (k) LEFT JOIN nodes u ON u.k = n.parent
 """,
 }
