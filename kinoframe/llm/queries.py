@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, periodic, prefix_trie, quality, substring, toxicity
+from . import chat, exact_dedup, langid, line_dedup, minhash, mixing, packing, periodic, prefix_trie, quality, substring, suffix_array, toxicity
 from .common import spread
 
 #: The vocabulary files: a parameter of the operators, here those of the installed public collection.
@@ -70,6 +70,10 @@ def op10_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.suffix_verdicts(documents(spark, sf_dir))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(documents(spark, sf_dir), rewrite=True)
 
@@ -79,7 +83,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu, op12_periodic_runs, op13_prefix_trie)
+    f.__name__: f for f in (op1_line_dedup, op2_harmonic_packing, op3_minhash_near_dedup, op4_entropy_mixing, op5_exact_dedup, op6_chat_format, op7_substring_index, op8_quality_divergence, op9_language_id, op10_toxicity_nnpu, op11_suffix_array, op12_periodic_runs, op13_prefix_trie)
 }
 
 ORACLES: dict[str, str] = {
@@ -143,6 +147,21 @@ FROM words LEFT JOIN joined USING (doc_id)
     "op5_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_suffix_array": """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT r, s, substring(x, 2 * s + 1, 400) AS w FROM (SELECT r, x, unnest(range(len(x) // 2 - 199)) AS s FROM texts)),
+hits AS (SELECT r, s FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+spans AS (
+    SELECT r, min(s) AS a, max(s) + 200 AS b FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS span FROM (SELECT r, s, CASE WHEN s - lag(s) OVER (PARTITION BY r ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM hits))
+    GROUP BY r, span
+), gaps AS (
+    SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL SELECT t.r, coalesce(max(b), 0), any_value(len(x)) // 2 FROM texts t LEFT JOIN spans s ON s.r = t.r GROUP BY t.r
+), kept AS (SELECT g.r, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps g JOIN texts USING (r) GROUP BY g.r),
+counts AS (SELECT r, count(*) AS n, sum(b - a)::BIGINT AS removed FROM spans GROUP BY r)
+SELECT doc_id, len(x)::BIGINT // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM texts JOIN kept USING (r) LEFT JOIN counts USING (r)
 """,
     "op13_prefix_trie": r"""
 WITH ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations WHERE conv_id IS NOT NULL),
