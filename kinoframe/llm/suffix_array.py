@@ -42,8 +42,9 @@ WINDOW, GRAM = 200, 72
 #: Grams of a window but one: the bytes of a context before the anchor.
 LEFT = WINDOW - GRAM
 CONTEXT = LEFT + WINDOW
-#: Bytes whose grams are hashed at once, contexts that are sorted at once, contexts of a block of a bucket on the average.
-PIECE, CONTEXTS, BUCKET = 1 << 18, 4096, 1024
+#: Bytes whose grams are hashed at once, contexts that are sorted at once, contexts of a block of a bucket on the average:
+#: 8192 are 2.7 MB of text and half a million suffixes, some 100 MB of arrays in a task.
+PIECE, CONTEXTS, BUCKET = 1 << 18, 4096, 8192
 #: A perfect difference cover: any two places have one shift below 13 that brings both into it.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 

@@ -47,7 +47,7 @@ def by_dictionary(rows):
     return ["doc_id", "kept_sha256", "n_bytes", "n_removed", "n_spans"], sorted(out, key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("bucket", [1024, 3])
+@pytest.mark.parametrize("bucket", [8192, 3])
 def test_equals_a_dictionary(spark, bucket):
     rows = table()
     got = spark_rows(suffix_array.suffix_verdicts(spark.createDataFrame(rows, SCHEMA).repartition(3), bucket=bucket))
