@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def register(sql: str):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = f"WITH sb AS ({SUPERBLOCKS_SQL}), blocks AS ({BLOCKS_SQL}) {sql}"
+        ORACLES[f.__name__] = f"WITH RECURSIVE sb AS ({SUPERBLOCKS_SQL}), blocks AS ({BLOCKS_SQL}) {sql}"
         return f
 
     return add

@@ -8,6 +8,7 @@ that is written is one stream, one task's work from batch to batch.
 from __future__ import annotations
 
 import hashlib
+import posixpath
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,42 @@ def frame_bytes(sampling: Column, depth: Column, width: Column, height: Column)
     return (samples * F.when(depth > 8, 2).otherwise(1)).cast("long")
 
 
+def _assembled(names: tuple[str, ...], rows: int, cols: int, sampling: str, depth: int):
+    def work(table: pa.Table) -> pa.Table:
+        frame, row, col = (table.column(c).to_numpy() for c in ("frame", "row", "col"))
+        data = []
+        for k, name in enumerate(names):
+            px = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            grid = np.full((rows, cols, 8, 8), -1, np.int64)
+            grid[row, col] = px.reshape(-1, 8, 8)
+            if (grid < 0).any() or grid.max() >= 1 << depth:
+                raise ValueError(f"frame {frame[0]} lacks a block or has a sample beyond {depth} bits")
+            plane = grid.transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+            if k and sampling in ("420", "422"):
+                plane = plane[:: 2 if sampling == "420" else 1, ::2]
+            data.append(plane.astype("<u2" if depth > 8 else "u1").tobytes())
+        return pa.Table.from_arrays([pa.array(frame[:1]), pa.array([b"".join(data)], pa.binary())], names=["frame", "data"])
+
+    return work
+
+
+def frames_of_blocks(blocks: DataFrame, rows: int, cols: int, sampling: str = "444", depth: int = 8, planes: tuple[str, ...] = ("px", "cb", "cr")) -> DataFrame:
+    """(frame, data): planar frames put together of 8x8 blocks (frame, row, col, a column a plane, all of full size).
+
+    Of subsampled chroma the even places are kept. A frame that lacks a block raises. A task holds one frame.
+    """
+    d = blocks.select(*(F.col(c).cast("long").alias(c) for c in ("frame", "row", "col")), *(F.col(c).cast("array<int>").alias(c) for c in planes))
+    return d.groupBy("frame").applyInArrow(_assembled(planes, rows, cols, sampling, depth), "frame long, data binary")
+
+
+def clip(places: DataFrame, first: int) -> DataFrame:
+    """The places of the first frames of each file; a file that has fewer raises."""
+    short = places.groupBy("path").agg(F.count("*").alias("n"))
+    d = places.where(F.col("frame") < first).join(short, "path")
+    why = F.concat(F.lit(f"has fewer than {first} frames: "), F.col("path"))
+    return d.withColumn("offset", F.when(F.col("n") >= first, F.col("offset")).otherwise(F.raise_error(why).cast("long"))).drop("n")
+
+
 def raw_places(listed: DataFrame, size: Column, frames: int = 0) -> DataFrame:
     """Places of the frames of headerless files: all of them, or the first `frames`.
 
@@ -187,6 +224,7 @@ def _write(header: bytes, marker: bytes):
                     if out:
                         yield ended()
                     fs, name = place(to)
+                    fs.create_dir(posixpath.dirname(name), recursive=True)
                     part = f"{name}.{np.random.default_rng().integers(1 << 62):x}.part"
                     out, path = [fs, fs.open_output_stream(part), part, name, 0, hashlib.sha256()], to
                     out[1].write(header)

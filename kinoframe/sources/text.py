@@ -17,6 +17,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, default
     return spark.read.schema(schema).json(path).fillna(defaults or {})
 
 
+def nested_rows(records: DataFrame, arrays: dict[str, tuple[str, ...]], keep: list[str]) -> DataFrame:
+    """The elements of several arrays of structs in one table, from one read: kept columns, table, place, name and values.
+
+    arrays: column -> its number fields beside `name`; a missing number is 0, a missing name empty. A record without elements in an array
+    (null or empty) keeps one row of it, with a null place; `value` and `more` are the first and second number field.
+    """
+
+    def elements(column: str, fields: tuple[str, ...]) -> Column:
+        number = lambda e, k: F.coalesce(e[fields[k]], F.lit(0)).cast("long") if k < len(fields) else F.lit(None).cast("long")
+        one = lambda place, name, value, more: F.struct(F.lit(column).alias("table"), place.cast("long").alias("place"), name.cast("string").alias("name"), value.alias("value"), more.alias("more"))
+        some = F.transform(F.col(column), lambda e, i: one(i, F.coalesce(e["name"], F.lit("")), number(e, 0), number(e, 1)))
+        none = F.array(one(*(F.lit(None).cast(t) for t in ("long", "string", "long", "long"))))
+        return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, some).otherwise(none)
+
+    return records.select(*keep, F.explode(F.concat(*(elements(c, f) for c, f in arrays.items()))).alias("_e")).select(*keep, "_e.*")
+
+
+#: The records of an encoder's statistics: unknown fields are ignored, missing ones null.
+STATS = "kind string, source string, frame_index long, bitstream_bytes long, stages array<struct<name: string, ns: long, count: long>>, counters array<struct<name: string, value: long>>"
+
+
+def read_stats(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The records of one kind of a JSON-lines file of statistics; a missing frame is 0, missing bytes are 0."""
+    return read_jsonl(spark, path, STATS, {"frame_index": 0, "bitstream_bytes": 0}).where(F.col("kind") == kind).drop("kind")
+
+
+def stats_rows(records: DataFrame) -> DataFrame:
+    """Stages (ns, count) and counters (value) of statistics records as one table of children."""
+    return nested_rows(records, {"stages": ("ns", "count"), "counters": ("value",)}, ["source", "frame_index", "bitstream_bytes"])
+
+
+def stage_totals(children: DataFrame) -> DataFrame:
+    """Per source and stage: calls, nanoseconds, share of the source's, frames; records without stages are counted apart with an empty name."""
+    s = children.where(F.col("table") == "stages").groupBy("source", F.coalesce("name", F.lit("")).alias("stage")).agg(F.coalesce(F.sum("value"), F.lit(0)).alias("nanos"), F.coalesce(F.sum("more"), F.lit(0)).alias("count"), F.countDistinct("frame_index").alias("frames"))
+    whole = s.groupBy("source").agg(F.sum("nanos").alias("whole"))
+    return s.join(whole, "source").withColumn("share", F.when(F.col("whole") > 0, F.col("nanos") / F.col("whole")).otherwise(0.0)).drop("whole")
+
+
 def write_key_values(rows: DataFrame, path: str, columns: list[str]) -> None:
     """One line a row: key=value for every column, with spaces between; null values are left out."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns]
@@ -26,10 +64,12 @@ def write_key_values(rows: DataFrame, path: str, columns: list[str]) -> None:
 def key_values(line: Column) -> Column:
     """map<string,string> of a key=value line; the last of repeated keys counts, words without = are skipped."""
     words = F.filter(F.split(line, r"\s+"), lambda w: F.instr(w, "=") > 1)
-    entry = lambda w: F.struct(F.substring_index(w, "=", 1).alias("key"), w.substr(F.instr(w, "=") + 1, F.length(w)).alias("value"))
-    entries = F.transform(words, entry)
-    later = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(later)
+    key = lambda w: F.substring_index(w, "=", 1)
+    # sorted by key and place, the last of a key is the one before another key
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(key(w).alias("key"), i.alias("i"), w.substr(F.instr(w, "=") + 1, F.length(w)).alias("value"))))
+    marked = lambda p: F.transform(p, lambda e, i: F.struct((~F.get(p, i + 1)["key"].eqNullSafe(e["key"])).alias("last"), e.alias("e")))
+    last = F.transform(F.array(placed), lambda p: F.filter(marked(p), lambda m: m["last"]))[0]
+    return F.map_from_entries(F.transform(last, lambda m: F.struct(m["e"]["key"], m["e"]["value"])))
 
 
 def read_key_values(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:

@@ -1,10 +1,10 @@
 import pytest
 from compare import DATA, duck_rows, spark_rows
 
-from kinoframe import coding_queries, layout_queries, media_queries, queries, screen_queries  # noqa: F401
+from kinoframe import coding_queries, file_queries, kernel_queries, layout_queries, media_queries, picture_queries, queries, screen_queries  # noqa: F401
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, DATA)) == duck_rows(queries.ORACLES[name])
 
