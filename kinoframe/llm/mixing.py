@@ -15,7 +15,10 @@ rounds of histograms so that the words taken meet the target to about one docume
 
 Nulls: a null text has size 0, a null source is a source of its own. A source
 without words takes nothing. Repeated rows count as often as they stand.
-Reruns agree: dither comes from a hash of doc_id (null: a fixed value) and size.
+Reruns agree: dither comes from a hash of doc_id (null: a fixed value) and size. Rows that
+are alike in id, source and size have the same result columns, so they are counted and
+numbered from 1: each has a dither of its own, and a null or shared id does not gain all its
+extra copies at once.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ TOLERANCE = 1e-6
 COPIES = "__kinoframe_copies__"
 #: Parts that the rows of one source are dealt to when they meet its row.
 SPREAD = 64
+#: Rows alike that one row stands for until they are told apart.
+ALIKE = 4096
 
 
 def targets_of(sizes: dict[str | None, int], budget: float = BUDGET) -> dict[str | None, float]:
@@ -92,19 +97,30 @@ def _meet_source(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_part", "_p", "_s")
 
 
+def _numbered_alike(sized: DataFrame) -> DataFrame:
+    """sized (doc_id, source, size) with _salt: null for a row like no other, else its number among those alike, however many there are."""
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / ALIKE)))
+    cut = alike.where("_n > 1").select("doc_id", "source", "size", "_n", runs.alias("_run")).hint("rebalance")
+    each = F.explode(F.sequence(F.col("_run") * ALIKE + 1, F.least((F.col("_run") + 1) * ALIKE, "_n")))
+    return alike.where("_n = 1").select("doc_id", "source", "size", F.lit(None).cast("long").alias("_salt")).union(cut.select("doc_id", "source", "size", each.alias("_salt")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", budget: float = BUDGET, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken and, if given, row_col.
 
-    The dither is by id and size, and for rows whose id is null or shared by row_col too, or they would gain their extra copies all at once.
+    The dither is by id and size, and for rows that another row is alike in id, source and size by their number among
+    these, or by row_col, if given.
     """
     sized = docs.select(
         *[row_col] * bool(row_col), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
-    salt = []
     if row_col:
         shared = sized.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
         sized = sized.join(shared, "doc_id", "left").withColumn("_salt", F.when(F.col("doc_id").isNull() | F.col("_n").isNotNull(), F.col(row_col))).drop("_n")
-        salt = ["_salt"]
+    else:
+        sized = _numbered_alike(sized)
+    salt = ["_salt"]
     sized = durable(sized, "mix-sizes")
     hist = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
