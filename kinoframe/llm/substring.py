@@ -22,7 +22,8 @@ are too many, keeping the smallest document of each key. `save` and `open` keep
 an index between jobs.
 
 Nulls: a null text has no words. A row without doc_id is compared with nothing.
-Rows that share a doc_id must share their text; each gets the same verdict.
+Rows are judged by (doc_id, text): rows that share an id and differ in text are compared
+with the documents of smaller ids, not with one another, and those alike in both get the same verdict.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def _survey(batches):
                 rows.append((int(n), int(s[0]), int(s[1]), digest.hexdigest(), distinct(w.anchor[first : first + count])))
             c = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.list_(pa.int64()))],
-                names=["doc_id", "n_words", "s1", "s2", "sha", "anchors"],
+                [part.column("doc_id"), part.column("u"), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.list_(pa.int64()))],
+                names=["doc_id", "u", "n_words", "s1", "s2", "sha", "anchors"],
             )
 
 
@@ -110,16 +111,16 @@ def _open_windows(bits: int):
             for part in slices(batch):
                 w = Windows(part.column("text"))
                 h1, h2 = w.hashes(bits)
-                docs = part.column("doc_id").to_numpy(zero_copy_only=False)
                 wanted = part.column("anchors").to_pylist()
-                at, doc, start = [], [], []
-                for d, first, count, open_anchors in zip(docs, w.first, w.count, wanted, strict=True):
+                at, row, start = [], [], []
+                for i, (first, count, open_anchors) in enumerate(zip(w.first, w.count, wanted, strict=True)):
                     hit = np.flatnonzero(np.isin(w.anchor[first : first + count], np.array(open_anchors, np.int64)))
                     at.append(first + hit)
                     start.append(hit)
-                    doc.append(np.full(len(hit), d, np.int64))
-                at, doc, start = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (at, doc, start))
-                yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(doc), pa.array(start.astype(np.int32))], names=["h1", "h2", "doc_id", "start"])
+                    row.append(np.full(len(hit), i, np.int64))
+                at, row, start = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (at, row, start))
+                names = [part.column(c).take(pa.array(row)) for c in ("doc_id", "u")]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), *names, pa.array(start.astype(np.int32))], names=["h1", "h2", "doc_id", "u", "start"])
 
     return run
 
@@ -133,17 +134,17 @@ def _passages(bits: int):
                 w = Windows(part.column("text"))
                 h1, h2 = w.hashes(bits)
                 names, rows = np.array(w.words.distinct.to_pylist(), dtype=object)[w.words.codes], []
-                for d, first, count, wanted in zip(part.column("doc_id").to_pylist(), w.first, w.count, part.column("wanted").to_pylist(), strict=True):
+                for d, u, first, count, wanted in zip(part.column("doc_id").to_pylist(), part.column("u").to_pylist(), w.first, w.count, part.column("wanted").to_pylist(), strict=True):
                     mine = h1[first : first + count]
                     value, where = np.unique(mine, return_index=True)
                     starts = np.sort(where[np.isin(value, np.array(wanted, np.int64))])
                     for piece in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                         if len(piece):
                             low, high = first + piece[0], first + piece[-1] + 1
-                            rows.append((d, int(piece[0]), h1[low:high].tolist(), h2[low:high].tolist(), " ".join(names[low : high + WINDOW - 1])))
-                c = list(zip(*rows, strict=True)) or [[]] * 5
-                types = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["owner", "at", "p1", "p2", "passage"])
+                            rows.append((d, u, int(piece[0]), h1[low:high].tolist(), h2[low:high].tolist(), " ".join(names[low : high + WINDOW - 1])))
+                c = list(zip(*rows, strict=True)) or [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["owner", "ou", "at", "p1", "p2", "passage"])
 
     return run
 
@@ -178,7 +179,7 @@ def _remove(batches):
                 gone = np.cumsum(steps[:-1]) > 0
                 removed.append(int(gone.sum()))
                 digest.append(_hex(mine[~gone].tolist()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(removed, pa.int64()), pa.array(digest)], names=["doc_id", "n_removed", "sha"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("u"), pa.array(removed, pa.int64()), pa.array(digest)], names=["doc_id", "u", "n_removed", "sha"])
 
 
 class FingerprintIndex:
@@ -225,10 +226,12 @@ class FingerprintIndex:
 
     def add_batch(self, batch: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
         """Verdicts on a batch (doc_id, text), and its keys into the index; earlier: the documents of the batches before, whose ids are smaller."""
-        known = batch.select("doc_id", "text", F.lit(True).alias("new"))
+        batch = batch.select("doc_id", "text", F.xxhash64("text").alias("u"))
+        earlier = None if earlier is None else earlier.select("doc_id", "text", F.xxhash64("text").alias("u"))
+        known = batch.withColumn("new", F.lit(True))
         if earlier is not None:
-            known = known.union(earlier.select("doc_id", "text", F.lit(False)))
-        a = durable(batch.mapInArrow(_survey, "doc_id long, n_words long, s1 long, s2 long, sha string, anchors array<long>"), "survey")
+            known = known.union(earlier.withColumn("new", F.lit(False)))
+        a = durable(batch.mapInArrow(_survey, "doc_id long, u long, n_words long, s1 long, s2 long, sha string, anchors array<long>"), "survey")
         named = a.where("doc_id is not null")
         texts = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         old = self.lookup(TEXT)
@@ -246,15 +249,15 @@ class FingerprintIndex:
         again = shared.where("seen is not null and not open").select(F.col("seen").alias("doc_id"), "anchor")
         work = places.join(shared.select("anchor"), "anchor").select("doc_id", "anchor").union(again).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
         opened = durable(known.join(work, "doc_id"), "opened")
-        windows = opened.mapInArrow(_open_windows(self.bits), "h1 long, h2 long, doc_id long, start int")
+        windows = opened.mapInArrow(_open_windows(self.bits), "h1 long, h2 long, doc_id long, u long, start int")
         least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         old = self.lookup(PIECE)
         least = durable(least.join(old, (F.col("h1") == old["i1"]) & (F.col("h2") == old["i2"]), "left").select("h1", "h2", "high", F.least("low", "seen").alias("owner")), "windows")
         hits = windows.join(least.where("high > owner").select("h1", "h2", "owner"), ["h1", "h2"]).where("doc_id > owner")
         hits = durable(hits, "hits")
         found, passages = self._candidates(hits, opened, earlier)
-        cut = opened.select("doc_id", "text").join(found, "doc_id").mapInArrow(_remove, "doc_id long, n_removed long, sha string")
-        cut = durable(cut.select("doc_id", F.col("n_removed").alias("cut"), F.col("sha").alias("cut_sha")).dropDuplicates(["doc_id"]), "cut")
+        cut = opened.select("doc_id", "u", "text").join(found, ["doc_id", "u"]).mapInArrow(_remove, "doc_id long, u long, n_removed long, sha string")
+        cut = durable(cut.select("doc_id", "u", F.col("n_removed").alias("cut"), F.col("sha").alias("cut_sha")).dropDuplicates(["doc_id", "u"]), "cut")
         keys = (
             owned.select(F.lit(TEXT).alias("kind"), F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.col("owner").alias("first"), F.lit(True).alias("open"))
             .union(per.select(F.lit(ANCHOR), "anchor", F.lit(0).cast("long"), F.least("low", "seen"), F.expr("low < high or seen is not null")))
@@ -263,7 +266,7 @@ class FingerprintIndex:
         self.append(keys)
         for x in (places, per, opened, least, hits, passages):
             release(x)
-        out = a2.join(cut, "doc_id", "left")
+        out = a2.join(cut, ["doc_id", "u"], "left")
         whole = copy & (F.col("n_words") >= WINDOW)
         return durable(
             out.select(
@@ -279,17 +282,17 @@ class FingerprintIndex:
     def _candidates(self, hits: DataFrame, opened: DataFrame, earlier: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Of each document, the passages of smaller ones that its windows may repeat, and where: a start and a place in the passage, packed; and the table behind."""
         wanted = hits.groupBy("owner").agg(F.collect_set("h1").alias("wanted")).withColumnRenamed("owner", "doc_id")
-        sources = opened.where("new").select("doc_id", "text")
+        sources = opened.where("new").select("doc_id", "u", "text")
         if earlier is not None:
-            sources = sources.union(earlier.select("doc_id", "text"))
-        cut = sources.join(wanted, "doc_id").mapInArrow(_passages(self.bits), "owner long, at int, p1 array<long>, p2 array<long>, passage string")
+            sources = sources.union(earlier.select("doc_id", "u", "text"))
+        cut = sources.join(wanted, "doc_id").mapInArrow(_passages(self.bits), "owner long, ou long, at int, p1 array<long>, p2 array<long>, passage string")
         table = durable(cut, "passages")
-        cut = table.dropDuplicates(["owner", "at"])
-        at = cut.select("owner", "at", F.posexplode(F.arrays_zip("p1", "p2")).alias("off", "p")).select("owner", "at", "off", F.col("p.p1").alias("h1"), F.col("p.p2").alias("h2"))
+        cut = table.dropDuplicates(["owner", "ou", "at"])
+        at = cut.select("owner", "ou", "at", F.posexplode(F.arrays_zip("p1", "p2")).alias("off", "p")).select("owner", "ou", "at", "off", F.col("p.p1").alias("h1"), F.col("p.p2").alias("h2"))
         place = F.shiftleft(F.col("start").cast("long"), 32) + F.col("off")
-        met = hits.join(at, ["owner", "h1", "h2"]).groupBy("doc_id", "owner", "at").agg(F.collect_set(place).alias("places"))
-        met = met.join(cut.select("owner", "at", "passage"), ["owner", "at"])
-        return met.groupBy("doc_id").agg(F.collect_list(F.struct("passage", "places")).alias("passages")), table
+        met = hits.join(at, ["owner", "h1", "h2"]).groupBy("doc_id", "u", "owner", "ou", "at").agg(F.collect_set(place).alias("places"))
+        met = met.join(cut.select("owner", "ou", "at", "passage"), ["owner", "ou", "at"])
+        return met.groupBy("doc_id", "u").agg(F.collect_list(F.struct("passage", "places")).alias("passages")), table
 
 
 def substring_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hash_bits: int = 64) -> DataFrame:

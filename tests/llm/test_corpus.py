@@ -256,3 +256,40 @@ def test_pipeline_keeps_one_of_each(spark):
     assert all(i == max(texts[docs[i]]) for i in out["doc_id"])  # of equal texts the largest id stays
     assert len(kept) == out["doc_id"].nunique() and 0 < len(kept) < len(docs)
     assert not out.duplicated(["sequence_id", "offset"]).any()
+
+
+def test_repeated_ids_are_judged_text_by_text(spark):
+    """A shared id with two texts, a repeated row, null ids: each text against the documents of smaller ids only."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(99)) for _ in range(n))
+    passage, other = text(60), text(80)
+    rows = [(1, passage), (2, passage + " " + text(10)), (2, other), (2, other), (3, text(5) + " " + other), (None, passage), (None, other), (4, passage), (4, text(90))]
+    ids = sorted({d for d, _ in rows if d is not None})
+    windows = lambda t: {tuple(t.split(" ")[i : i + 50]) for i in range(len(t.split(" ")) - 49)}
+    before = {d: set().union(*(windows(t) for e, t in rows if e is not None and e < d)) for d in ids}
+    want = []
+    for d, t in rows:
+        w = t.split(" ")
+        gone = {i + k for i in range(len(w) - 49) for k in range(50) if d is not None and tuple(w[i : i + 50]) in before[d]}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((d, len(w), len(gone), substring._hex([kept]) if kept else substring._hex([])))
+    key = lambda r: tuple(map(str, r))
+    for batches in (1, 3):
+        got = substring.substring_verdicts(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_mixing_meets_its_target_on_null_and_shared_ids(spark):
+    """Rows alike in id and size do not gain their extra copies all at once; reruns on other partitions agree."""
+    same = lambda d, n: [(d, "w " * 10, "a")] * n
+    for rows in (same(None, 100), same(7, 100), same(None, 60) + same(7, 40) + [(i, "w " * (i % 13), "b") for i in range(200)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mixing.mix(df).collect()
+        assert len(got) == len(rows)
+        for source in {r[2] for r in rows}:
+            mine = [r for r in got if r["source"] == source]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
+        key = lambda r: tuple(map(str, r))
+        again = mixing.mix(df.repartition(7)).collect()
+        pick = lambda x: sorted(((r["doc_id"], r["size"], r["taken"]) for r in x), key=key)
+        assert pick(got) == pick(again)
