@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,30 @@ def durable(df: DataFrame, name: str, partition: list[str] | None = None) -> Dat
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    if _tracked:
+        _tracked[-1].append(path)
     return out
 
 
+_tracked: list[list[str]] = []
+
+
+@contextmanager
+def tracked(paths: list[str]) -> Iterator[None]:
+    """Note in `paths` the durable tables that are written meanwhile."""
+    _tracked.append(paths)
+    try:
+        yield
+    finally:
+        _tracked.pop()
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete the durable tables of these paths, which nothing reads any more, and empty the list."""
+    while paths:
+        _delete(spark, paths.pop())
+
+
 #: A column that input tables are not expected to have.
 ROW = "__kinoframe_row__"
 
@@ -75,14 +97,23 @@ def content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t))
 
 
-def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df, durable, with a number of its own in ROW for each row, whatever its id; in the given order, if any.
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df, durable, with a number of its own in ROW for each row, whatever its id."""
+    return durable(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
 
-    Rows of one order value are told apart by their content, and rows that are the same are spread.
+def all_but_one(groups: DataFrame, rows: DataFrame, id_col: str, largest: bool) -> DataFrame:
+    """The numbers of all rows of groups (ROW, group) but one of each: that of the largest id (null is the least) or of the least one (null is the largest).
+
+    Rows of one id are told apart by their content, then by number. Only ids, hashes and numbers are grouped; the rows
+    that stay are found by their own number, so a large group is no hot key.
     """
-    if order:
-        df = df.withColumn(ROW, F.monotonically_increasing_id()).orderBy(*order, content_hash(df), ROW)
-    return durable(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    small = rows.select(ROW, F.col(id_col).alias("_id"), content_hash(rows.drop(ROW)).alias("_content"))
+    members = durable(groups.join(small, ROW), "members")
+    order = [F.col("_id"), F.col("_content"), F.col(ROW)]
+    best = F.max(F.struct(*order)) if largest else F.min(F.struct(F.col("_id").isNull().alias("_none"), *order))
+    stay = members.groupBy("group").agg(best.alias("b")).select(F.col(f"b.{ROW}").alias(ROW))
+    return members.select(ROW).join(stay, ROW, "left_anti")
 
 
 def release(df: DataFrame) -> None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _GOLDEN, ROW, durable, mix, numbered, slices
+from .common import _GOLDEN, ROW, all_but_one, durable, mix, numbered, slices
 
 MIN_CHUNK, MAX_CHUNK, MEAN_BITS, WINDOW = 256, 8192, 10, 32
 _GEAR = mix(np.arange(256, dtype=np.uint64), _GOLDEN & 0xFFFF).astype(np.uint32)
@@ -140,6 +140,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, that of the largest id (null is the least); all columns as they were."""
-    rows = numbered(docs, "exact-rows", F.col(id_col).asc_nulls_first())
-    gone = exact_groups(rows, ROW, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows = numbered(docs, "exact-rows")
+    groups = exact_groups(rows, ROW, text_col).where("group_size > 1").select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group"))
+    return rows.join(all_but_one(groups, rows, id_col, largest=True), ROW, "left_anti").select(*docs.columns)

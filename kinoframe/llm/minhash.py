@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Words, distinct, durable, mix, numbered, release, slices
+from .common import ROW, Words, all_but_one, distinct, durable, mix, numbered, release, slices
 from .groups import blocks_for, by_group, components, join_up, similar
 
 ROWS, MISS = 5, 1e-6
@@ -220,6 +220,6 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate group, that of the least id (null is the largest); all columns as they were."""
-    rows = numbered(docs, "near-rows", F.col(id_col).asc_nulls_last())
-    gone = near_groups(rows, shingle, percent, ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    rows = numbered(docs, "near-rows")
+    groups = near_groups(rows, shingle, percent, ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group"))
+    return rows.join(all_but_one(groups, rows, id_col, largest=False), ROW, "left_anti").select(*docs.columns)
