@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinoframe.llm import exact_dedup, minhash, mixing, packing, quality
-from kinoframe.llm.common import durable, release
+from kinoframe.llm.common import durable, forget, release, tracked
 from kinoframe.llm.queries import WORD_BPE, documents
 
 
@@ -34,12 +36,28 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, WORD_BPE)
 
 
+#: Tables that the stage before wrote for itself.
+_left: list[str] = []
+
+
+def _alone(stage):
+    """The stage, which first deletes what the stage before wrote for itself: its result has been written and is read again as docs."""
+
+    @wraps(stage)
+    def run_alone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _left)
+        with tracked(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_alone
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("exact dedup", exact_copies),
-    ("MinHash near-dedup", near_copies),
-    ("mixing sources", source_mix),
-    ("packing", packed),
+    ("quality rules", _alone(quality_rules)),
+    ("exact dedup", _alone(exact_copies)),
+    ("MinHash near-dedup", _alone(near_copies)),
+    ("mixing sources", _alone(source_mix)),
+    ("packing", _alone(packed)),
 ]
 
 
