@@ -16,8 +16,9 @@ QPS = (12, 18, 24, 30, 36)
 
 
 @register(
-    ", d AS (SELECT m.block_id, m.px, a.px AS a, l.px AS l, (list_sum(a.px[57:64]) + list_sum(list_transform(range(8), lambda y: l.px[8 * y + 8])) + 8)::BIGINT // 16 AS dc FROM blocks m JOIN blocks l ON l.block_id + 1 = m.block_id JOIN blocks a ON a.block_id + 8 = m.block_id),"
-    " s AS (SELECT block_id, dc, list_sum(list_transform(px, lambda v: abs(v - dc)))::BIGINT AS dc_sad, list_sum(list_transform(range(64), lambda i: abs(px[i + 1] - l[8 * (i // 8) + 8])))::BIGINT AS h_sad, list_sum(list_transform(range(64), lambda i: abs(px[i + 1] - a[57 + i % 8])))::BIGINT AS v_sad FROM d)"
+    ", e AS (SELECT m.block_id, m.px, a.px[57:64] AS a, list_transform(range(8), lambda y: l.px[8 * y + 8]) AS l, l.px IS NOT NULL AS hl FROM blocks m LEFT JOIN blocks l ON l.block_id + 1 = m.block_id AND m.block_id % 8 > 0 LEFT JOIN blocks a ON a.block_id + 8 = m.block_id AND m.block_id % 64 >= 8),"
+    " d AS (SELECT block_id, px, CASE WHEN a IS NOT NULL AND hl THEN (list_sum(a) + list_sum(l) + 8)::BIGINT // 16 WHEN a IS NOT NULL THEN (list_sum(a) + 4)::BIGINT // 8 WHEN hl THEN (list_sum(l) + 4)::BIGINT // 8 ELSE 128 END AS dc, CASE WHEN a IS NOT NULL THEN a ELSE list_transform(range(8), lambda i: 127) END AS a, CASE WHEN hl THEN l ELSE list_transform(range(8), lambda i: 129) END AS l FROM e),"
+    " s AS (SELECT block_id, dc, list_sum(list_transform(px, lambda v: abs(v - dc)))::BIGINT AS dc_sad, list_sum(list_transform(range(64), lambda i: abs(px[i + 1] - l[i // 8 + 1])))::BIGINT AS h_sad, list_sum(list_transform(range(64), lambda i: abs(px[i + 1] - a[i % 8 + 1])))::BIGINT AS v_sad FROM d)"
     " SELECT *, CASE WHEN dc_sad <= h_sad AND dc_sad <= v_sad THEN 'dc' WHEN h_sad <= v_sad THEN 'h' ELSE 'v' END AS mode FROM s"
 )
 def block_edge_predictors(spark, sf_dir):
@@ -39,7 +40,7 @@ def block_dpcm(spark, sf_dir):
     return C.dpcm(blocks(spark, sf_dir))
 
 
-_RESIDUAL = ", p AS (SELECT a.block_id, list_transform(range(1, 65), lambda i: (a.px[i] - b.px[i])::BIGINT) AS r FROM blocks a JOIN blocks b ON a.block_id = b.block_id + 1)"
+_RESIDUAL = ", p AS (SELECT a.block_id, list_transform(range(1, 65), lambda i: (a.px[i] - b.px[i])::BIGINT) AS r FROM blocks a JOIN blocks b ON a.block_id = b.block_id + 64)"
 
 
 @register(
@@ -132,21 +133,21 @@ def block_frame_modes_whole(spark, sf_dir):
 
 
 #: Fixed names that format parsing meets, valid and invalid.
-NAMES = ("yuv420p", "YUV422P10LE", " yuv444p12le ", "gray8", "y10le", "rgb24", "yuv420p16be", "yuv420p17le", "yuv422p9")
-_FRAMES = f"SELECT p_partkey AS id, ({list(NAMES)})[p_partkey % {len(NAMES)} + 1] AS name, (p_size * 7 + 16)::BIGINT AS width, (p_size * 5 + 9)::BIGINT AS height FROM part"
+NAMES = ("yuv420p", "YUV422P10LE", " yuv444p12le ", "gray8", "y10le", "rgb24", "yuv420p16be", "yuv420p17le", "yuv422p9", "gbrp")
+_FRAMES = f"SELECT p_partkey AS id, ({list(NAMES)})[p_partkey % {len(NAMES)} + 1] AS name, (p_size * 7 % 333)::BIGINT AS width, (p_size * 5 + 9)::BIGINT AS height FROM part"
 
 
 def frames(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), (F.col("p_size") * 7 + 16).cast("long").alias("width"), (F.col("p_size") * 5 + 9).cast("long").alias("height"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name.alias("name"), (F.col("p_size") * 7 % 333).cast("long").alias("width"), (F.col("p_size") * 5 + 9).cast("long").alias("height"))
 
 
 @register(
-    f", fr AS (SELECT *, lower(trim(name)) AS f FROM ({_FRAMES})), a AS (SELECT *, CASE WHEN f = 'rgb24' THEN 'rgb' WHEN f ~ '^(gray|y)[0-9]*(le)?$' THEN '400' WHEN f ~ '^yuv4(20|22|44)p([0-9]+(le)?)?$' THEN f[4:6] END AS s, regexp_extract(f, '^(gray|y|yuv[0-9]+p)([0-9]+)', 2) AS digits FROM fr),"
+    f", fr AS (SELECT *, lower(trim(name)) AS f FROM ({_FRAMES})), a AS (SELECT *, CASE WHEN f = 'rgb24' THEN 'rgb' WHEN f IN ('gbrp', 'gbrp8') THEN 'gbr' WHEN f ~ '^(gray|y)[0-9]*(le)?$' THEN '400' WHEN f ~ '^yuv4(20|22|44)p([0-9]+(le)?)?$' THEN f[4:6] END AS s, regexp_extract(f, '^(gray|y|yuv[0-9]+p)([0-9]+)', 2) AS digits FROM fr),"
     " b AS (SELECT *, CASE WHEN digits = '' THEN 8 ELSE digits::BIGINT END AS d FROM a), c AS (SELECT * REPLACE (CASE WHEN d BETWEEN 8 AND 16 THEN s END AS s) FROM b)"
-    " SELECT id, s AS sampling, CASE WHEN s IS NOT NULL THEN d END AS depth, CASE s WHEN 'rgb' THEN 'rgb24' WHEN '400' THEN 'gray' || d ELSE 'yuv' || s || 'p' || CASE WHEN d > 8 THEN d || 'le' ELSE '' END END AS canonical,"
+    " SELECT id, s AS sampling, CASE WHEN s IS NOT NULL THEN d END AS depth, CASE s WHEN 'rgb' THEN 'rgb24' WHEN 'gbr' THEN 'gbrp8' WHEN '400' THEN 'gray' || d || CASE WHEN d > 8 THEN 'le' ELSE '' END ELSE 'yuv' || s || 'p' || d || CASE WHEN d > 8 THEN 'le' ELSE '' END END AS canonical,"
     " CASE WHEN s IS NOT NULL THEN CASE WHEN d > 8 THEN 2 ELSE 1 END * CASE s WHEN '400' THEN width * height WHEN '420' THEN width * height + 2 * ((width + 1) // 2) * ((height + 1) // 2) WHEN '422' THEN width * height + 2 * ((width + 1) // 2) * height ELSE 3 * width * height END END::BIGINT AS frame_bytes,"
-    " s IS NOT NULL AND CASE s WHEN '420' THEN width % 2 = 0 AND height % 2 = 0 WHEN '422' THEN width % 2 = 0 ELSE true END AS valid FROM c"
+    " CASE WHEN s IS NOT NULL THEN CASE WHEN d > 8 THEN 2 ELSE 1 END * width * height END::BIGINT AS luma_bytes, CASE WHEN s IS NOT NULL THEN CASE WHEN d > 8 THEN 2 ELSE 1 END * CASE s WHEN '400' THEN 0 WHEN '420' THEN ((width + 1) // 2) * ((height + 1) // 2) WHEN '422' THEN ((width + 1) // 2) * height WHEN 'rgb' THEN 0 ELSE width * height END END::BIGINT AS chroma_bytes, s IS NOT NULL AND width > 0 AND height > 0 AND CASE s WHEN '420' THEN width % 2 = 0 AND height % 2 = 0 WHEN '422' THEN width % 2 = 0 ELSE true END AS valid FROM c"
 )
 def format_geometry(spark, sf_dir):
     return formats.geometry(frames(spark, sf_dir))

@@ -67,6 +67,27 @@ def picture_directions(spark, sf_dir):
     return d.select("frame", "y", "x", "angle", "sad", weighted.alias("weighted"))
 
 
+_MODES = ("dc", "v", "h", "paeth", "smooth", "smooth_v", "smooth_h")
+_PULL = f"{list(A.PULLS)}"
+
+
+@on_pictures(
+    ", a AS (SELECT frame, row * 2 + y // 4 AS y, col * 2 + x // 4 AS x, list_transform(range(16), lambda i: px[8 * (y + i // 4) + x + i % 4 + 1]::BIGINT) AS px FROM pictures, (SELECT unnest([0, 4]) AS y), (SELECT unnest([0, 4]) AS x)),"
+    " e AS (SELECT a.frame, a.y, a.x, a.px, u.px IS NOT NULL AS ha, l.px IS NOT NULL AS hl, CASE WHEN u.px IS NULL THEN [127, 127, 127, 127, 127] ELSE u.px[13:16] || [coalesce(v.px[13], u.px[16])] END AS t, CASE WHEN l.px IS NULL THEN [129, 129, 129, 129, 129] ELSE [l.px[4], l.px[8], l.px[12], l.px[16], coalesce(m.px[4], l.px[16])] END AS s,"
+    " CASE WHEN u.px IS NULL THEN coalesce(l.px[4], 128) WHEN l.px IS NULL THEN u.px[13] ELSE k.px[16] END AS k FROM a LEFT JOIN a u ON u.frame = a.frame AND u.y = a.y - 1 AND u.x = a.x LEFT JOIN a v ON v.frame = a.frame AND v.y = a.y - 1 AND v.x = a.x + 1 LEFT JOIN a l ON l.frame = a.frame AND l.y = a.y AND l.x = a.x - 1"
+    " LEFT JOIN a m ON m.frame = a.frame AND m.y = a.y + 1 AND m.x = a.x - 1 LEFT JOIN a k ON k.frame = a.frame AND k.y = a.y - 1 AND k.x = a.x - 1),"
+    " i AS (SELECT frame, y, x, px[i + 1] AS p, t[i % 4 + 1] AS v, s[i // 4 + 1] AS h, k, CASE WHEN ha AND hl THEN (list_sum(t[1:4]) + list_sum(s[1:4]) + 4) // 8 WHEN ha THEN (list_sum(t[1:4]) + 2) // 4 WHEN hl THEN (list_sum(s[1:4]) + 2) // 4 ELSE 128 END AS dc, t[5] AS tr, s[5] AS bl, i // 4 AS r, i % 4 AS c FROM (SELECT *, unnest(range(16)) AS i FROM e)),"
+    " d AS (SELECT *, bl + floor(((v - bl) * (3 - r) + 2) / 4)::BIGINT AS dn, tr + floor(((h - tr) * (3 - c) + 2) / 4)::BIGINT AS ac FROM i),"
+    f" f AS (SELECT *, dn + floor(((v - dn) * {_PULL}[r + 1] + 32) / 64)::BIGINT AS sv, ac + floor(((h - ac) * {_PULL}[c + 1] + 32) / 64)::BIGINT AS sh FROM d),"
+    " g AS (SELECT frame, y, x, p, unnest([dc, v, h, CASE WHEN abs(v - k) <= abs(h - k) AND abs(v - k) <= abs(v + h - 2 * k) THEN h WHEN abs(h - k) <= abs(v + h - 2 * k) THEN v ELSE k END, greatest(least(floor((sv + sh + 1) / 2)::BIGINT, 255), 0), greatest(least(sv, 255), 0), greatest(least(sh, 255), 0)]) AS q, unnest(range(7)) AS j FROM f),"
+    f" w AS (SELECT frame, y, x, j, sum(abs(p - q))::BIGINT AS sad FROM g GROUP BY ALL) SELECT frame, y, x, {list(_MODES)}[min({{'s': sad, 'j': j}}).j + 1] AS mode, min(sad) AS sad, sum(sad * (j + 1))::BIGINT AS weighted FROM w GROUP BY ALL"
+)
+def picture_area_modes(spark, sf_dir):
+    """The best of seven plain predictions for each 4x4 area of pictures, at their edges too."""
+    d = A.best_plain_modes(A.areas(pictures(spark, sf_dir)))
+    return d.select("frame", "y", "x", "mode", "sad", total(F.transform("sads", lambda s, i: s * (i + 1))).alias("weighted"))
+
+
 _LOG2 = "(length(bin({v})) - 1)"
 
 

@@ -19,6 +19,36 @@ def block_shift_hashes(spark, sf_dir):
     return blocks(spark, sf_dir).select("block_id", L.shift_hash(F.col("px")).alias("hash"))
 
 
+_TURN5, _TURN13 = ((f"((({{v}}) << {k}) & 4294967295) | (({{v}}) >> {32 - k})") for k in (5, 13))
+
+
+@register(
+    ", p AS (SELECT a.block_id // 3 AS picture, list_transform(a.px || b.px || c.px, lambda v: v::BIGINT) AS s FROM blocks a JOIN blocks b ON b.block_id = a.block_id + 1 JOIN blocks c ON c.block_id = a.block_id + 2 WHERE a.block_id % 3 = 0),"
+    " r AS (SELECT picture, list_transform(range(24), lambda i: xor(s[8 * i + 1] + s[8 * i + 2] * 256 + s[8 * i + 3] * 65536 + s[8 * i + 4] * 16777216, xor("
+    + _TURN5.format(v="s[8 * i + 5] + s[8 * i + 6] * 256 + s[8 * i + 7] * 65536 + s[8 * i + 8] * 16777216")
+    + ", (i // 8) * 1024 + (i % 8) * 128 + 8))) AS m FROM p)"
+    f" SELECT picture, list_reduce(m, lambda h, v: xor(xor(xor(h, v), {_TURN13.format(v='xor(h, v)')}), xor((xor(h, v) << 7) & 4294967295, xor(h, v) >> 11)), 2166136261::BIGINT) AS hash FROM r"
+)
+def block_packet_hashes(spark, sf_dir):
+    """The hash of three blocks in a row as the planes of one."""
+    b = blocks(spark, sf_dir)
+    plane = lambda k, name: b.where(F.col("block_id") % 3 == k).select(F.floor(F.col("block_id") / 3).alias("picture"), F.col("px").alias(name))
+    d = plane(0, "y").join(plane(1, "u"), "picture").join(plane(2, "v"), "picture")
+    return d.select("picture", L.packet_hash([F.col("y"), F.col("u"), F.col("v")]).alias("hash"))
+
+
+@register(
+    ", pics AS (SELECT p_partkey AS id, p_size * 167 + 8 AS width, p_size * p_partkey % 3000 + 8 AS height FROM part), k AS (SELECT *, (width + 63) // 64 AS c, (height + 63) // 64 AS r FROM pics),"
+    " l AS (SELECT *, (SELECT min(i) FROM range(20) t(i) WHERE 64 * 2 ** i >= c) AS min_cols, (SELECT min(i) FROM range(20) t(i) WHERE 2 ** i >= least(c, 64)) AS max_cols, (SELECT min(i) FROM range(20) t(i) WHERE 2 ** i >= least(r, 64)) AS max_rows, (SELECT min(i) FROM range(20) t(i) WHERE 2304 * 2 ** i >= c * r) AS area FROM k),"
+    " w AS (SELECT *, greatest(area, min_cols) AS min_log2, least(greatest(CASE WHEN width >= 1920 THEN 2 WHEN width >= 1024 THEN 1 ELSE 0 END, min_cols), max_cols) AS log2_cols FROM l)"
+    " SELECT id, width::BIGINT AS width, height::BIGINT AS height, min_cols AS min_log2_cols, max_cols AS max_log2_cols, max_rows AS max_log2_rows, min_log2, log2_cols, least(greatest(CASE WHEN height >= 1080 THEN 1 ELSE 0 END, greatest(min_log2 - log2_cols, 0)), max_rows) AS log2_rows FROM w"
+)
+def format_fast_tiles(spark, sf_dir):
+    """Limits and choice of tiles for pictures up to 8358 samples wide."""
+    p, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    return L.fast_tiles(table(spark, sf_dir, "part").select(p.alias("id"), (size * 167 + 8).alias("width"), (size * p % 3000 + 8).alias("height")))
+
+
 @register(_PLACED + " SELECT block_id, frame, (col % 2 + row % 2 * 2 + col // 2 % 2 * 4 + row // 2 % 2 * 8 + col // 4 * 16 + row // 4 * 32)::BIGINT AS z FROM pl")
 def block_leaf_order(spark, sf_dir):
     return L.leaf_order(blocks(spark, sf_dir))

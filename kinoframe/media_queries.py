@@ -57,11 +57,11 @@ def frame_rgb_planes(spark, sf_dir):
     return S.rgb_planes(blocks(spark, sf_dir))
 
 
-@register("SELECT block_id, len(list_distinct(px))::BIGINT AS n_colours, len(list_distinct(px)) BETWEEN 2 AND 4 AS palette_worthy, list_max(px) = 0 AS black, sha256(array_to_string(px, ',')) AS digest FROM blocks")
+@register("SELECT block_id, len(list_distinct(px))::BIGINT AS n_colours, len(list_distinct(px)) BETWEEN 2 AND 4 AS palette_worthy, list_max(px) = 0 AS black, sha256(unhex(array_to_string(list_transform(px, lambda v: printf('%02x', v)), ''))) AS digest FROM blocks")
 def block_predicates(spark, sf_dir):
-    """Whether a block is worth a palette (2 to 4 distinct samples, unquantized) or black, and its digest."""
+    """Whether a block is worth a palette (2 to 4 distinct samples, unquantized) or black, and the digest of its bytes."""
     n = F.size(F.array_distinct("px")).cast("long")
-    return blocks(spark, sf_dir).select("block_id", n.alias("n_colours"), n.between(2, 4).alias("palette_worthy"), (F.array_max("px") == 0).alias("black"), F.sha2(F.array_join("px", ","), 256).alias("digest"))
+    return blocks(spark, sf_dir).select("block_id", n.alias("n_colours"), n.between(2, 4).alias("palette_worthy"), (F.array_max("px") == 0).alias("black"), F.sha2(F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")), 256).alias("digest"))
 
 
 @register(
@@ -96,7 +96,7 @@ def log_failure_reasons(spark, sf_dir):
 
 
 @register(
-    "SELECT p_partkey AS id, CASE WHEN k IN (0, 1, 2) THEN p_size::BIGINT * 2 END AS width, CASE WHEN k IN (0, 1, 2) THEN (p_partkey % 90 + 1)::BIGINT END AS height, CASE k WHEN 0 THEN 'yuv420p' WHEN 1 THEN 'gray10' WHEN 2 THEN 'gbrp' END AS format, round(CASE k WHEN 0 THEN 30.0 WHEN 1 THEN 29.97 WHEN 2 THEN 30000.0 / 1001 END, 6)::DOUBLE AS fps, CASE WHEN p_size BETWEEN 1 AND 255 THEN p_size::BIGINT END AS qp FROM (SELECT *, p_partkey % 4 AS k FROM part)"
+    "SELECT p_partkey AS id, CASE WHEN k IN (0, 1, 2) THEN p_size::BIGINT * 2 END AS width, CASE WHEN k IN (0, 1, 2) THEN (p_partkey % 90 + 1)::BIGINT END AS height, CASE k WHEN 0 THEN 'yuv420p' WHEN 1 THEN 'gray10' WHEN 2 THEN 'gbrp' END AS format, CASE k WHEN 0 THEN 30 WHEN 1 THEN 2997 WHEN 2 THEN 30000 END::BIGINT AS fps_num, CASE k WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 1001 END::BIGINT AS fps_den, CASE WHEN p_size BETWEEN 1 AND 255 THEN p_size::BIGINT END AS qp FROM (SELECT *, p_partkey % 4 AS k FROM part)"
 )
 def format_specs(spark, sf_dir):
     k = F.col("p_partkey") % 4
@@ -145,6 +145,15 @@ def source_csv_manifest(spark, sf_dir):
     return d.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), F.sum("p_size").alias("sizes"), F.max("p_name").alias("last_name"))
 
 
+@register(
+    ', t AS (SELECT "case", source, sum(bits)::BIGINT AS bits FROM sb GROUP BY ALL) SELECT 0 AS rank, \'| case | source | bits |\' AS line UNION ALL SELECT 1, \'| --- | --- | --- |\' UNION ALL SELECT 2, \'| \' || "case" || \' | \' || source || \' | \' || bits || \' |\' FROM t'
+)
+def report_markdown_table(spark, sf_dir):
+    """A whole table with head and rule, the largest bits first."""
+    d = superblocks(spark, sf_dir).groupBy("case", "source").agg(F.sum("bits").alias("bits"))
+    return X.markdown_table(d, ["case", "source", "bits"], {"bits": False})
+
+
 @register("SELECT '| ' || \"case\" || ' | ' || replace(source, '|', '\\|') || ' | ' || sum(bits)::BIGINT::VARCHAR || ' | n/a |' AS line FROM sb GROUP BY \"case\", source")
 def report_markdown(spark, sf_dir):
     d = superblocks(spark, sf_dir).groupBy("case", "source").agg(F.sum("bits").alias("bits")).withColumn("delta", F.lit(None).cast("long"))

@@ -14,8 +14,8 @@ def total(values: Column | str) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def previous(blocks: DataFrame, step: int = 1) -> DataFrame:
-    """Each block with the one `step` ids before it as ref: the block at its place in the frame before."""
+def previous(blocks: DataFrame, step: int = PIXELS) -> DataFrame:
+    """Each block with the one `step` ids before it as ref; frames of 8 by 8 blocks: the block at its place in the frame before."""
     ref = blocks.select((F.col("block_id") + step).alias("block_id"), F.col("px").alias("ref"))
     return blocks.join(ref, "block_id")
 
@@ -34,24 +34,31 @@ def pooled_psnr(pairs: DataFrame) -> DataFrame:
     return d.withColumn("psnr", F.when(F.col("sse") > 0, F.round(10 * F.log10(255.0 * 255 * PIXELS * F.col("n") / F.col("sse")), 6)))
 
 
-def mean_sse(px: Column, places: list[int]) -> Column:
-    """SSE of the samples at `places` around their mean, rounded half up."""
-    part = F.array(*(px[i] for i in places))
-    mean = F.floor((total(part) + len(places) // 2) / len(places))
-    return total(F.transform(part, lambda x: (x - mean) * (x - mean)))
+def sums(px: Column, places: list[int]) -> Column:
+    """struct(s, q) of the sum of the samples at `places` and of their squares."""
+    part = [px[i].cast("long") for i in places]
+    return F.struct(sum(part[1:], part[0]).alias("s"), sum((x * x for x in part[1:]), part[0] * part[0]).alias("q"))
+
+
+def mean_sse(part: Column, n: int) -> Column:
+    """SSE of n samples of these sums around their mean, rounded half up."""
+    mean = F.floor((part["s"] + n // 2) / n)
+    return part["q"] - 2 * mean * part["s"] + n * mean * mean
 
 
 def split_gain(blocks: DataFrame) -> DataFrame:
     """SSE around one mean against four means of the 4x4 quarters."""
     quarter = lambda oy, ox: [8 * (oy + y) + ox + x for y in range(4) for x in range(4)]
-    px = F.col("px")
-    four = sum((mean_sse(px, quarter(oy, ox)) for oy, ox in ((0, 4), (4, 0), (4, 4))), mean_sse(px, quarter(0, 0)))
-    d = blocks.select("block_id", mean_sse(px, list(range(PIXELS))).alias("whole_sse"), four.alias("split_sse"))
+    corners = ((0, 0), (0, 4), (4, 0), (4, 4))
+    d = blocks.select("block_id", *(sums(F.col("px"), quarter(*c)).alias(f"p{k}") for k, c in enumerate(corners)))
+    whole = F.struct(*(sum((F.col(f"p{k}.{c}") for k in (1, 2, 3)), F.col(f"p0.{c}")).alias(c) for c in ("s", "q")))
+    four = sum((mean_sse(F.col(f"p{k}"), PIXELS // 4) for k in (1, 2, 3)), mean_sse(F.col("p0"), PIXELS // 4))
+    d = d.withColumn("w", whole).select("block_id", mean_sse(F.col("w"), PIXELS).alias("whole_sse"), four.alias("split_sse"))
     return d.withColumn("gain", F.col("whole_sse") - F.col("split_sse")).withColumn("side", F.when(F.col("gain") > 0, 4).otherwise(8).cast("long"))
 
 
 def palettes(blocks: DataFrame) -> DataFrame:
-    """Distinct samples, range, and whether 2 to 4 samples make a palette of the block."""
+    """Distinct samples, range, and whether 2 to 4 distinct samples make a palette of the block; the samples as they are."""
     d = blocks.select("block_id", F.size(F.array_distinct("px")).cast("long").alias("n_colours"), (F.array_max("px") - F.array_min("px")).cast("long").alias("range"))
     return d.withColumn("palette_worthy", F.col("n_colours").between(2, 4))
 

@@ -19,14 +19,18 @@ def places(ys: range, xs: range) -> Column:
 
 
 def edge_predictors(blocks: DataFrame) -> DataFrame:
-    """SAD of the DC, horizontal and vertical predictors from the blocks left (id - 1) and above (id - 8), and the best.
+    """SAD of the DC, horizontal and vertical predictors from the blocks left (id - 1) and above (id - 8) in frames of 8 by 8, and the best.
 
-    DC is the rounded mean of both edges; ties go to DC, then horizontal. Blocks without both neighbours drop out.
+    DC is the rounded mean of the edges that are there, 128 if none is; without a block to the left its edge is 129, without one
+    above 127. Ties go to DC, then horizontal.
     """
-    above = blocks.select((F.col("block_id") + SIDE).alias("block_id"), F.slice("px", 57, 8).alias("above"))
-    left = blocks.select((F.col("block_id") + 1).alias("block_id"), F.array(*(F.col("px")[8 * y + 7] for y in range(8))).alias("left"))
-    d = blocks.join(left, "block_id").join(above, "block_id")
-    d = d.withColumn("dc", F.floor((total("left") + total("above") + 8) / 16))
+    here = F.col("block_id")
+    above = blocks.where(here % 64 < 56).select((here + SIDE).alias("block_id"), F.slice("px", 57, 8).alias("above"))
+    left = blocks.where(here % 8 < 7).select((here + 1).alias("block_id"), F.array(*(F.col("px")[8 * y + 7] for y in range(8))).alias("left"))
+    d = blocks.join(left, "block_id", "left").join(above, "block_id", "left")
+    dc = F.when(F.col("left").isNotNull() & F.col("above").isNotNull(), F.floor((total("left") + total("above") + 8) / 16)).when(F.col("above").isNotNull(), F.floor((total("above") + 4) / 8)).when(F.col("left").isNotNull(), F.floor((total("left") + 4) / 8)).otherwise(128)
+    flat = lambda c, v: F.coalesce(F.col(c), F.array_repeat(F.lit(v), 8))
+    d = d.withColumns({"dc": dc, "left": flat("left", 129), "above": flat("above", 127)})
     sad = lambda p: total(F.transform("px", lambda v, i: F.abs(v - p(i))))
     d = d.select("block_id", "dc", sad(lambda i: F.col("dc")).alias("dc_sad"), sad(lambda i: at("left", F.floor(i / 8))).alias("h_sad"), sad(lambda i: at("above", i % 8)).alias("v_sad"))
     best = F.when((F.col("dc_sad") <= F.col("h_sad")) & (F.col("dc_sad") <= F.col("v_sad")), "dc").when(F.col("h_sad") <= F.col("v_sad"), "h").otherwise("v")

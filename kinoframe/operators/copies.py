@@ -19,6 +19,8 @@ MOST_EQUAL = 8
 #: Blocks on a side of a superblock, and superblocks to the left that a copy inside a picture may reach. Fixed values.
 SUPERBLOCK, REACH = 8, 4
 LAST = 5
+#: Pictures of a range that is looked through together.
+RUN = 4096
 
 
 def motion_cascade(blocks: DataFrame) -> DataFrame:
@@ -158,6 +160,42 @@ def motion_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("frame").agg(F.count("*").alias("n_blocks"), *map(count, SOURCES), F.count_if(F.col("source").isNull()).alias("n_none"))
 
 
+def tile_modes(blocks: DataFrame, found: DataFrame, rows: int = SUPERBLOCK, cols: int = SUPERBLOCK) -> DataFrame:
+    """How each tile of rows x cols blocks follows from the picture before: frame, tile_row, tile_col, n_blocks, n_copied, n_motions, mode, lossy.
+
+    found: frame, row, col, mv_row, mv_col of the blocks that have a copy. mode: unchanged (all in place), motion (all by one vector), mixed (all,
+    by several), partial, intra. lossy, where a residual may follow: unchanged, moved if any block has a vector, else residual.
+    """
+    key = [F.col("frame"), F.floor(F.col("row") / rows).alias("tile_row"), F.floor(F.col("col") / cols).alias("tile_col")]
+    names = ["frame", "tile_row", "tile_col"]
+    still = (F.col("mv_row") == 0) & (F.col("mv_col") == 0)
+    mv = found.where("mv_row is not null").select(*key, "mv_row", "mv_col").groupBy(*names).agg(F.count("*").alias("n_copied"), F.count_if(still).alias("still"), F.countDistinct("mv_row", "mv_col").alias("n_motions"))
+    d = blocks.select(*key).groupBy(*names).agg(F.count("*").alias("n_blocks")).join(mv, names, "left").fillna(0, ["n_copied", "still", "n_motions"])
+    n, k = F.col("n_blocks"), F.col("n_copied")
+    mode = F.when(F.col("still") == n, "unchanged").when((k == n) & (F.col("n_motions") == 1), "motion").when(k == n, "mixed").when(k > 0, "partial").otherwise("intra")
+    lossy = F.when(F.col("still") == n, "unchanged").when(k > F.col("still"), "moved").otherwise("residual")
+    return d.select(*names, "n_blocks", "n_copied", "n_motions", mode.alias("mode"), lossy.alias("lossy"))
+
+
+def picture_kinds(blocks: DataFrame) -> DataFrame:
+    """frame, kind, shown: key for a picture without one before it, existing if it is the one before, block by block, else inter.
+
+    shown is the picture that stands for it: the first of its run of equal ones.
+    """
+    old = blocks.select((F.col("frame") + 1).alias("frame"), "row", "col", F.col("px").alias("was"))
+    same = blocks.join(old, ["frame", "row", "col"]).groupBy("frame").agg(F.count("*").alias("met"), F.count_if(F.col("px") == F.col("was")).alias("same"))
+    n = blocks.groupBy("frame").agg(F.count("*").alias("n"))
+    d = n.join(n.select((F.col("frame") + 1).alias("frame"), F.col("n").alias("n_before")), "frame", "left").join(same, "frame", "left")
+    kind = F.when(F.col("n_before").isNull(), "key").when((F.col("n") == F.col("n_before")) & F.coalesce(F.col("same") == F.col("n"), F.lit(False)), "existing").otherwise("inter")
+    d = d.select("frame", kind.alias("kind"), F.floor(F.col("frame") / RUN).alias("_run"))
+    first = F.when(F.col("kind") != "existing", F.col("frame"))
+    # a run of equal pictures may go on through many ranges: each brings its last first picture
+    last = d.groupBy("_run").agg(F.max(first).alias("last"))
+    before = last.select(F.col("_run").alias("_of"), F.max("last").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)).alias("_edge"))
+    inside = F.max(first).over(Window.partitionBy("_run").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("shown", inside).join(before, F.col("_run") == F.col("_of")).select("frame", "kind", F.coalesce("shown", "_edge").alias("shown"))
+
+
 def coding_order(row: Column, col: Column) -> Column:
     """The place of a block in its row of superblocks: superblock by superblock, inside one by the bits of column and row in turn."""
     bit = lambda v, k: F.shiftright(v.cast("long"), k).bitwiseAND(F.lit(1))

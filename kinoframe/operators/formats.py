@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_YUV = r"^yuv(420|422|444)p(?:([0-9]+)(?:le)?)?$"
-_GRAY = r"^(?:gray|y)([0-9]+)?(?:le)?$"
-REGION = 64
-
+from .metadata import parse_pixel_format, rate
 
-def parse_format(name: Column) -> Column:
-    """struct(sampling, depth, canonical) of a pixel format name; null where it is unknown or not of 8 to 16 bits."""
-    f = F.lower(F.trim(name))
-    gray, yuv = f.rlike(_GRAY), f.rlike(_YUV)
-    sampling = F.when(f == "rgb24", "rgb").when(gray, "400").when(yuv, F.regexp_extract(f, _YUV, 1))
-    digits = F.when(gray, F.regexp_extract(f, _GRAY, 1)).when(yuv, F.regexp_extract(f, _YUV, 2)).otherwise("")
-    depth = F.when(digits == "", F.lit(8)).otherwise(digits.try_cast("int")).cast("long")
-    base = F.when(sampling == "rgb", "rgb24").when(sampling == "400", F.concat(F.lit("gray"), depth.cast("string")))
-    canonical = F.coalesce(base, F.concat(F.lit("yuv"), sampling, F.lit("p"), F.when(depth > 8, F.concat(depth.cast("string"), F.lit("le"))).otherwise("")))
-    return F.when(sampling.isNotNull() & depth.between(8, 16), F.struct(sampling.alias("sampling"), depth.alias("depth"), canonical.alias("canonical")))
+REGION = 64
 
 
 def geometry(frames: DataFrame) -> DataFrame:
-    """frames (id, name, width, height) with the parsed format, the bytes of a frame, and whether sides suit the sampling."""
-    d = frames.withColumn("f", parse_format(F.col("name"))).select("id", "width", "height", "f.*")
-    w, h, s = F.col("width"), F.col("height"), F.col("sampling")
-    area = w * h
-    samples = F.when(s == "400", area).when(s == "420", area + 2 * F.floor((w + 1) / 2) * F.floor((h + 1) / 2)).when(s == "422", area + 2 * F.floor((w + 1) / 2) * h).otherwise(3 * area)
+    """frames (id, name, width, height) with the parsed format, the bytes of a frame, of its luma and of each chroma plane, and whether sides are there and suit the sampling.
+
+    Bytes that a 64-bit number does not hold are null. Packed formats count as one plane of three samples a place.
+    """
+    d = frames.withColumn("f", parse_pixel_format(F.col("name"))).select("id", "width", "height", "f.sampling", "f.depth", F.col("f.name").alias("canonical"))
+    w, h, s, deep = F.col("width"), F.col("height"), F.col("sampling"), F.when(F.col("depth") > 8, 2).otherwise(1).cast("long")
+    half = lambda c: F.floor((c + 1) / 2)
+    chroma = F.when(s == "420", F.try_multiply(half(w), half(h))).when(s == "422", F.try_multiply(half(w), h)).when(s.isin("400", "rgb"), 0).otherwise(F.try_multiply(w, h))
+    plane = lambda samples: F.when(s.isNotNull(), F.try_multiply(samples, deep))
+    d = d.withColumns({"luma_bytes": plane(F.try_multiply(w, h)), "chroma_bytes": plane(chroma)})
+    whole = F.when(s == "rgb", F.try_multiply("luma_bytes", F.lit(3).cast("long"))).otherwise(F.try_add("luma_bytes", F.try_multiply("chroma_bytes", F.lit(2).cast("long"))))
     fits = F.when(s == "420", (w % 2 == 0) & (h % 2 == 0)).when(s == "422", w % 2 == 0).otherwise(True)
-    bytes_ = F.when(s.isNotNull(), samples * F.when(F.col("depth") > 8, 2).otherwise(1))
-    return d.select("id", "sampling", "depth", "canonical", bytes_.alias("frame_bytes"), (s.isNotNull() & fits).alias("valid"))
+    return d.select("id", "sampling", "depth", "canonical", whole.alias("frame_bytes"), "luma_bytes", "chroma_bytes", (s.isNotNull() & (w > 0) & (h > 0) & fits).alias("valid"))
 
 
 def regions(frames: DataFrame) -> DataFrame:
@@ -50,13 +43,12 @@ def quantizers(rows: DataFrame, most: int = 255) -> DataFrame:
 
 
 def parse_specs(rows: DataFrame) -> DataFrame:
-    """rows (id, video, fps, qp: strings) parsed: WxH:format, rate as a whole, decimal or n/d over 0, qp of 1 to 255; null where it is none."""
+    """rows (id, video, fps, qp: strings) parsed: WxH:format, rate as an exact fraction, qp of 1 to 255; null where it is none."""
     video = r"^\s*([0-9]+)x([0-9]+):\s*([A-Za-z0-9]+)\s*$"
     part = lambda i: F.when(F.col("video").rlike(video), F.regexp_extract("video", video, i))
-    numerator, divisor = F.substring_index("fps", "/", 1).try_cast("double"), F.when(F.instr("fps", "/") > 0, F.substring_index("fps", "/", -1).try_cast("double")).otherwise(1.0)
-    rate = F.when((numerator > 0) & (divisor > 0), F.round(numerator / F.nullif(divisor, F.lit(0.0)), 6))
+    fps = rate(F.col("fps"))
     qp = F.col("qp").try_cast("long")
-    return rows.select("id", part(1).try_cast("long").alias("width"), part(2).try_cast("long").alias("height"), F.lower(part(3)).alias("format"), rate.alias("fps"), F.when(qp.between(1, 255), qp).alias("qp"))
+    return rows.select("id", part(1).try_cast("long").alias("width"), part(2).try_cast("long").alias("height"), F.lower(part(3)).alias("format"), fps["num"].alias("fps_num"), fps["den"].alias("fps_den"), F.when(qp.between(1, 255), qp).alias("qp"))
 
 
 def integer_sizes(rows: DataFrame) -> DataFrame:

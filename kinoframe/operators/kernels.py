@@ -28,6 +28,8 @@ SLOPES = (
 #: Directions in degrees. Fixed values.
 ANGLES = (45, 67, 113, 135, 157, 203)
 AREA, EDGE = 4, 8
+#: Pulls of a smooth prediction to the edge near it, of 64, by distance. Fixed values.
+PULLS = (32, 8, 2, 0)
 
 #: Significands of 16 / d for the sixteenths d of a power of two, less 8. Fixed values.
 RECIPROCALS = (0, 7, 6, 5, 5, 4, 4, 3, 3, 2, 2, 1, 1, 1, 1, 0)
@@ -103,7 +105,7 @@ def dct_quarters(blocks: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def areas(blocks: DataFrame, depth: int = 8) -> DataFrame:
-    """The 4x4 areas of pictures with their edges: frame, y, x (in areas), px (16), above (8), left (8), corner.
+    """The 4x4 areas of pictures with their edges: frame, y, x (in areas), px (16), above (8), left (8), corner, has_above, has_left.
 
     above goes on into the area above to the right, left into the one below to the left; where that is not there its
     last sample is repeated. Without an area above, above is one less than the middle value, without one to the left, left
@@ -122,7 +124,7 @@ def areas(blocks: DataFrame, depth: int = 8) -> DataFrame:
     got = m.groupBy("frame", "y", "x").agg(*(F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("px", "above", "beyond", "left", "below", "corner"))).where("px is not null")
     edge = lambda near, far, none: F.when(F.col(near).isNull(), F.array_repeat(F.lit(none), EDGE)).otherwise(F.concat(near, F.coalesce(far, F.array_repeat(F.col(near)[3], 4))))
     corner = F.when(F.col("above").isNull(), F.coalesce(F.col("left")[0], F.lit(middle))).when(F.col("left").isNull(), F.col("above")[0]).otherwise(F.col("corner")[0])
-    return got.select("frame", "y", "x", "px", edge("above", "beyond", middle - 1).alias("above"), edge("left", "below", middle + 1).alias("left"), corner.alias("corner"))
+    return got.select("frame", "y", "x", "px", edge("above", "beyond", middle - 1).alias("above"), edge("left", "below", middle + 1).alias("left"), corner.alias("corner"), F.col("above").isNotNull().alias("has_above"), F.col("left").isNotNull().alias("has_left"))
 
 
 def along_edge(edge: np.ndarray, slope: int, along: np.ndarray, across: np.ndarray) -> np.ndarray:
@@ -149,6 +151,45 @@ def directional(angle: int, above: np.ndarray, left: np.ndarray, corner: np.ndar
     return np.where(base_x >= -1, blend(top, np.maximum(base_x, -1), (far_x & 63) >> 1), blend(side, base_y, (far_y & 63) >> 1))
 
 
+def plain_predictions(above: np.ndarray, left: np.ndarray, corner: np.ndarray, has_above: np.ndarray, has_left: np.ndarray, depth: int = 8) -> dict[str, np.ndarray]:
+    """The 4x4 areas (n, 16) that follow from their edges without a direction: dc, v, h, paeth and three smooth ones, in order of preference.
+
+    dc is the rounded mean of the edges that are there, the middle value if none is. The smooth ones draw a line from the edge to the
+    fifth sample of the other edge and pull it to the edge near it by 32, 8, 2, 0 of 64.
+    """
+    y, x = np.divmod(np.arange(AREA * AREA), AREA)
+    round_ = lambda v, bits: (v + (1 << (bits - 1))) >> bits
+    a, b = above[:, :AREA].sum(axis=1), left[:, :AREA].sum(axis=1)
+    dc = np.where(has_above & has_left, round_(a + b, 3), np.where(has_above, round_(a, 2), np.where(has_left, round_(b, 2), 1 << (depth - 1))))
+    v, h, k = above[:, x], left[:, y], corner[:, None]
+    base = v + h - k
+    off = [np.abs(base - e) for e in (h, v, k)]
+    paeth = np.where((off[0] <= off[1]) & (off[0] <= off[2]), h, np.where(off[1] <= off[2], v, k))
+    weight = np.array(PULLS)
+    down = left[:, AREA, None] + round_((v - left[:, AREA, None]) * (AREA - 1 - y), 2)
+    across = above[:, AREA, None] + round_((h - above[:, AREA, None]) * (AREA - 1 - x), 2)
+    down, across = down + round_((v - down) * weight[y], 6), across + round_((h - across) * weight[x], 6)
+    bound = lambda p: np.clip(p, 0, (1 << depth) - 1)
+    return {"dc": np.repeat(dc[:, None], AREA * AREA, axis=1), "v": v, "h": h, "paeth": paeth, "smooth": bound(round_(down + across, 1)), "smooth_v": bound(down), "smooth_h": bound(across)}
+
+
+def _best_plain(depth: int):
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        px, above, left = (square(batch.column(c), w) for c, w in (("px", 16), ("above", EDGE), ("left", EDGE)))
+        has = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("has_above", "has_left")]
+        found = plain_predictions(above, left, batch.column("corner").to_numpy().astype(np.int64), *has, depth)
+        sad = np.stack([np.abs(px - p).sum(axis=1) for p in found.values()], axis=1)
+        names = np.array(list(found), dtype=object)[sad.argmin(axis=1)]
+        return {**{c: batch.column(c) for c in ("frame", "y", "x")}, "mode": pa.array(names, pa.string()), "sad": pa.array(sad.min(axis=1)), "sads": lists(sad)}
+
+    return batches(work)
+
+
+def best_plain_modes(found: DataFrame, depth: int = 8) -> DataFrame:
+    """frame, y, x, mode, sad, sads of areas: the plain prediction of the least sum of absolute differences, the first of equals, and the sums of all seven."""
+    return found.mapInArrow(_best_plain(depth), "frame long, y long, x long, mode string, sad long, sads array<long>")
+
+
 def _best_direction(angles: tuple[int, ...]):
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         px, above, left = (square(batch.column(c), w) for c, w in (("px", 16), ("above", EDGE), ("left", EDGE)))

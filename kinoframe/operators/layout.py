@@ -11,6 +11,8 @@ HASH_SEED, WORD_MASK = 0x811C9DC5, 0xFFFFFFFF
 #: Weights of a smooth predictor by distance from the edge, of 64. Fixed values.
 EDGE_WEIGHTS = (32, 8, 2, 0)
 AREA = 4
+#: Limits of tiles at level 2.0, in superblocks: width, area, and tiles along a side. Fixed values.
+MOST_WIDTH, MOST_AREA, MOST_TILES = 64, 2304, 64
 
 
 def shift_hash(px: Column) -> Column:
@@ -25,6 +27,32 @@ def shift_hash(px: Column) -> Column:
     return F.aggregate(px, F.lit(HASH_SEED).cast("long"), step)
 
 
+def packet_hash(planes: list[Column], bytes_a_sample: int = 1) -> Column:
+    """A 32-bit hash of an 8x8 block of full-size planes: one round a packet of eight bytes, with its plane and place mixed in.
+
+    px columns are arrays of 64 samples; samples of two bytes are little-endian, so a row is two packets.
+    """
+    turned = lambda v, k: F.shiftleft(v, k).bitwiseAND(F.lit(WORD_MASK)).bitwiseOR(F.shiftrightunsigned(v, 32 - k))
+    packets = []
+    for plane, px in enumerate(planes):
+        for y in range(SIDE):
+            row = [px[SIDE * y + x].cast("long") for x in range(SIDE)]
+            if bytes_a_sample == 2:
+                row = [b for v in row for b in (v % 256, F.floor(v / 256))]
+            for k in range(bytes_a_sample):
+                eight = row[8 * k : 8 * k + 8]
+                word = lambda part: sum((v * (1 << 8 * i) for i, v in enumerate(part[1:], 1)), part[0])
+                meta = plane << 10 | (y * SIDE * bytes_a_sample + 8 * k) << 4 | 8
+                packets.append(F.struct(word(eight[:4]).alias("low"), word(eight[4:]).alias("high"), F.lit(meta).cast("long").alias("meta")))
+
+    def step(h: Column, p: Column) -> Column:
+        mixed = h.bitwiseXOR(p["low"]).bitwiseXOR(turned(p["high"], 5)).bitwiseXOR(p["meta"])
+        spread = lambda r: r.bitwiseXOR(turned(r, 13)).bitwiseXOR(F.shiftleft(r, 7).bitwiseAND(F.lit(WORD_MASK))).bitwiseXOR(F.shiftrightunsigned(r, 11))
+        return F.transform(F.array(mixed), spread)[0]
+
+    return F.aggregate(F.array(*packets), F.lit(HASH_SEED).cast("long"), step)
+
+
 def placed(blocks: DataFrame) -> DataFrame:
     """block_id, frame, row and col of each block (frames of 8 by 8 blocks), and its samples."""
     at = F.pmod("block_id", F.lit(FRAME_BLOCKS))
@@ -79,6 +107,36 @@ def tile_starts(size: Column, log2: Column) -> Column:
     return F.filter(tiles, lambda t: t["start"] < t["stop"])
 
 
+def tile_log2(size: int, target: Column) -> Column:
+    """The least k for which size * 2^k reaches the target."""
+    return F.when(target <= size, 0).otherwise(F.length(F.bin(F.floor((target - 1) / size)))).cast("long")
+
+
+def tile_limits(pictures: DataFrame) -> DataFrame:
+    """pictures (id, width, height) with the limits of uniform tiles at level 2.0: min_log2_cols, max_log2_cols, max_log2_rows, min_log2 (of both)."""
+    sbs = lambda c: F.ceil(F.ceil(F.col(c) / 8) * 8 / SUPERBLOCK)
+    d = pictures.withColumns({"_c": sbs("width"), "_r": sbs("height")})
+    d = d.withColumns({"min_log2_cols": tile_log2(MOST_WIDTH, F.col("_c")), "max_log2_cols": tile_log2(1, F.least("_c", F.lit(MOST_TILES))), "max_log2_rows": tile_log2(1, F.least("_r", F.lit(MOST_TILES)))})
+    return d.withColumn("min_log2", F.greatest(tile_log2(MOST_AREA, F.col("_c") * F.col("_r")), "min_log2_cols")).drop("_c", "_r")
+
+
+def fast_tiles(pictures: DataFrame) -> DataFrame:
+    """pictures (id, width, height) with log2_cols and log2_rows: four columns from 1920 samples on, two from 1024, two rows from 1080, within the limits."""
+    d = tile_limits(pictures)
+    wide = F.when(F.col("width") >= 1920, 2).when(F.col("width") >= 1024, 1).otherwise(0)
+    d = d.withColumn("log2_cols", F.least(F.greatest(wide, "min_log2_cols"), "max_log2_cols").cast("long"))
+    rows = F.greatest(F.when(F.col("height") >= 1080, 1).otherwise(0), F.greatest(F.col("min_log2") - F.col("log2_cols"), F.lit(0)))
+    return d.withColumn("log2_rows", F.least(rows, "max_log2_rows").cast("long"))
+
+
+def checked_tiles(pictures: DataFrame) -> DataFrame:
+    """pictures (id, width, height, log2_cols, log2_rows) as they are; a choice beyond the limits raises."""
+    d = tile_limits(pictures)
+    good = (F.col("log2_cols") >= F.col("min_log2_cols")) & (F.col("log2_cols") <= F.col("max_log2_cols")) & (F.col("log2_rows") <= F.col("max_log2_rows")) & (F.col("log2_cols") + F.col("log2_rows") >= F.col("min_log2"))
+    bad = F.raise_error(F.concat(F.lit("tiles beyond the limits of picture "), F.col("id").cast("string"))).cast("long")
+    return d.withColumn("log2_cols", F.when(good, F.col("log2_cols")).otherwise(bad)).select(*pictures.columns)
+
+
 def tile_layout(pictures: DataFrame) -> DataFrame:
     """A row a tile: id, tile_row, tile_col, x, y, width, height in samples; pictures: id, width, height, log2_cols, log2_rows."""
     d = pictures.select("id", "width", "height", F.explode(tile_starts(F.col("width"), F.col("log2_cols"))).alias("c"), tile_starts(F.col("height"), F.col("log2_rows")).alias("r"))

@@ -27,8 +27,8 @@ def matched_keys(sb: DataFrame, one: str, other: str) -> DataFrame:
 
 
 def first_frames(sb: DataFrame, most: int) -> DataFrame:
-    """Rows and bits of the first `most` frames of each case; frames count from 1."""
-    return sb.where(F.col("frame") <= most).groupBy("case", "frame").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
+    """Rows and bits of the first `most` frames of each case, of all with 0; frames count from 1."""
+    return (sb.where(F.col("frame") <= most) if most else sb).groupBy("case", "frame").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
 
 
 def trimmed(text: Column) -> Column:

@@ -42,10 +42,9 @@ def pairwise(sb: DataFrame, baseline: str) -> DataFrame:
     cell = sb.groupBy(*KEYS, "sb_x", "sb_y").agg(F.sum("bits").alias("bits"))
     base = cell.where(F.col("source") == baseline).drop("source").withColumnRenamed("bits", "base_bits")
     both = base.join(cell.where(F.col("source") != baseline), ["case", "frame", "sb_x", "sb_y"]).withColumn("delta", F.col("bits") - F.col("base_bits"))
-    worst = Window.partitionBy(*KEYS).orderBy(F.desc("delta"), "sb_y", "sb_x")
-    totals = both.groupBy(*KEYS).agg(F.count("*").alias("matched"), F.sum("base_bits").alias("base_bits"), F.sum("bits").alias("bits"), F.sum("delta").alias("delta"))
-    top = both.withColumn("_rank", F.row_number().over(worst)).where("_rank = 1").select(*KEYS, F.col("delta").alias("worst_delta"), F.col("sb_x").alias("worst_x"), F.col("sb_y").alias("worst_y"))
-    return totals.join(top, list(KEYS))
+    worst = F.max(F.struct("delta", (-F.col("sb_y")).alias("y"), (-F.col("sb_x")).alias("x"))).alias("w")
+    d = both.groupBy(*KEYS).agg(F.count("*").alias("matched"), F.sum("base_bits").alias("base_bits"), F.sum("bits").alias("bits"), F.sum("delta").alias("delta"), worst)
+    return d.select(*KEYS, "matched", "base_bits", "bits", "delta", F.col("w.delta").alias("worst_delta"), (-F.col("w.x")).alias("worst_x"), (-F.col("w.y")).alias("worst_y"))
 
 
 def hot_superblocks(sb: DataFrame, n: int) -> DataFrame:
@@ -96,9 +95,12 @@ def baseline_delta(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFr
 
 def enabled_cases(parts: DataFrame, codecs: DataFrame) -> DataFrame:
     """Codec by brand, enabled where the vector names no codec or this one; counts of both kinds."""
-    pairs = parts.join(F.broadcast(codecs), how="cross")
-    on = F.col("only").isNull() | (F.col("only") == F.col("codec"))
-    return pairs.groupBy("codec").agg(F.count_if(on).alias("enabled"), F.count_if(~on).alias("skipped"))
+    # a codec's cases are those of its own and the free ones, so counts do and no pair is a row
+    per = parts.groupBy("only").agg(F.count("*").alias("n"))
+    whole = per.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("only").isNull(), F.col("n"))), F.lit(0)).alias("free")).withColumn("k", F.lit(1))
+    d = codecs.select("codec", F.lit(1).alias("k")).join(whole, "k").join(per, F.col("codec") == F.col("only"), "left")
+    enabled = F.col("free") + F.coalesce("n", F.lit(0))
+    return d.select("codec", enabled.alias("enabled"), (F.col("all") - enabled).alias("skipped"))
 
 
 def infinite_mean(values: DataFrame, key: str, x: str) -> DataFrame:

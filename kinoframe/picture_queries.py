@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import copies as M
 from .operators import crops as K
+from .operators import layout as A
 from .operators import palettes as L
 from .operators import partition as T
 from .operators.blocks import total
@@ -124,6 +125,48 @@ def picture_motion_totals(spark, sf_dir):
     return M.motion_totals(M.frame_vectors(pictures(spark, sf_dir)))
 
 
+_CASCADE = (
+    f", steps AS (SELECT * FROM (VALUES {_STEPS}) t(k, r, c)), near AS (SELECT n.frame, n.row, n.col, min({{'k': k, 'r': r, 'c': c}}) AS t FROM pictures n, steps JOIN pictures b ON b.frame + 1 = n.frame AND b.row = n.row + r AND b.col = n.col + c AND b.px = n.px GROUP BY ALL),"
+    " rest AS (SELECT n.frame, n.row, n.col, min({'d': abs(b.row - n.row) + abs(b.col - n.col), 'r': b.row - n.row, 'c': b.col - n.col}) AS t FROM (SELECT * FROM pictures ANTI JOIN near USING (frame, row, col)) n JOIN pictures b ON b.frame + 1 = n.frame AND b.px = n.px GROUP BY ALL),"
+    " mv AS (SELECT frame, row, col, t.r::BIGINT AS r, t.c::BIGINT AS c FROM near UNION ALL SELECT frame, row, col, t.r::BIGINT, t.c::BIGINT FROM rest)"
+)
+
+
+@on_pictures(
+    _CASCADE + ", k AS (SELECT frame, p.row // 8 AS tile_row, p.col // 8 AS tile_col, count(*) AS n_blocks, count(r) AS n_copied, count(*) FILTER (r = 0 AND c = 0) AS still, count(DISTINCT CASE WHEN r IS NOT NULL THEN (r, c) END) AS n_motions FROM pictures p LEFT JOIN mv USING (frame, row, col) GROUP BY ALL)"
+    " SELECT * EXCLUDE still, CASE WHEN still = n_blocks THEN 'unchanged' WHEN n_copied = n_blocks AND n_motions = 1 THEN 'motion' WHEN n_copied = n_blocks THEN 'mixed' WHEN n_copied > 0 THEN 'partial' ELSE 'intra' END AS mode, CASE WHEN still = n_blocks THEN 'unchanged' WHEN n_copied > still THEN 'moved' ELSE 'residual' END AS lossy FROM k"
+)
+def picture_tile_modes(spark, sf_dir):
+    p = pictures(spark, sf_dir)
+    return M.tile_modes(p, M.motion_cascade(p))
+
+
+@on_pictures(
+    _CASCADE + ", m AS (SELECT frame, row // 2 AS leaf_row, col // 2 AS leaf_col, count(*) AS n, count(r) AS k, count(DISTINCT CASE WHEN r IS NOT NULL THEN (r, c) END) AS d, any_value(r || ',' || c) AS mode FROM pictures LEFT JOIN mv USING (frame, row, col) GROUP BY ALL) SELECT frame, leaf_row, leaf_col, CASE WHEN n = 4 AND k = 4 AND d = 1 THEN mode END AS mode FROM m"
+)
+def picture_merged_skips(spark, sf_dir):
+    """Leaves of 2 by 2 blocks that are copied whole by one vector; blocks without a copy merge with nothing."""
+    p = pictures(spark, sf_dir)
+    mode = F.concat_ws(",", F.col("mv_row").cast("string"), F.col("mv_col").cast("string"))
+    found = M.motion_cascade(p).select("frame", "row", "col", mode.alias("mode"))
+    return A.merged_leaves(p.select("frame", "row", "col").join(found, ["frame", "row", "col"], "left"), 2)
+
+
+#: Pictures with every fifth one shown twice more.
+_STILLS = "stills AS (SELECT 3 * frame + k AS frame, row, col, px FROM pictures, (SELECT unnest([0, 1, 2]) AS k) WHERE frame % 5 = 0 UNION ALL SELECT 3 * frame + 2, row, col, px FROM pictures WHERE frame % 5 <> 0)"
+
+
+@on_pictures(
+    f", {_STILLS}, n AS (SELECT frame, count(*) AS n, list(px ORDER BY row, col) AS l FROM stills GROUP BY 1), k AS (SELECT a.frame, CASE WHEN b.frame IS NULL THEN 'key' WHEN a.n = b.n AND a.l = b.l THEN 'existing' ELSE 'inter' END AS kind FROM n a LEFT JOIN n b ON b.frame + 1 = a.frame)"
+    " SELECT frame, kind, max(CASE WHEN kind <> 'existing' THEN frame END) OVER (ORDER BY frame) AS shown FROM k"
+)
+def picture_kinds(spark, sf_dir):
+    """Pictures of a film in which every fifth one stays for three: key, inter or existing, and which one is shown."""
+    p = pictures(spark, sf_dir)
+    times = F.when(F.col("frame") % 5 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    return M.picture_kinds(p.withColumn("k", F.explode(times)).select((F.col("frame") * 3 + F.col("k")).alias("frame"), "row", "col", "px"))
+
+
 _Z = "(" + " + ".join(f"((col::BIGINT >> {k}) & 1) * {4**k} + ((row::BIGINT >> {k}) & 1) * {2 * 4**k}" for k in range(3)) + " + col // 8 * 64)"
 
 

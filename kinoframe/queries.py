@@ -64,7 +64,7 @@ def trace_field_summary(spark, sf_dir):
     return T.field_summary(table(spark, sf_dir, "events"))
 
 
-@register("SELECT event_type, key, sum(v)::BIGINT AS total, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key, (props ->> 'k')::BIGINT AS v FROM events) GROUP BY 1, 2")
+@register("SELECT event_type, key, sum(json_extract_string(props, '$.\"' || key || '\"')::BIGINT)::BIGINT AS total, count(*) AS n FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2")
 def trace_dynamic_keys(spark, sf_dir):
     return T.dynamic_keys(table(spark, sf_dir, "events"))
 
@@ -111,7 +111,7 @@ def report_infinite_mean(spark, sf_dir):
     return T.infinite_mean(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("key"), x.alias("x")), "key", "x")
 
 
-_PAIRS = ", p AS (SELECT a.block_id, a.label, list_transform(range(1, 65), lambda i: (a.px[i] - b.px[i])::BIGINT) AS d FROM blocks a JOIN blocks b ON a.block_id = b.block_id + 1), e AS (SELECT block_id, label, list_sum(list_transform(d, lambda x: abs(x)))::BIGINT AS sad, list_sum(list_transform(d, lambda x: x * x))::BIGINT AS sse FROM p)"
+_PAIRS = ", p AS (SELECT a.block_id, a.label, list_transform(range(1, 65), lambda i: (a.px[i] - b.px[i])::BIGINT) AS d FROM blocks a JOIN blocks b ON a.block_id = b.block_id + 64), e AS (SELECT block_id, label, list_sum(list_transform(d, lambda x: abs(x)))::BIGINT AS sad, list_sum(list_transform(d, lambda x: x * x))::BIGINT AS sse FROM p)"
 
 
 @register(_PAIRS + " SELECT *, CASE WHEN sse > 0 THEN round(10 * log10(255.0 * 255 * 64 / sse), 6) END AS psnr FROM e")
@@ -131,9 +131,9 @@ def block_split_gain(spark, sf_dir):
     return B.split_gain(blocks(spark, sf_dir))
 
 
-@register("SELECT block_id, len(list_distinct(px))::BIGINT AS n_colours, (list_max(px) - list_min(px))::BIGINT AS range, len(list_distinct(px)) BETWEEN 2 AND 4 AS palette_worthy FROM (SELECT block_id, list_transform(px, lambda x: x // 64) AS px FROM blocks)")
+@register("SELECT block_id, len(list_distinct(px))::BIGINT AS n_colours, (list_max(px) - list_min(px))::BIGINT AS range, len(list_distinct(px)) BETWEEN 2 AND 4 AS palette_worthy FROM blocks")
 def block_palettes(spark, sf_dir):
-    return B.palettes(B.quantized(blocks(spark, sf_dir), 64))
+    return B.palettes(blocks(spark, sf_dir))
 
 
 @register("SELECT label, v::BIGINT AS v, count(*) AS n, min(block_id * 64 + i) AS first_at FROM (SELECT label, block_id, unnest(px) AS v, unnest(range(64)) AS i FROM blocks) GROUP BY 1, 2")

@@ -87,7 +87,16 @@ def read_manifest(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
-def markdown_rows(report: DataFrame, columns: list[str]) -> DataFrame:
-    """The row lines of a Markdown table: bars escaped, nulls as n/a."""
+def markdown_table(report: DataFrame, columns: list[str], order: dict[str, bool]) -> DataFrame:
+    """(rank, line): a whole Markdown table, its head, its rule and its rows, sorted by the columns of `order` (true: rising); names and cells are escaped alike."""
+    bar = lambda texts: "| " + " | ".join(t.replace("|", "\\|") for t in texts) + " |"
+    top = report.sparkSession.createDataFrame([(0, bar(columns)), (1, bar(["---"] * len(columns)))], "rank int, line string")
+    rows = markdown_rows(report, columns, [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(order)]).withColumn("rank", F.lit(2))
+    keys = [F.col(f"_k{i}").asc() if rising else F.col(f"_k{i}").desc() for i, rising in enumerate(order.values())]
+    return top.unionByName(rows, allowMissingColumns=True).orderBy("rank", *keys).select("rank", "line")
+
+
+def markdown_rows(report: DataFrame, columns: list[str], more: list[Column] | None = None) -> DataFrame:
+    """The row lines of a Markdown table: bars escaped, nulls as n/a; with more columns, if given."""
     cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("n/a"))
-    return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
+    return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"), *(more or []))
