@@ -55,6 +55,36 @@ def stage_totals(children: DataFrame) -> DataFrame:
     return s.join(whole, "source").withColumn("share", F.when(F.col("whole") > 0, F.col("nanos") / F.col("whole")).otherwise(0.0)).drop("whole")
 
 
+def trace_spec(spec: str) -> tuple[str, str | None, str]:
+    """(case, source, path) of [CASE/]SOURCE=PATH; a missing case is the file's stem, a missing source null."""
+    label, cut, path = spec.partition("=")
+    if not cut:
+        label, path = "", spec
+    stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    case, slash, source = label.partition("/")
+    if not slash:
+        case, source = "", label
+    return case.strip() or stem, source.strip() or None, path
+
+
+def read_traces(spark: SparkSession, specs: list[str], schema: StructType | str, defaults: dict[str, object] | None = None) -> DataFrame:
+    """The rows of all traces, one after the other: case, source (the spec's, else the row's own, else the file's stem) and order_, the spec's place."""
+    out = None
+    for i, spec in enumerate(specs):
+        case, source, path = trace_spec(spec)
+        d = read_jsonl(spark, path, schema, defaults)
+        own = F.coalesce(F.lit(source).cast("string"), F.col("source") if "source" in d.columns else F.lit(None).cast("string"), F.lit(trace_spec(path)[0]))
+        d = d.withColumns({"case": F.lit(case), "source": own, "order_": F.lit(i)})
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results of a report, one JSON document a file with a list `results`; a report without any has no rows."""
+    d = spark.read.schema(f"results array<struct<{schema}>>").option("multiLine", True).json(path)
+    return d.select(F.explode("results").alias("r")).select("r.*")
+
+
 def write_key_values(rows: DataFrame, path: str, columns: list[str]) -> None:
     """One line a row: key=value for every column, with spaces between; null values are left out."""
     parts = [F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns]

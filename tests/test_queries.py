@@ -1,7 +1,7 @@
 import pytest
 from compare import DATA, duck_rows, spark_rows
 
-from kinoframe import coding_queries, file_queries, kernel_queries, layout_queries, media_queries, metadata_queries, picture_queries, queries, screen_queries  # noqa: F401
+from kinoframe import coding_queries, file_queries, kernel_queries, layout_queries, media_queries, metadata_queries, picture_queries, queries, run_queries, screen_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
