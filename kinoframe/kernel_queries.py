@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import kernels as A
+from .operators import quantize as Q
 from .operators.blocks import total
-from .picture_queries import on_pictures
-from .plans.bridges import blocks
+from .picture_queries import on_pictures, plain
+from .plans.bridges import blocks, table
 from .plans.pictures import PLANES_SQL, pictures, planes
 from .queries import register
 
@@ -106,3 +107,34 @@ _LOG2 = "(length(bin({v})) - 1)"
 )
 def picture_chroma_models(spark, sf_dir):
     return A.chroma_models(planes(spark, sf_dir))
+
+
+@register(
+    f", n AS (SELECT l_partkey % 300 AS q_index, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT *, greatest(least(q_index, 255), 1) AS i FROM n) SELECT q_index, n, CASE WHEN i < 25 THEN {list(Q.STEPS)}[i + 1] ELSE {list(Q.STEPS)}[(i - 1) % 24 + 2] * (1 << ((i - 1) // 24)) END::BIGINT AS step FROM c"
+)
+def format_quantizer_steps(spark, sf_dir):
+    """The steps of quantizer indices of 8-bit films, with how many items each stands for."""
+    d = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 300).alias("q_index")).agg(F.count("*").alias("n"))
+    return d.select("q_index", "n", Q.step_column(F.col("q_index")).alias("step"))
+
+
+@plain
+def block_transform_choices(spark, sf_dir):
+    """The choice among four sets of levels for each 4x4 quarter at quantizer index 120; its tests compare it with one block at a time."""
+    d = Q.transform_choices(blocks(spark, sf_dir), 120)
+    return d.select("block_id", "quarter", "choice", "score", "bits", "sse", total(F.transform("levels", lambda v, i: v * (i + 1))).alias("weighted"))
+
+
+_SKIP_QP = 27
+_SKIP = f"CASE WHEN {{v}} = 0 THEN 0 ELSE greatest(least(floor(({{v}} * {Q.SKIP_SCALES[_SKIP_QP % 6]} + {1 << (5 - _SKIP_QP // 6)}) / {1 << (6 - _SKIP_QP // 6)})::BIGINT, 32767), -32768) END"
+
+
+@register(
+    f", r AS (SELECT block_id, i, px[i + 1]::BIGINT - 128 AS r FROM (SELECT *, unnest(range(64)) AS i FROM blocks)), e AS (SELECT *, sign(r)::BIGINT * ((abs(r) * {1 << (6 - _SKIP_QP // 6)} + {Q.SKIP_SCALES[_SKIP_QP % 6] // 2}) // {Q.SKIP_SCALES[_SKIP_QP % 6]}) AS e FROM r),"
+    f" c AS (SELECT *, e + k AS v, {_SKIP.format(v='(e + k)')} AS b FROM e, (SELECT unnest([0, -2, -1, 1, 2]) AS k, unnest(range(5)) AS o)),"
+    " m AS (SELECT block_id, i, r, min({'e': (r - b) * (r - b), 's': abs(v), 'o': o, 'v': v}) AS m FROM c GROUP BY ALL), l AS (SELECT block_id, i, r, CASE WHEN r = 0 THEN 0 ELSE m.v END AS v FROM m)"
+    f" SELECT block_id, sum(v * (i + 1))::BIGINT AS weighted, sum((r - {_SKIP.format(v='v')}) ** 2)::BIGINT AS sse FROM l GROUP BY block_id"
+)
+def block_transform_skip(spark, sf_dir):
+    """Levels without a transform at qp 27."""
+    return Q.skip_blocks(blocks(spark, sf_dir), _SKIP_QP).select("block_id", total(F.transform("levels", lambda v, i: v * (i + 1))).alias("weighted"), "sse")
