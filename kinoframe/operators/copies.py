@@ -221,6 +221,18 @@ def picture_copies(blocks: DataFrame, tile_cols: int | None = None) -> DataFrame
     return d.withColumn("kind", F.when((down == 0) & (right == 1), "left").when((down == 1) & (right == 0), "above").otherwise("other"))
 
 
+def local_matches(blocks: DataFrame) -> DataFrame:
+    """Each block that equals the one to its left, above or above left in the same superblock, in this order: frame, row, col, kind, bv_row, bv_col in samples."""
+    probes = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(((0, -1), (-1, 0), (-1, -1)))))
+    inside = F.filter(probes, lambda p: (F.col("row") % SUPERBLOCK + p["r"] >= 0) & (F.col("col") % SUPERBLOCK + p["c"] >= 0))
+    d = blocks.select("frame", "row", "col", "px", F.explode(inside).alias("p"))
+    d = d.select("*", (F.col("row") + F.col("p.r")).alias("at_row"), (F.col("col") + F.col("p.c")).alias("at_col"))
+    old = blocks.select("frame", F.col("row").alias("at_row"), F.col("col").alias("at_col"), F.col("px").alias("ref"))
+    best = d.join(old, ["frame", "at_row", "at_col"]).where("px = ref").groupBy("frame", "row", "col").agg(F.min("p").alias("p"))
+    kind = F.when(F.col("p.k") == 0, "left").when(F.col("p.k") == 1, "above").otherwise("above left")
+    return best.select("frame", "row", "col", kind.alias("kind"), (F.col("p.r") * 8).cast("long").alias("bv_row"), (F.col("p.c") * 8).cast("long").alias("bv_col"))
+
+
 def _recorded(history: list, value, most: int) -> None:
     if value in history:
         history.remove(value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import bits as W
 from .operators import copies as M
 from .operators import crops as K
 from .operators import layout as A
@@ -209,3 +210,19 @@ def picture_crop_sweep(spark, sf_dir):
     sizes = whole.select("frame", F.lit(8 * COLS).alias("width"), F.lit(8 * ROWS).alias("height"))
     d = K.crop_blocks(p, crops, sizes)
     return d.select("crop", "row", "col", total("px").alias("total"), total(F.transform("px", lambda v, i: v * (i + 1))).alias("weighted"))
+
+
+@on_pictures(
+    ", p AS (SELECT * FROM (VALUES (0, 0, -1, 'left'), (1, -1, 0, 'above'), (2, -1, -1, 'above left')) t(k, r, c, kind)), m AS (SELECT n.frame, n.row, n.col, min({'k': p.k, 'r': p.r, 'c': p.c, 'kind': p.kind}) AS t FROM pictures n, p JOIN pictures b ON b.frame = n.frame AND b.row = n.row + p.r AND b.col = n.col + p.c AND b.px = n.px WHERE n.row % 8 + p.r >= 0 AND n.col % 8 + p.c >= 0 GROUP BY ALL)"
+    " SELECT frame, row, col, t.kind AS kind, (t.r * 8)::BIGINT AS bv_row, (t.c * 8)::BIGINT AS bv_col FROM m"
+)
+def picture_local_matches(spark, sf_dir):
+    return M.local_matches(pictures(spark, sf_dir))
+
+
+@plain
+def picture_leaf_classes(spark, sf_dir):
+    """Leaves of the partition trees by size; its parts have SQL or tests."""
+    p = pictures(spark, sf_dir)
+    sizes = p.select("frame", F.lit(8 * COLS).alias("width"), F.lit(8 * ROWS).alias("height")).distinct()
+    return W.leaf_classes(T.partition_tree(T.features(p), sizes))

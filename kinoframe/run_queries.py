@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .file_queries import folder
+from .operators import bits as W
 from .operators import runs as R
 from .operators.blocks import total
 from .picture_queries import on_pictures
-from .plans.bridges import superblocks, table
+from .plans.bridges import CATEGORIES, superblocks, table
 from .plans.pictures import PLANES_SQL, planes
 from .queries import register
 from .sources import patterns as D
@@ -182,3 +183,40 @@ def source_trace_union(spark, sf_dir):
     X.write_jsonl(sb.where("source = 'O'"), f"{path}/open.jsonl")
     d = X.read_traces(spark, [f"fast/one={path}/fast.jsonl", f"two={path}/open.jsonl", f"{path}/fast.jsonl"], "source string, bits long")
     return d.groupBy("case", "source", "order_").agg(F.count("*").alias("n"), F.sum("bits").alias("bits"))
+
+
+_EVENTS = f"SELECT l_linenumber AS frame, l_orderkey % 3 AS tile, l_suppkey % 60 AS row_mi, l_partkey % 70 AS col_mi, l_partkey % 90 AS before, l_partkey % 90 + l_quantity::BIGINT - 6 AS after, {list(CATEGORIES)}[l_orderkey % 8 + 1] AS category, l_returnflag = 'N' AS leaf FROM lineitem"
+_TILES = "SELECT DISTINCT l_linenumber AS frame, l_orderkey % 3 AS tile, l_orderkey % 3 * 256 AS x, 64 * l_linenumber AS y, 200 + l_orderkey % 3 * 20 AS width, 130 + 8 * l_linenumber AS height FROM lineitem"
+
+
+@register(
+    f", e AS ({_EVENTS}), t AS ({_TILES}), g AS (SELECT *, unnest(range((width + 63) // 64)) AS c FROM (SELECT *, unnest(range((height + 63) // 64)) AS r FROM t)),"
+    f" s AS (SELECT frame, tile, row_mi // 16 AS r, col_mi // 16 AS c, {', '.join(f'coalesce(sum(greatest(after - before, 0)) FILTER (category = {chr(39)}{c}{chr(39)}), 0)::BIGINT AS {c}' for c in CATEGORIES)}, count(*) AS decision_count, count(*) FILTER (leaf) AS leaf_count FROM e GROUP BY ALL)"
+    f" SELECT frame, tile, (x + 64 * c) // 64 AS sb_x, (y + 64 * r) // 64 AS sb_y, x + 64 * c AS x, y + 64 * r AS y, least(64, width - 64 * c) AS width, least(64, height - 64 * r) AS height, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*CATEGORIES, 'decision_count', 'leaf_count'))}, ({' + '.join(f'coalesce({c}, 0)' for c in CATEGORIES)})::BIGINT AS total_symbol_bits FROM g LEFT JOIN s USING (frame, tile, r, c)"
+)
+def trace_superblock_bits(spark, sf_dir):
+    """Bits of decisions by superblock and category, written as a report of JSON lines and read back."""
+    li = table(spark, sf_dir, "lineitem")
+    name = F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("l_orderkey") % 8).cast("int"))
+    frame, tile = F.col("l_linenumber").cast("long").alias("frame"), (F.col("l_orderkey") % 3).alias("tile")
+    events = li.select(
+        frame, tile, (F.col("l_suppkey") % 60).alias("row_mi"), (F.col("l_partkey") % 70).alias("col_mi"), (F.col("l_partkey") % 90).alias("before"), (F.col("l_partkey") % 90 + F.col("l_quantity").cast("long") - 6).alias("after"),
+        name.alias("category"), (F.col("l_returnflag") == "N").alias("leaf"),
+    )
+    tiles = li.select(frame, tile).distinct().select("*", (F.col("tile") * 256).alias("x"), (F.col("frame") * 64).alias("y"), (200 + F.col("tile") * 20).alias("width"), (130 + 8 * F.col("frame")).alias("height"))
+    report = W.attributed_bits(events, tiles)
+    path = folder(spark)
+    X.write_jsonl(report, path)
+    return X.read_jsonl(spark, path, report.schema)
+
+
+@register(
+    ", s AS (SELECT ['ctx', 'one', 'many', 'end', 'direct', 'pad'][l_linenumber % 6 + 1] AS kind, (l_partkey * 256 + l_suppkey) % 262144 AS data FROM lineitem), n AS (SELECT *, data // 256 % 1024 AS n FROM s),"
+    f" c AS (SELECT kind, CASE WHEN kind = 'ctx' THEN CASE {' '.join(f'WHEN n BETWEEN {a} AND {b} THEN {chr(39)}{c}{chr(39)}' for c, rs in W.CONTEXTS.items() for a, b in rs)} ELSE 'other_bits' END WHEN kind IN ('one', 'many') THEN 'residual_bits' ELSE 'other_bits' END AS category, CASE kind WHEN 'many' THEN data % 64 WHEN 'pad' THEN 0 ELSE 1 END AS bins FROM n)"
+    " SELECT category, count(*) AS n, sum(bins)::BIGINT AS bins FROM c GROUP BY 1"
+)
+def trace_symbol_bins(spark, sf_dir):
+    """Coded symbols by category, with their bins."""
+    kinds = F.array(*map(F.lit, ("ctx", "one", "many", "end", "direct", "pad")))
+    d = table(spark, sf_dir, "lineitem").select(F.get(kinds, (F.col("l_linenumber") % 6).cast("int")).alias("kind"), ((F.col("l_partkey") * 256 + F.col("l_suppkey")) % 262144).alias("data"))
+    return d.groupBy(W.symbol_category(F.col("kind"), F.col("data")).alias("category")).agg(F.count("*").alias("n"), F.sum(W.symbol_bins(F.col("kind"), F.col("data"))).alias("bins"))
