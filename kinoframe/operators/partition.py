@@ -6,7 +6,7 @@ explode on leaves; six halvings lead from 64x64 to 8x8.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import FEW_VALUES, SMALL_GRADIENT, SMALL_RANGE, SOME_VALUES, STEP
@@ -41,35 +41,45 @@ def features(blocks: DataFrame) -> DataFrame:
     return d.select("frame", "sb_row", "sb_col", simple.alias("simple"), F.transform(F.sequence(F.lit(0), F.lit(80)), before).alias("small"))
 
 
-def _shape(shapes) -> Column:
-    out = F.lit(False)
-    for w, h in shapes:
-        out = out | ((F.col("w") == w) & (F.col("h") == h))
-    return out
-
-
-def _with_cut(d: DataFrame) -> DataFrame:
-    """d with `cut`, how each leaf (x, y, w, h) is cut: h into an upper and a lower half, v into left and right ones, or n."""
-    x, y, w, h, width, height = map(F.col, ("x", "y", "w", "h", "pw", "ph"))
-    # palette-worthy blocks inside, from four corner counts
-    c0, r0 = F.pmod(x, F.lit(SUPERBLOCK)) / LEAST, F.pmod(y, F.lit(SUPERBLOCK)) / LEAST
-    corner = lambda r, c: F.get("small", (r * 9 + c).cast("int"))
-    inside = corner(r0 + h / LEAST, c0 + w / LEAST) - corner(r0, c0 + w / LEAST) - corner(r0 + h / LEAST, c0) + corner(r0, c0)
-    d = d.withColumns({"_rows": y + h / 2 < height, "_cols": x + w / 2 < width, "_horz": ~_shape(ONLY_COLUMNS), "_vert": ~_shape(ONLY_ROWS), "_small": (inside > 0) & ~((w <= LEAST) & (h <= LEAST))})
-    rows, cols, horz, vert, small, base, edge = map(F.col, ("_rows", "_cols", "_horz", "_vert", "_small", "_base", "_edge"))
-    none = rows & cols
-    # at the edge of the picture the cut is forced, where that cut is one of the shape
-    at_edge = F.when(w == h, F.when(rows, "v").otherwise("h")).when(h > w, F.when(~rows, "h").when((w >= 16) & ~(x + w / 4 < width), "h"))
-    at_edge = F.when(w <= h, at_edge).otherwise(F.when(~cols, "v").when((h >= 16) & ~(y + h / 4 < height), "v"))
-    d = d.withColumns({"_base": F.when(small, LEAST).otherwise(BASE), "_edge": F.when(~none, at_edge)})
-    forced = F.when((edge == "h") & horz, "h").when((edge == "v") & vert, "v")
-    only = F.when(none & ~horz & ~vert, "n").when(~none & horz & ~vert, "h").when(~none & ~horz & vert, "v")
-    stay = none & (((w <= base) & (h <= base)) | (~small & (((w <= BASE) & (h <= BASE)) | F.col("simple"))))
-    across, along = (h > base) & horz, (w > base) & vert
-    halves = F.when(w > h, F.when(along, "v").when(across, "h")).otherwise(F.when(across, "h").when(along, "v"))
-    rest = F.when(none, "n").when(horz, "h").when(vert, "v").otherwise("n")
-    cut = F.when(F.col("done") | _shape(WHOLE), "n").otherwise(F.coalesce(forced, only, F.when(stay, "n"), halves, rest))
-    return d.withColumn("cut", cut).drop("_rows", "_cols", "_horz", "_vert", "_small", "_base", "_edge")
+def _is(shapes) -> str:
+    return "(" + " OR ".join(f"(w = {w} AND h = {h})" for w, h in shapes) + ")"
+
+
+_CORNER = "get(small, int({r} * 9 + {c}))"
+_R0, _C0, _R1, _C1 = "(y % 64) div 8", "(x % 64) div 8", "((y % 64 + h) div 8)", "((x % 64 + w) div 8)"
+#: How the leaf (x, y, w, h) of a picture of pw by ph is cut: h into an upper and a lower half, v into left and right ones, or n.
+#: What later steps build on; palette-worthy blocks inside come from four corner counts.
+_FIRST = {
+    "rows_": "y + h div 2 < ph",
+    "cols_": "x + w div 2 < pw",
+    "horz_": f"NOT {_is(ONLY_COLUMNS)}",
+    "vert_": f"NOT {_is(ONLY_ROWS)}",
+    "small_": f"(w > {LEAST} OR h > {LEAST}) AND {_CORNER.format(r=_R1, c=_C1)} - {_CORNER.format(r=_R0, c=_C1)} - {_CORNER.format(r=_R1, c=_C0)} + {_CORNER.format(r=_R0, c=_C0)} > 0",
+}
+#: At the edge of the picture the cut is forced, where that cut is one of the shape.
+_SECOND = {
+    "base_": f"IF(small_, {LEAST}, {BASE})",
+    "edge_": """CASE WHEN rows_ AND cols_ THEN NULL WHEN w = h THEN IF(rows_, 'v', 'h') WHEN h > w AND NOT rows_ THEN 'h' WHEN h > w AND w >= 16 AND x + w div 4 >= pw THEN 'h'
+        WHEN w > h AND NOT cols_ THEN 'v' WHEN w > h AND h >= 16 AND y + h div 4 >= ph THEN 'v' END""",
+}
+_CUT = f"""CASE WHEN done OR {_is(WHOLE)} THEN 'n' WHEN edge_ = 'h' AND horz_ THEN 'h' WHEN edge_ = 'v' AND vert_ THEN 'v'
+    WHEN NOT (rows_ AND cols_) AND horz_ AND NOT vert_ THEN 'h' WHEN NOT (rows_ AND cols_) AND vert_ AND NOT horz_ THEN 'v'
+    WHEN rows_ AND cols_ AND ((w <= base_ AND h <= base_) OR (NOT small_ AND ((w <= {BASE} AND h <= {BASE}) OR simple))) THEN 'n'
+    WHEN w > h AND w > base_ AND vert_ THEN 'v' WHEN h > base_ AND horz_ THEN 'h' WHEN w > base_ AND vert_ THEN 'v'
+    WHEN rows_ AND cols_ THEN 'n' WHEN horz_ THEN 'h' WHEN vert_ THEN 'v' ELSE 'n' END"""
+_KEPT = ("frame", "pw", "ph", "simple", "small")
+_LEAF = (*_KEPT, "done", "x", "y", "w", "h")
+#: The leaves that a leaf is cut into, but for those outside the picture.
+_KIDS = """inline(filter(CASE cut WHEN 'h' THEN array(named_struct('x', x, 'y', y, 'w', w, 'h', h div 2), named_struct('x', x, 'y', y + h div 2, 'w', w, 'h', h div 2))
+    WHEN 'v' THEN array(named_struct('x', x, 'y', y, 'w', w div 2, 'h', h), named_struct('x', x + w div 2, 'y', y, 'w', w div 2, 'h', h))
+    ELSE array(named_struct('x', x, 'y', y, 'w', w, 'h', h)) END, k -> k.x < pw AND k.y < ph))"""
+
+
+def _with_cut(leaves: DataFrame) -> DataFrame:
+    steps = leaves
+    for names in (_FIRST, _SECOND):
+        steps = steps.selectExpr("*", *(f"{e} AS {name}" for name, e in names.items()))
+    return steps.selectExpr(*_LEAF, f"{_CUT} AS cut")
 
 
 def partition_tree(features: DataFrame, pictures: DataFrame) -> DataFrame:
@@ -80,13 +90,8 @@ def partition_tree(features: DataFrame, pictures: DataFrame) -> DataFrame:
     edge if its middle does not.
     """
     size = pictures.select("frame", F.col("width").alias("pw"), F.col("height").alias("ph"))
-    place = [(F.col("sb_col") * SUPERBLOCK).alias("x"), (F.col("sb_row") * SUPERBLOCK).alias("y"), F.lit(SUPERBLOCK).cast("long").alias("w"), F.lit(SUPERBLOCK).cast("long").alias("h")]
-    kept = ["frame", "pw", "ph", "simple", "small"]
-    d = _with_cut(features.join(size, "frame").select(*kept, F.lit(False).alias("done"), *place).where("x < pw and y < ph"))
-    part = lambda x, y, w, h: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), w.cast("long").alias("w"), h.cast("long").alias("h"))
-    x, y, w, h = map(F.col, "xywh")
+    d = features.join(size, "frame").selectExpr(*_KEPT, "false AS done", f"sb_col * {SUPERBLOCK} AS x", f"sb_row * {SUPERBLOCK} AS y", f"{SUPERBLOCK}L AS w", f"{SUPERBLOCK}L AS h")
+    d = _with_cut(d.where("x < pw and y < ph"))
     for _ in range(LEVELS):
-        kids = F.when(F.col("cut") == "h", F.array(part(x, y, w, h / 2), part(x, y + h / 2, w, h / 2))).when(F.col("cut") == "v", F.array(part(x, y, w / 2, h), part(x + w / 2, y, w / 2, h))).otherwise(F.array(part(x, y, w, h)))
-        kids = F.filter(kids, lambda k: (k["x"] < F.col("pw")) & (k["y"] < F.col("ph")))
-        d = _with_cut(d.select(*kept, (F.col("cut") == "n").alias("done"), F.explode(kids).alias("k")).select(*kept, "done", "k.*"))
+        d = _with_cut(d.selectExpr(*_KEPT, "cut = 'n' AS done", _KIDS))
     return d.select("frame", "x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
