@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The categories of bits of a trace. Fixed values.
 CATEGORIES = ("partition_bits", "luma_mode_bits", "chroma_mode_bits", "residual_bits", "intrabc_bits", "inter_bits", "palette_bits", "other_bits")
 
 
