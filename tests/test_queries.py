@@ -62,9 +62,9 @@ def test_walsh_hadamard_of_every_quarter(spark):
 def test_errors_of_equal_blocks_have_no_psnr(spark):
     from kinoframe.operators import blocks as B
 
-    df = spark.createDataFrame([(0, 1, [7] * 64), (1, 1, [7] * 64), (2, 1, [8] * 64)], "block_id long, label int, px array<int>")
+    df = spark.createDataFrame([(0, 1, [7] * 64), (64, 1, [7] * 64), (128, 1, [8] * 64)], "block_id long, label int, px array<int>")
     got = {r["block_id"]: (r["sad"], r["sse"], r["psnr"]) for r in B.errors(B.previous(df)).collect()}
-    assert got[1] == (0, 0, None) and got[2][:2] == (64, 64)
+    assert got[64] == (0, 0, None) and got[128][:2] == (64, 64)
 
 
 def test_strict_mean_and_reasons(spark):
