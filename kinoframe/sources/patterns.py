@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
+
 KINDS = ("black", "checker", "gradient", "color_blocks", "bitdepth_canary")
 #: Samples of the patterns, Y, U and V. Fixed values.
 CHECKER = ((208, 176, 80), (48, 96, 160))
@@ -12,35 +16,65 @@ COLOURS = ((32, 128, 128), (80, 96, 176), (144, 176, 96), (224, 112, 144))
 CANARY = ((32, 96, 160, 224), (80, 144, 208, 48), (112, 176, 64, 240))
 
 
-def _pick(values: tuple[int, ...], at: Column) -> Column:
-    return F.get(F.array(*(F.lit(v).cast("long") for v in values)), at.cast("int"))
+#: Samples that are drawn at once.
+CELLS = 1 << 20
+
+
+def pattern_sample(kind: str, plane: int, x: np.ndarray, y: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """The 8-bit samples of a plane at places of frames."""
+    if kind == "checker":
+        return np.where((x // 8 + y // 8 + frame) % 2 == 0, CHECKER[0][plane], CHECKER[1][plane])
+    if kind == "gradient":
+        return ((x * 7 + y * 5 + frame * 17), (64 + x * 3 + frame * 11), (96 + y * 4 + frame * 13))[plane] % 256
+    if kind == "color_blocks":
+        return np.array([c[plane] for c in COLOURS])[(x // 8 + y // 8 * 2 + frame) % 4]
+    return np.zeros(len(x), np.int64)
+
+
+def canary_sample(plane: int, x: np.ndarray, y: np.ndarray, frame: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Samples of more than 8 bits whose low bits tell place, plane and frame, and are all set where they would be zero."""
+    low = ((x & 3) | ((y & 3) * 4) | (plane * 2) | frame) & (step - 1)
+    return np.array(CANARY[plane])[(x // 8 + y // 8 * 2 + frame) % 4] * step + np.where(low == 0, step - 1, low)
 
 
-def pattern_sample(kind: Column, plane: int, x: Column, y: Column, frame: Column) -> Column:
-    """The 8-bit sample of a plane at a place of a frame."""
-    cells = F.floor(x / 8) + F.floor(y / 8)
-    blocks = F.floor(x / 8) + F.floor(y / 8) * 2 + frame
-    gradient = ((x * 7 + y * 5 + frame * 17), (64 + x * 3 + frame * 11), (96 + y * 4 + frame * 13))[plane] % 256
-    checker = F.when((cells + frame) % 2 == 0, CHECKER[0][plane]).otherwise(CHECKER[1][plane])
-    return F.when(kind == "black", 0).when(kind == "checker", checker).when(kind == "gradient", gradient).when(kind == "color_blocks", _pick(tuple(c[plane] for c in COLOURS), blocks % 4)).cast("long")
+def _samples(kind: str, plane: int, spec: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of planes of one kind, plane by plane, and where each begins."""
+    sizes = spec["width"] * spec["height"]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    i = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+    width, frame, sx, sy, step = (np.repeat(v, sizes) for v in (spec["width"], spec["frame"], spec["sx"], spec["sy"], 1 << (spec["depth"] - 8)))
+    x, y = i % width, i // width
+    if kind == KINDS[-1]:
+        return canary_sample(plane, x, y, frame, step), ends
+    drawn = pattern_sample(kind, plane, x * sx, y * sy, frame)
+    for dy, dx in ((0, 1), (1, 0), (1, 1)) if plane else ():
+        drawn = drawn + np.where((dx < sx) & (dy < sy), pattern_sample(kind, plane, x * sx + dx, y * sy + dy, frame), 0)
+    return drawn // (sx * sy) * step, ends
 
 
-def canary_sample(plane: int, x: Column, y: Column, frame: Column, depth: Column) -> Column:
-    """A sample of more than 8 bits whose low bits tell place, plane and frame, and are all set where they would be zero."""
-    blocks = F.floor(x / 8) + F.floor(y / 8) * 2 + frame
-    step = F.pow(F.lit(2), depth - 8).cast("long")
-    low = x.bitwiseAND(F.lit(3)).bitwiseOR(y.bitwiseAND(F.lit(3)) * 4).bitwiseOR(F.lit(plane * 2)).bitwiseOR(frame).bitwiseAND(step - 1)
-    return _pick(CANARY[plane], blocks % 4) * step + F.when(low == 0, step - 1).otherwise(low)
+def _drawn(batches):
+    for batch in batches:
+        kinds, planes = batch.column("kind").to_numpy(zero_copy_only=False), batch.column("plane").to_numpy()
+        spec = {c: batch.column(c).to_numpy().astype(np.int64) for c in ("frame", "width", "height", "sx", "sy", "depth")}
+        for kind in KINDS:
+            for plane in (0, 1, 2):
+                rows = np.flatnonzero((kinds == kind) & (planes == plane))
+                cut = np.cumsum(spec["width"][rows] * spec["height"][rows]) // CELLS
+                for part in np.split(rows, np.flatnonzero(np.diff(cut)) + 1) if len(rows) else ():
+                    px, ends = _samples(kind, plane, {c: v[part] for c, v in spec.items()})
+                    at = pa.array(part)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "frame", "plane", "width", "height")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(px))], names=["id", "frame", "plane", "width", "height", "px"])
 
 
 def pattern_planes(specs: DataFrame) -> DataFrame:
     """id, frame, plane, width, height, px of drawn films: specs (id, kind, width, height, frames, sampling 420, 422 or 444, depth of 8 to 16).
 
     Chroma of subsampled films is the mean of its two or four places, rounded down; deeper samples are 8-bit ones moved up. The canary is drawn
-    plane by plane and needs more than 8 bits. An unknown kind or sampling, an odd side where chroma is halved, and a shallow canary raise.
+    plane by plane and needs more than 8 bits. An unknown kind or sampling, a side that is null or below 0, an odd one where chroma is halved, and a
+    shallow canary raise.
     """
     halved = F.when(F.col("sampling") == "420", (F.col("width") % 2 != 0) | (F.col("height") % 2 != 0)).otherwise((F.col("sampling") == "422") & (F.col("width") % 2 != 0))
-    bad = ~F.col("kind").isin(*KINDS) | ~F.col("sampling").isin("420", "422", "444") | halved | ~F.col("depth").between(8, 16) | ((F.col("kind") == KINDS[-1]) & (F.col("depth") <= 8))
+    bad = ~F.col("kind").isin(*KINDS) | ~F.col("sampling").isin("420", "422", "444") | halved | ~F.col("depth").between(8, 16) | ((F.col("kind") == KINDS[-1]) & (F.col("depth") <= 8)) | (F.least("width", "height") < 0) | F.col("width").isNull() | F.col("height").isNull()
     d = specs.withColumn("frames", F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("pattern cannot be drawn: "), F.col("id").cast("string"))).cast("long")).otherwise(F.col("frames").cast("long")))
     d = d.where("frames > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1)).alias("frame"))
     planes = []
@@ -49,19 +83,6 @@ def pattern_planes(specs: DataFrame) -> DataFrame:
         sy = F.when((plane > 0) & (F.col("sampling") == "420"), 2).otherwise(1).cast("long")
         planes.append(F.struct(F.lit(plane).alias("plane"), F.floor(F.col("width") / sx).alias("w"), F.floor(F.col("height") / sy).alias("h"), sx.alias("sx"), sy.alias("sy")))
     d = d.select("id", "kind", "depth", "frame", F.explode(F.array(*planes)).alias("p")).select("id", "kind", "depth", "frame", "p.*")
-    # a row of a plane is an element; a film is many rows, so none holds more than one plane
-    kind, frame, depth = F.col("kind"), F.col("frame"), F.col("depth").cast("long")
-
-    def at(i: Column) -> Column:
-        x, y = i % F.col("w"), F.floor(i / F.col("w"))
-        out = None
-        for plane in (0, 1, 2):
-            corner = lambda dy, dx, plane=plane: pattern_sample(kind, plane, x * F.col("sx") + dx, y * F.col("sy") + dy, frame)
-            one, two, four = corner(0, 0), corner(0, 0) + corner(0, 1), corner(0, 0) + corner(0, 1) + corner(1, 0) + corner(1, 1)
-            mean = one if plane == 0 else F.when(F.col("sx") == 1, one).when(F.col("sy") == 1, F.floor(two / 2)).otherwise(F.floor(four / 4))
-            value = F.when(kind == KINDS[-1], canary_sample(plane, x, y, frame, depth)).otherwise(mean * F.pow(F.lit(2), depth - 8).cast("long"))
-            out = F.when(F.col("plane") == plane, value) if out is None else out.when(F.col("plane") == plane, value)
-        return out
-
-    px = F.transform(F.sequence(F.lit(0).cast("long"), F.col("w") * F.col("h") - 1), at)
-    return d.select("id", "frame", "plane", F.col("w").alias("width"), F.col("h").alias("height"), px.alias("px"))
+    # films are dealt over all tasks frame by frame, as their specs are few bytes; none holds more than one plane and the samples drawn at once
+    d = dealt(d, "id", "frame").select("id", "frame", "plane", F.col("w").alias("width"), F.col("h").alias("height"), "kind", F.col("depth").cast("long").alias("depth"), "sx", "sy")
+    return d.mapInArrow(_drawn, f"id {specs.schema['id'].dataType.simpleString()}, frame long, plane int, width long, height long, px array<long>")

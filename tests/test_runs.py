@@ -93,3 +93,13 @@ def test_patterns(spark):
     for bad in (("what", 8, 8, 1, "444", 8), ("black", 7, 8, 1, "420", 8), ("bitdepth_canary", 8, 8, 1, "444", 8), ("black", 8, 8, 1, "400", 8), ("black", 8, 8, 1, "444", 17)):
         with pytest.raises(Exception, match="cannot be drawn"):
             drawn(spark, *bad)
+
+
+def test_patterns_are_drawn_by_many_tasks(spark):
+    films = spark.createDataFrame([(i, "gradient", 8, 4, 3, "444", 8) for i in range(40)], "id int, kind string, width long, height long, frames long, sampling string, depth int").coalesce(1)
+    d = D.pattern_planes(films)
+    tasks = d.select("id", "frame", F.size("px").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 360 and {r["n"] for r in tasks} == {32} and len({r["task"] for r in tasks}) > 1
+    assert len({(r["id"], r["frame"], r["task"]) for r in tasks}) == 120  # the planes of a frame stay together
+    with pytest.raises(Exception, match="cannot be drawn"):
+        drawn(spark, "black", None, 8, 1, "444", 8)
