@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.blocks import total
 from .picture_queries import on_pictures
 from .plans.bridges import table
 from .plans.pictures import COLS, PLANES_SQL, ROWS, planes
@@ -43,7 +42,7 @@ _SAMPLES = "s AS (SELECT frame % 2 AS film, frame // 2 AS frame, plane, row * 8
 
 def plane_sums(p: DataFrame) -> DataFrame:
     film = F.regexp_extract("path", "film-([01])", 1).cast("long")
-    return p.select(film.alias("film"), "frame", "plane", F.size("px").cast("long").alias("n"), total("px").alias("total"), total(F.transform("px", lambda v, i: v.cast("long") * (i + 1))).alias("weighted"))
+    return V.plane_totals(p).select(film.alias("film"), "frame", "plane", "n", "total", "weighted")
 
 
 @on_pictures(f", {_WHOLE}, {_SAMPLES} SELECT film, frame, plane, count(*) AS n, sum(v)::BIGINT AS total, sum(v * (y * {WIDTH} + x + 1))::BIGINT AS weighted FROM s GROUP BY ALL")
@@ -110,7 +109,7 @@ def file_stream_units(spark, sf_dir):
     byte = lambda v: F.unhex(F.lpad(F.hex(v.cast("long")), 2, "0"))
     unit = F.concat(code, byte(F.col("user_id") % 56), byte(F.col("user_id") % 32 * 8 + F.col("event_id") % 7 + 1), F.encode("props", "utf-8"))
     d = e.select(F.concat(F.lit(f"{root}/"), F.col("event_type"), F.lit(".bin")).alias("path"), F.col("event_id").alias("frame"), unit.alias("data"))
-    V.write_frames(d).write.format("noop").mode("overwrite").save()
+    V.write_frames(d, part=1 << 16).write.format("noop").mode("overwrite").save()
     u = Y.units(Y.byte_ranges(V.files(spark, root), 999))
     return u.select(F.regexp_extract("path", r"([^/]*)\.bin$", 1).alias("stream"), F.col("offset").alias("unit_offset"), "unit_type", "layer_id", "temporal_id", "payload_len")
 

@@ -10,18 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
 from .bridges import blocks, table
 
 ROWS, COLS = 16, 24
+#: Blocks of the moving pattern and of the places that change, by id. Fixed values.
+MOVING, CHANGING = (8, 40), (200, 23)
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """frame, row, col, px (64 samples of a block, in raster order)."""
+    """frame, row, col, px (64 samples of a block, in raster order), dealt by frame.
+
+    The places are dealt before they have samples; the 63 blocks that can be seen at all go to every task.
+    """
     key = F.col("o_orderkey")
     d = table(spark, sf_dir, "orders").select(F.floor(key / (ROWS * COLS)).alias("frame"), F.floor(key % (ROWS * COLS) / COLS).alias("row"), (key % COLS).alias("col"), "o_custkey")
-    moving = ((F.col("col") + F.floor(F.col("frame") / 2)) * 7 + F.col("row") * 5) % 40 + 8
-    d = d.withColumn("seen", F.when(F.col("o_custkey") % 11 == 0, 200 + F.col("o_custkey") % 23).otherwise(moving))
-    d = d.join(blocks(spark, sf_dir).select(F.col("block_id").alias("seen"), "px"), "seen")
+    d = dealt(d, "frame")
+    moving = ((F.col("col") + F.floor(F.col("frame") / 2)) * 7 + F.col("row") * 5) % MOVING[1] + MOVING[0]
+    d = d.withColumn("seen", F.when(F.col("o_custkey") % 11 == 0, CHANGING[0] + F.col("o_custkey") % CHANGING[1]).otherwise(moving))
+    ids = [low + i for low, n in (MOVING, CHANGING) for i in range(n)]
+    d = d.join(F.broadcast(blocks(spark, sf_dir).where(F.col("block_id").isin(ids)).select(F.col("block_id").alias("seen"), "px")), "seen")
     flat = F.array_repeat((40 + F.floor(F.col("col") / 8) * 9).cast("int"), 64)
     few = F.transform("px", lambda v: (F.floor(v / 100) * 100).cast("int"))
     return d.select("frame", "row", "col", F.when(F.col("row") < 4, flat).when(F.col("row") < 8, few).otherwise(F.col("px")).alias("px"))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
 from .frames import place
 
 #: Bytes of a range, and ranges that are looked through together when ends are carried on.
@@ -56,7 +57,7 @@ def _scan(batches):
 
 def start_codes(ranges: DataFrame) -> DataFrame:
     """(path, part, length, code, offset, h0, h1): where each code begins and its unit, and the unit's first two bytes."""
-    return ranges.repartition("path", "part").mapInArrow(_scan, "path string, part long, length long, code long, offset long, h0 long, h1 long")
+    return dealt(ranges, "path", "part").mapInArrow(_scan, "path string, part long, length long, code long, offset long, h0 long, h1 long")
 
 
 def units(ranges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Spark lists the files and deals out frame places (path, frame, offset, size);
 tasks then read just those bytes, so a long file is read by many tasks. A file
-that is written is one stream, one task's work from batch to batch.
+is written in parts by many tasks; one task then joins its parts chunk by chunk.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
+
 MAGIC, MARKER, LONGEST_LINE = b"YUV4MPEG2", b"FRAME", 4096
 #: Frame places of one task's read.
 FRAMES_A_TASK = 64
+#: Frames of a part that one task writes, and bytes of a part that are held at once when it is joined to its file.
+FRAMES_A_PART, CHUNK = 256, 1 << 22
 FRAME = "path string, frame long, data binary"
 
 
@@ -182,7 +186,8 @@ def _read(batches):
 def read_frames(places: DataFrame, first: int = 0) -> DataFrame:
     """(path, frame, data) at the places, or at the `first` frames of each file; runs of frames are dealt over all tasks."""
     d = places.where(F.col("frame") < first) if first else places
-    d = d.withColumn("run", F.floor(F.col("frame") / FRAMES_A_TASK)).repartition("path", "run").sortWithinPartitions("path", "frame")
+    d = d.withColumn("run", F.floor(F.col("frame") / FRAMES_A_TASK))
+    d = dealt(d, "path", "run").sortWithinPartitions("path", "frame")
     return d.drop("run").mapInArrow(_read, FRAME)
 
 
@@ -209,41 +214,97 @@ def planes(frames: DataFrame, sampling: str, depth: int, width: int, height: int
     return d.select("path", "frame", F.explode(cut).alias("p")).select("path", "frame", "p.*")
 
 
-def _write(header: bytes, marker: bytes):
+def _plane_totals(batches):
+    for batch in batches:
+        rows = []
+        for px in batch.column("px"):
+            v = px.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows.append((len(v), int(v.sum()), int(v @ np.arange(1, len(v) + 1))))
+        n, total, weighted = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "frame", "plane")), n, total, weighted], names=["path", "frame", "plane", "n", "total", "weighted"])
+
+
+def plane_totals(found: DataFrame) -> DataFrame:
+    """path, frame, plane, n, total, weighted of planes: how many samples, their sum, and their sum by place from 1."""
+    return found.select("path", "frame", "plane", "px").mapInArrow(_plane_totals, "path string, frame long, plane int, n long, total long, weighted long")
+
+
+def _temporary(to: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a file, and a new name beside it that readers of its folder pass over."""
+    fs, name = place(to)
+    folder = f"{posixpath.dirname(name)}/_parts"
+    fs.create_dir(folder, recursive=True)
+    return fs, f"{folder}/{posixpath.basename(name)}.{np.random.default_rng().integers(1 << 62):x}"
+
+
+def _parts(batches):
+    key, out, file, sizes = None, None, None, []
+
+    def ended():
+        out.close()
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int64()), pa.array([file]), pa.array([sizes], pa.list_(pa.int64()))], names=["path", "part", "file", "sizes"])
+
+    for batch in batches:
+        for path, part, data in zip(*(batch.column(c).to_pylist() for c in ("path", "part")), batch.column("data"), strict=True):
+            if (path, part) != key:
+                if out:
+                    yield ended()
+                fs, file = _temporary(path)
+                key, out, sizes = (path, part), fs.open_output_stream(file), []
+            data = data.as_buffer()
+            out.write(data)
+            sizes.append(data.size)
+    if out:
+        yield ended()
+
+
+def _join(header: bytes, marker: bytes):
     def run(batches):
-        out = path = None
+        path, done, frames, digest = None, [], 0, None
+        fs = out = name = None
 
         def ended():
-            out[1].close()
-            out[0].move(out[2], out[3])  # a name that readers see is a whole file
-            return pa.RecordBatch.from_pylist([{"path": path, "frames": out[4], "sha256": out[5].hexdigest()}])
+            out.close()
+            fs.move(name, place(path)[1])  # a name that readers see is a whole file
+            for file in done:
+                fs.delete_file(file)
+            return pa.RecordBatch.from_pylist([{"path": path, "frames": frames, "sha256": digest.hexdigest()}])
 
         for batch in batches:
-            for to, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for to, file, sizes in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "sizes")), strict=True):
                 if to != path:
                     if out:
                         yield ended()
-                    fs, name = place(to)
-                    fs.create_dir(posixpath.dirname(name), recursive=True)
-                    part = f"{name}.{np.random.default_rng().integers(1 << 62):x}.part"
-                    out, path = [fs, fs.open_output_stream(part), part, name, 0, hashlib.sha256()], to
-                    out[1].write(header)
-                out[1].write(marker)
-                out[1].write(data)
-                out[5].update(data)
-                out[4] += 1
+                    fs, name = _temporary(to)
+                    path, done, frames, digest, out = to, [], 0, hashlib.sha256(), fs.open_output_stream(name)
+                    out.write(header)
+                with fs.open_input_stream(file) as source:
+                    for size in sizes if marker else [sum(sizes)]:
+                        out.write(marker)
+                        while size:
+                            data = source.read(min(size, CHUNK))
+                            if not data:
+                                raise ValueError(f"a part of {path} is cut short: {file}")
+                            out.write(data)
+                            digest.update(data)
+                            size -= len(data)
+                done.append(file)
+                frames += len(sizes)
         if out:
             yield ended()
 
     return run
 
 
-def write_frames(frames: DataFrame, header: bytes = b"", marker: bytes = b"") -> DataFrame:
+def write_frames(frames: DataFrame, header: bytes = b"", marker: bytes = b"", part: int = FRAMES_A_PART) -> DataFrame:
     """Write (path, frame, data), the frames of a path in order; lazily, one row a file: path, frames, sha256 of the frames.
 
-    A file is written beside its name and moved there when whole, so a task that runs again leaves no torn file.
+    Ranges of `part` frame numbers are sorted and written apart, in a folder _parts beside the file; the parts are then joined and
+    deleted, and the file moved to its name when whole, so a task that runs again leaves no torn file. A join that runs again when its parts are gone raises.
     """
-    return frames.repartition("path").sortWithinPartitions("path", "frame").select("path", "data").mapInArrow(_write(header, marker), "path string, frames long, sha256 string")
+    d = frames.withColumn("part", F.floor(F.col("frame") / part).cast("long")).repartition("path", "part").sortWithinPartitions("path", "part", "frame")
+    parts = d.select("path", "part", "data").mapInArrow(_parts, "path string, part long, file string, sizes array<long>")
+    return parts.repartition("path").sortWithinPartitions("path", "part").select("path", "file", "sizes").mapInArrow(_join(header, marker), "path string, frames long, sha256 string")
 
 
 def write_y4m(frames: DataFrame, width: int, height: int, fps: str, tag: str) -> DataFrame:
