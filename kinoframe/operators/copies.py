@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import dealt
+
 #: Block steps of the local search, and its directions (rows, columns) in order. Fixed values.
 NEAR = (1, 2, 4, 8)
 DIRECTIONS = ((-1, 0), (0, -1), (0, 1), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -21,27 +23,59 @@ SUPERBLOCK, REACH = 8, 4
 LAST = 5
 #: Pictures of a range that is looked through together.
 RUN = 4096
+#: A place as one number: rows times this, and the column. Fixed value.
+LINE = 1 << 32
+#: Steps that a block tries in the picture before, in order, and pairs of places that are compared at once. Fixed values.
+STEPS = ((0, 0), *((s * r, s * c) for s in NEAR for r, c in DIRECTIONS))
+PAIRS = 1 << 20
+
+
+def _stepped(batches):
+    """Rows (frame, now, was), the places of equal blocks in two pictures: at, k, r, c of the step (len(STEPS): none) and the vector of each place in now."""
+    for batch in batches:
+        lists = [batch.column(c) for c in ("now", "was")]
+        sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+        at, ref = (x.flatten().to_numpy() for x in lists)
+        row, ref_row = (np.repeat(np.arange(batch.num_rows), n) for n in sizes)
+        (y, x), (ref_y, ref_x) = ((v >> 32, v & (LINE - 1)) for v in (at, ref))
+        far = NEAR[-1]
+        height, width = (int(max(a.max(initial=0), b.max(initial=0))) + 2 * far + 1 for a, b in ((y, ref_y), (x, ref_x)))
+        key = lambda g, v, u, h=height, w=width: (g * h + v + far) * w + u + far
+        known = np.sort(key(ref_row, ref_y, ref_x))
+        k, r, c = (np.full(len(at), v, np.int64) for v in (len(STEPS), 0, 0))
+        left = np.arange(len(at))
+        for step, (dy, dx) in enumerate(STEPS):
+            want = key(row[left], y[left] + dy, x[left] + dx)
+            hit = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want if len(known) else np.zeros(len(left), bool)
+            k[left[hit]], r[left[hit]], c[left[hit]] = step, dy, dx
+            left = left[~hit]
+        begin = np.concatenate([[0], np.cumsum(sizes[1])])
+        for part in np.split(left, np.flatnonzero(np.diff(np.cumsum(sizes[1][row[left]]) // PAIRS)) + 1) if len(left) else ():
+            n = sizes[1][row[part]]
+            i = np.repeat(np.arange(len(part)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[row[part]][i]
+            dy, dx = ref_y[j] - y[part][i], ref_x[j] - x[part][i]
+            order = np.lexsort((dx, dy, np.abs(dy) + np.abs(dx), i))
+            best = order[np.cumsum(n) - n]
+            r[part], c[part] = dy[best], dx[best]
+        yield pa.RecordBatch.from_arrays([batch.column("frame").take(pa.array(row)), pa.array(at), pa.array(k, pa.int32()), pa.array(r), pa.array(c)], names=["frame", "at", "k", "r", "c"])
 
 
 def motion_cascade(blocks: DataFrame) -> DataFrame:
     """Each block with an equal one in the picture before: frame, row, col, source, mv_row, mv_col, in blocks.
 
     The first that is equal counts: in place, then 1, 2, 4 and 8 blocks off in eight directions, then the nearest anywhere (rows
-    plus columns, then the lower row and column), with no bound on equal blocks. A block meets 33 places by equality of
-    place; the rest meets the list of its equals' places.
+    plus columns, then the lower row and column), with no bound on equal blocks. Samples are sent twice, to find which blocks
+    of two pictures are equal; from then on a row is a list of places in each, and a step is tried for all places of a batch at once.
     """
-    steps = [(0, 0), *((s * r, s * c) for s in NEAR for r, c in DIRECTIONS)]
-    targets = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(steps)))
-    now = blocks.select("frame", "row", "col", "px")
-    before = blocks.select((F.col("frame") + 1).alias("frame"), F.col("row").alias("at_row"), F.col("col").alias("at_col"), F.col("px").alias("ref"))
-    tried = now.select("*", F.explode(targets).alias("t")).select("*", (F.col("row") + F.col("t.r")).alias("at_row"), (F.col("col") + F.col("t.c")).alias("at_col"))
-    near = tried.join(before, ["frame", "at_row", "at_col"]).where("px = ref").groupBy("frame", "row", "col").agg(F.min("t").alias("t"))
-    found = near.select("frame", "row", "col", F.when(F.col("t.k") == 0, "in place").otherwise("near").alias("source"), F.col("t.r").cast("long").alias("mv_row"), F.col("t.c").cast("long").alias("mv_col"))
-    rest = now.join(near.select("frame", "row", "col"), ["frame", "row", "col"], "left_anti")
-    equals = before.groupBy("frame", F.col("ref").alias("px")).agg(F.collect_list(F.struct("at_row", "at_col")).alias("refs"))
-    far = lambda r: F.struct((F.abs(r["at_row"] - F.col("row")) + F.abs(r["at_col"] - F.col("col"))).alias("d"), (r["at_row"] - F.col("row")).alias("r"), (r["at_col"] - F.col("col")).alias("c"))
-    anywhere = rest.join(equals, ["frame", "px"]).withColumn("b", F.array_min(F.transform("refs", far)))
-    return found.union(anywhere.select("frame", "row", "col", F.lit("anywhere"), F.col("b.r").cast("long"), F.col("b.c").cast("long")))
+    place, none = F.col("row").cast("long") * LINE + F.col("col"), F.lit(None).cast("long")
+    known = blocks.where("px is not null")
+    both = known.select("frame", "px", place.alias("now"), none.alias("was")).union(known.select((F.col("frame") + 1).alias("frame"), "px", none, place))
+    equal = both.groupBy("frame", "px").agg(F.collect_list("now").alias("now"), F.collect_list("was").alias("was")).where((F.size("now") > 0) & (F.size("was") > 0)).drop("px")
+    d = equal.select(F.col("frame").cast("long").alias("frame"), "now", "was").mapInArrow(_stepped, "frame long, at long, k int, r long, c long")
+    source = F.when(F.col("k") == 0, "in place").when(F.col("k") < len(STEPS), "near").otherwise("anywhere")
+    like = lambda v, c: v.cast(blocks.schema[c].dataType).alias(c)
+    return d.select(like(F.col("frame"), "frame"), like(F.shiftright("at", 32), "row"), like(F.col("at").bitwiseAND(F.lit(LINE - 1)), "col"), source.alias("source"), F.col("r").alias("mv_row"), F.col("c").alias("mv_col"))
 
 
 def vectors(now: np.ndarray, before: np.ndarray, most_equal: int | None = MOST_EQUAL) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +217,9 @@ def picture_kinds(blocks: DataFrame) -> DataFrame:
     shown is the picture that stands for it: the first of its run of equal ones.
     """
     old = blocks.select((F.col("frame") + 1).alias("frame"), "row", "col", F.col("px").alias("was"))
-    same = blocks.join(old, ["frame", "row", "col"]).groupBy("frame").agg(F.count("*").alias("met"), F.count_if(F.col("px") == F.col("was")).alias("same"))
+    # dealt by number: equal samples are sent as few bytes, and an adaptive plan would put too many of them into one task
+    key = ["frame", "row", "col"]
+    same = dealt(blocks, *key).join(dealt(old, *key), key).groupBy("frame").agg(F.count("*").alias("met"), F.count_if(F.col("px") == F.col("was")).alias("same"))
     n = blocks.groupBy("frame").agg(F.count("*").alias("n"))
     d = n.join(n.select((F.col("frame") + 1).alias("frame"), F.col("n").alias("n_before")), "frame", "left").join(same, "frame", "left")
     kind = F.when(F.col("n_before").isNull(), "key").when((F.col("n") == F.col("n_before")) & F.coalesce(F.col("same") == F.col("n"), F.lit(False)), "existing").otherwise("inter")
