@@ -113,7 +113,26 @@ def median_palettes(regions: DataFrame, id_col: str = "block_id", most: int = MO
     return d.mapInArrow(_palettes(id_col, most), f"`{id_col}` {kind}, palette array<int>, indices array<int>, cost long")
 
 
+def _by_frequency(id_col: str):
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("px")
+            sizes = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((values, row))  # stable: the first of a run is the first place
+            r, v = row[order], values[order]
+            begin = np.flatnonzero(np.concatenate([np.ones(min(len(r), 1), bool), (r[1:] != r[:-1]) | (v[1:] != v[:-1])]))
+            count = np.diff(np.append(begin, len(r)))
+            first = np.lexsort((order[begin], -count, r[begin]))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(r[begin], minlength=len(sizes)))]).astype(np.int32)
+            mask = lists.is_null() if lists.null_count else None
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.ListArray.from_arrays(pa.array(ends), pa.array(v[begin][first], pa.int32()), mask=mask)], names=[id_col, "colours"])
+
+    return run
+
+
 def frequency_order(regions: DataFrame, id_col: str = "block_id") -> DataFrame:
-    """id, colours: the distinct samples, the most frequent first, then by first place."""
-    one = lambda v: F.struct((-F.size(F.filter("px", lambda x: x == v))).alias("n"), F.array_position("px", v).alias("at"), v.alias("v"))
-    return regions.select(id_col, F.transform(F.array_sort(F.transform(F.array_distinct("px"), one)), lambda t: t["v"]).alias("colours"))
+    """id, colours: the distinct samples, the most frequent first, then by first place; samples are sorted, not met pair by pair."""
+    d = regions.select(id_col, F.col("px").cast("array<int>").alias("px"))
+    return d.mapInArrow(_by_frequency(id_col), f"`{id_col}` {regions.schema[id_col].dataType.simpleString()}, colours array<int>")
