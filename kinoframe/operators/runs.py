@@ -31,7 +31,11 @@ def psnr(sse: Column, samples: Column | int, most: int = 255) -> Column:
 def frame_metrics(source: DataFrame, coded: DataFrame, planes: tuple[str, ...] = ("px", "cb", "cr"), most: int = 255) -> DataFrame:
     """frame, psnr_y, psnr_u, psnr_v, psnr_all of pictures against their reconstruction, both rows of blocks (frame, row, col, planes)."""
     key = ["frame", "row", "col"]
-    d = source.select(*key, *planes).join(coded.select(*key, *(F.col(c).alias(f"_{c}") for c in planes)), key)
+    return paired_metrics(source.select(*key, *planes).join(coded.select(*key, *(F.col(c).alias(f"_{c}") for c in planes)), key), planes, most)
+
+
+def paired_metrics(d: DataFrame, planes: tuple[str, ...] = ("px", "cb", "cr"), most: int = 255) -> DataFrame:
+    """frame_metrics of rows that hold a block's planes and, as _ and their names, those of its reconstruction: only sums are sent."""
     square = lambda c: total(F.transform(F.zip_with(c, f"_{c}", lambda a, b: (a - b).cast("long")), lambda e: e * e))
     sums = d.groupBy("frame").agg(*(F.sum(square(c)).alias(f"e{k}") for k, c in enumerate(planes)), *(F.sum(F.size(c)).alias(f"n{k}") for k, c in enumerate(planes)))
     all_ = [sum((F.col(f"{x}{k}") for k in range(1, len(planes))), F.col(f"{x}0")) for x in "en"]
