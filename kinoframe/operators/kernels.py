@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The forward transform: cosines times 2^14, rows by frequency. The inverse: integer kernel. Fixed values.
@@ -109,22 +109,37 @@ def areas(blocks: DataFrame, depth: int = 8) -> DataFrame:
 
     above goes on into the area above to the right, left into the one below to the left; where that is not there its
     last sample is repeated. Without an area above, above is one less than the middle value, without one to the left, left
-    is one more; a corner that is not there is the first sample of the edge that is, or the middle value. Every area sends its
-    edges to its neighbours, so one grouping brings them together.
+    is one more; a corner that is not there is the first sample of the edge that is, or the middle value. Every block sends its
+    edges to its neighbours, so one grouping of blocks brings them together; areas are cut out of a block and its edges.
     """
     middle = 1 << (depth - 1)
-    pick = lambda y, x: F.array(*(F.col("px")[8 * (y + r) + x + c] for r in range(4) for c in range(4)))
-    four = F.array(*(F.struct((F.col("row") * 2 + y // 4).alias("y"), (F.col("col") * 2 + x // 4).alias("x"), pick(y, x).alias("a")) for y in (0, 4) for x in (0, 4)))
-    a = blocks.select("frame", F.explode(four).alias("t")).select("frame", "t.*")
-    take = lambda *at: F.array(*(F.col("a")[i] for i in at))
-    bottom, right = take(12, 13, 14, 15), take(3, 7, 11, 15)
-    to = lambda kind, dy, dx, v: F.struct(F.lit(kind).alias("kind"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), v.alias("v"))
-    sent = F.array(to("px", 0, 0, F.col("a")), to("above", 1, 0, bottom), to("beyond", 1, -1, bottom), to("left", 0, 1, right), to("below", -1, 1, right), to("corner", 1, 1, take(15)))
-    m = a.select("frame", F.explode(sent).alias("m")).select("frame", "m.*")
-    got = m.groupBy("frame", "y", "x").agg(*(F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("px", "above", "beyond", "left", "below", "corner"))).where("px is not null")
+    cut = lambda v, *at: F.array(*(F.col(v)[i] for i in at))
+    across = lambda y, x: cut("px", *(8 * y + x + i for i in range(4)))
+    down = lambda y, x: cut("px", *(8 * (y + i) + x for i in range(4)))
+    to = lambda kind, dy, dx, v: F.struct(F.lit(kind).alias("kind"), (F.col("row") + dy).alias("row"), (F.col("col") + dx).alias("col"), v.alias("v"))
+    bottom, right = F.slice("px", 57, 8), cut("px", *range(7, 64, 8))
+    sent = F.array(
+        to("px", 0, 0, F.col("px")), to("above", 1, 0, bottom), to("beyond", 1, -1, across(7, 0)), to("left", 0, 1, right), to("below", -1, 1, down(0, 7)), to("corner", 1, 1, cut("px", 63)),
+        to("beside", 0, -1, across(3, 0)), to("under", -1, 0, down(0, 3)),
+    )
+    m = blocks.select("frame", F.explode(sent).alias("m")).select("frame", "m.*")
+    got = m.groupBy("frame", "row", "col").agg(*(F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("px", "above", "beyond", "left", "below", "corner", "beside", "under"))).where("px is not null")
+    there = lambda c, low: F.when(F.col(c).isNotNull(), F.slice(c, low + 1, 4))
+
+    def area(y: int, x: int, **edges: Column) -> Column:
+        pick = F.array(*(F.col("px")[8 * (y + r) + x + c] for r in range(4) for c in range(4)))
+        return F.struct((F.col("row") * 2 + y // 4).alias("y"), (F.col("col") * 2 + x // 4).alias("x"), pick.alias("px"), *(v.alias(k) for k, v in edges.items()))
+
+    four = F.array(
+        area(0, 0, above=there("above", 0), beyond=there("above", 4), left=there("left", 0), below=there("left", 4), corner=F.col("corner")[0]),
+        area(0, 4, above=there("above", 4), beyond=F.col("beyond"), left=down(0, 3), below=down(4, 3), corner=F.col("above")[3]),
+        area(4, 0, above=across(3, 0), beyond=across(3, 4), left=there("left", 4), below=F.col("below"), corner=F.col("left")[3]),
+        area(4, 4, above=across(3, 4), beyond=F.col("beside"), left=down(4, 3), below=F.col("under"), corner=F.col("px")[27]),
+    )
+    d = got.select("frame", F.explode(four).alias("t")).select("frame", "t.*")
     edge = lambda near, far, none: F.when(F.col(near).isNull(), F.array_repeat(F.lit(none), EDGE)).otherwise(F.concat(near, F.coalesce(far, F.array_repeat(F.col(near)[3], 4))))
-    corner = F.when(F.col("above").isNull(), F.coalesce(F.col("left")[0], F.lit(middle))).when(F.col("left").isNull(), F.col("above")[0]).otherwise(F.col("corner")[0])
-    return got.select("frame", "y", "x", "px", edge("above", "beyond", middle - 1).alias("above"), edge("left", "below", middle + 1).alias("left"), corner.alias("corner"), F.col("above").isNotNull().alias("has_above"), F.col("left").isNotNull().alias("has_left"))
+    corner = F.when(F.col("above").isNull(), F.coalesce(F.col("left")[0], F.lit(middle))).when(F.col("left").isNull(), F.col("above")[0]).otherwise(F.col("corner"))
+    return d.select("frame", "y", "x", "px", edge("above", "beyond", middle - 1).alias("above"), edge("left", "below", middle + 1).alias("left"), corner.alias("corner"), F.col("above").isNotNull().alias("has_above"), F.col("left").isNotNull().alias("has_left"))
 
 
 def along_edge(edge: np.ndarray, slope: int, along: np.ndarray, across: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kinoframe.operators import copies as M
+from kinoframe.operators import kernels as A
 from kinoframe.operators import palettes as L
 from kinoframe.plans.pictures import pictures
 from kinoframe.sources import frames as V
@@ -78,3 +79,17 @@ def test_a_file_is_many_tasks_work(spark, tmp_path):
 def test_totals_of_planes(spark):
     d = spark.createDataFrame([("a", 0, 0, [5, 0, 7]), ("a", 0, 1, [])], "path string, frame long, plane int, px array<int>")
     assert sorted(tuple(r) for r in V.plane_totals(d).collect()) == [("a", 0, 0, 3, 12, 26), ("a", 0, 1, 0, 0, 0)]
+
+
+def test_areas_are_grouped_by_block(spark):
+    rows = [(0, r, c, [(r * 31 + c * 17 + i * 7) % 256 for i in range(64)]) for r in range(2) for c in range(3)]
+    d = A.areas(spark.createDataFrame(rows, "frame long, row long, col long, px array<int>"))
+    px = {(r * 2 + y // 4, c * 2 + x // 4): [v[8 * (y + i // 4) + x + i % 4] for i in range(16)] for _, r, c, v in rows for y in (0, 4) for x in (0, 4)}
+    for a in d.collect():
+        at = lambda dy, dx, a=a: px.get((a.y + dy, a.x + dx))
+        up, left = at(-1, 0), at(0, -1)
+        assert a.px == at(0, 0) and (a.has_above, a.has_left) == (up is not None, left is not None)
+        assert a.above == (up[12:] + (at(-1, 1)[12:] if at(-1, 1) else [up[15]] * 4) if up else [127] * 8)
+        assert a.left == (left[3::4] + (at(1, -1)[3::4] if at(1, -1) else [left[15]] * 4) if left else [129] * 8)
+        assert a.corner == ((left[3] if left else 128) if not up else up[12] if not left else at(-1, -1)[15])
+    assert "Aggregate [frame#" in plan(d) and plan(d).count("Generate") == 2 and plan(d).index("Generate") < plan(d).index("Aggregate")  # areas come after the grouping
