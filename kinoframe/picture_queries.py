@@ -62,7 +62,7 @@ def picture_frequent_colours(spark, sf_dir):
 @plain
 def picture_region_palettes(spark, sf_dir):
     """Palettes of regions of 2 by 2 blocks, of up to 256 samples; the cost is that of the best cut."""
-    d = pictures(spark, sf_dir).groupBy((F.col("frame") * 1000 + F.floor(F.col("row") / 2) * 50 + F.floor(F.col("col") / 2)).alias("region"))
+    d = pictures(spark, sf_dir).groupBy("frame", (F.col("frame") * 1000 + F.floor(F.col("row") / 2) * 50 + F.floor(F.col("col") / 2)).alias("region"))  # dealt by frame already
     d = d.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "px"))), lambda t: t["px"])).alias("px"))
     return L.median_palettes(d, "region").select("region", F.array_join("palette", ",").alias("palette"), "cost")
 

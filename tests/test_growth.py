@@ -93,3 +93,12 @@ def test_areas_are_grouped_by_block(spark):
         assert a.left == (left[3::4] + (at(1, -1)[3::4] if at(1, -1) else [left[15]] * 4) if left else [129] * 8)
         assert a.corner == ((left[3] if left else 128) if not up else up[12] if not left else at(-1, -1)[15])
     assert "Aggregate [frame#" in plan(d) and plan(d).count("Generate") == 2 and plan(d).index("Generate") < plan(d).index("Aggregate")  # areas come after the grouping
+
+
+def test_regions_of_a_frame_stay_in_its_task(spark):
+    d = entry.queries()["picture_region_palettes"](spark, DATA)
+    assert d._jdf.queryExecution().sparkPlan().toString().count("mapInArrow") <= 1 and d.columns == ["region", "palette", "cost"]
+    assert d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    rows = d.collect()
+    blocks = pictures(spark, DATA).select((F.col("frame") * 1000 + F.floor(F.col("row") / 2) * 50 + F.floor(F.col("col") / 2)).alias("region")).distinct().count()
+    assert len(rows) == blocks == len({r["region"] for r in rows})
