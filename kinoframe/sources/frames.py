@@ -302,7 +302,8 @@ def write_frames(frames: DataFrame, header: bytes = b"", marker: bytes = b"", pa
     Ranges of `part` frame numbers are sorted and written apart, in a folder _parts beside the file; the parts are then joined and
     deleted, and the file moved to its name when whole, so a task that runs again leaves no torn file. A join that runs again when its parts are gone raises.
     """
-    d = frames.withColumn("part", F.floor(F.col("frame") / part).cast("long")).repartition("path", "part").sortWithinPartitions("path", "part", "frame")
+    # dealt by number: an adaptive plan would join parts by their compressed bytes, and a task's sort grow as they shrink
+    d = dealt(frames.withColumn("part", F.floor(F.col("frame") / part).cast("long")), "path", "part").sortWithinPartitions("path", "part", "frame")
     parts = d.select("path", "part", "data").mapInArrow(_parts, "path string, part long, file string, sizes array<long>")
     return parts.repartition("path").sortWithinPartitions("path", "part").select("path", "file", "sizes").mapInArrow(_join(header, marker), "path string, frames long, sha256 string")
 

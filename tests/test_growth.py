@@ -76,6 +76,14 @@ def test_a_file_is_many_tasks_work(spark, tmp_path):
     assert len(got) == 800 and len({r["task"] for r in got}) > 1
 
 
+def test_equal_frames_are_sorted_by_many_tasks(spark, tmp_path):
+    """Frames that are sent as few bytes: an adaptive plan must not join their parts into one task."""
+    d = spark.range(64).selectExpr(f"concat('{tmp_path}/', id % 2) AS path", "id div 2 AS frame", "cast(repeat('x', 1000) AS binary) AS data")
+    done = V.write_frames(d, part=4)
+    assert done._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    assert sorted(r["frames"] for r in done.collect()) == [32, 32] and (tmp_path / "1").read_bytes() == b"x" * 32000
+
+
 def test_totals_of_planes(spark):
     d = spark.createDataFrame([("a", 0, 0, [5, 0, 7]), ("a", 0, 1, [])], "path string, frame long, plane int, px array<int>")
     assert sorted(tuple(r) for r in V.plane_totals(d).collect()) == [("a", 0, 0, 3, 12, 26), ("a", 0, 1, 0, 0, 0)]
