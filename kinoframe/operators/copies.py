@@ -6,6 +6,8 @@ compared, never hashes.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +30,21 @@ LINE = 1 << 32
 #: Steps that a block tries in the picture before, in order, and pairs of places that are compared at once. Fixed values.
 STEPS = ((0, 0), *((s * r, s * c) for s in NEAR for r, c in DIRECTIONS))
 PAIRS = 1 << 20
+#: Pictures of a run that one task codes, after the one before the run, and pictures whose waves are decided at once. Fixed values.
+CODED, TOGETHER = 16, 32
+
+
+def _nearest(y, x, begin, n, ref_y, ref_x):
+    """The vector (rows, columns) from each place to the nearest of its n references from begin on: rows plus columns, then the lower row and column."""
+    r, c = np.zeros((2, len(y)), np.int64)
+    left = np.flatnonzero(n)
+    for part in np.split(left, np.flatnonzero(np.diff(np.cumsum(n[left]) // PAIRS)) + 1) if len(left) else ():
+        ends, i = np.cumsum(n[part]), np.repeat(np.arange(len(part)), n[part])
+        j = np.arange(len(i)) - (ends - n[part] - begin[part])[i]
+        dy, dx = ref_y[j] - y[part][i], ref_x[j] - x[part][i]
+        best = np.lexsort((dx, dy, np.abs(dy) + np.abs(dx), i))[ends - n[part]]
+        r[part], c[part] = dy[best], dx[best]
+    return r, c
 
 
 def _stepped(batches):
@@ -49,15 +66,8 @@ def _stepped(batches):
             hit = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want if len(known) else np.zeros(len(left), bool)
             k[left[hit]], r[left[hit]], c[left[hit]] = step, dy, dx
             left = left[~hit]
-        begin = np.concatenate([[0], np.cumsum(sizes[1])])
-        for part in np.split(left, np.flatnonzero(np.diff(np.cumsum(sizes[1][row[left]]) // PAIRS)) + 1) if len(left) else ():
-            n = sizes[1][row[part]]
-            i = np.repeat(np.arange(len(part)), n)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[row[part]][i]
-            dy, dx = ref_y[j] - y[part][i], ref_x[j] - x[part][i]
-            order = np.lexsort((dx, dy, np.abs(dy) + np.abs(dx), i))
-            best = order[np.cumsum(n) - n]
-            r[part], c[part] = dy[best], dx[best]
+        begin = np.cumsum(sizes[1]) - sizes[1]
+        r[left], c[left] = _nearest(y[left], x[left], begin[row[left]], sizes[1][row[left]], ref_y, ref_x)
         yield pa.RecordBatch.from_arrays([batch.column("frame").take(pa.array(row)), pa.array(at), pa.array(k, pa.int32()), pa.array(r), pa.array(c)], names=["frame", "at", "k", "r", "c"])
 
 
@@ -79,48 +89,60 @@ def motion_cascade(blocks: DataFrame) -> DataFrame:
 
 
 def vectors(now: np.ndarray, before: np.ndarray, most_equal: int | None = MOST_EQUAL) -> tuple[np.ndarray, np.ndarray]:
-    """(source, mv) of the blocks of a picture, given as grids of codes (equal blocks have equal codes, -1 is no block).
+    """(source, mv) of the blocks of a picture, given as grids of codes (equal blocks have equal codes, -1 is no block), or of a stack of pictures.
 
     source: 0 zero, 1 neighbour, 2 local, 3 index, -1 none. A block tries no motion; the vectors of the blocks left, above,
     above left and above right; eight directions by 1, 2, 4, 8 blocks around each of these; and the index of all blocks, if
     no more than most_equal are its equals. From the first block in raster order that all but the index
     fail, the index is asked before the local search. A block waits for the four blocks only, so a wave of blocks with
-    the same 2 * row + col is decided at once.
+    the same 2 * row + col is decided at once, in all pictures.
     """
-    first_pass = _waves(now, before, most_equal, np.zeros(now.shape, bool))
-    failed = np.flatnonzero(((first_pass[0] == 3) | (first_pass[0] == -1)) & (now >= 0))
-    if not len(failed):
-        return first_pass
-    asked = (np.arange(now.size) > failed[0]).reshape(now.shape)
-    return _waves(now, before, most_equal, asked)
+    shape = now.shape
+    now, before = (a.reshape(-1, *shape[-2:]) for a in (now, before))
+    source, mv = _waves(now, before, most_equal, np.zeros(now.shape, bool))
+    failed = (((source == 3) | (source == -1)) & (now >= 0)).reshape(len(now), -1)
+    again = np.flatnonzero(failed.any(axis=1))
+    if len(again):
+        asked = np.arange(failed.shape[1]) > failed[again].argmax(axis=1)[:, None]
+        source[again], mv[again] = _waves(now[again], before[again], most_equal, asked.reshape(-1, *shape[-2:]))
+    return source.reshape(shape), mv.reshape(*shape, 2)
 
 
 def _waves(now, before, most_equal, asked):
-    rows, cols = now.shape
-    source, mv = np.full((rows, cols), -1, np.int8), np.zeros((rows, cols, 2), np.int64)
+    pictures, rows, cols = now.shape
+    source, mv = np.full(now.shape, -1, np.int8), np.zeros((*now.shape, 2), np.int64)
     local = np.array([(s * r, s * c) for s in NEAR for r, c in DIRECTIONS])
-    places: dict[int, np.ndarray] = {}
-    for code in np.unique(before[before >= 0]).tolist():
-        places[code] = np.argwhere(before == code)
+    codes = int(max(now.max(initial=0), before.max(initial=0))) + 1
+    ref_g, ref_y, ref_x = np.nonzero(before >= 0)
+    places = ref_g * codes + before[ref_g, ref_y, ref_x]
+    order = np.argsort(places, kind="stable")
+    places, ref_y, ref_x = places[order], ref_y[order], ref_x[order]
 
-    def hits(r, c, v):
+    def hits(g, r, c, v):
         """Which of the vectors v (blocks, vectors, 2) lead to an equal block."""
         y, x = r[:, None] + v[..., 0], c[:, None] + v[..., 1]
         inside = (y >= 0) & (y < rows) & (x >= 0) & (x < cols)
-        return inside & (before[np.clip(y, 0, rows - 1), np.clip(x, 0, cols - 1)] == now[r, c][:, None])
-
-    def indexed(r, c):
-        ref = places.get(int(now[r, c]))
-        if ref is None or (most_equal is not None and len(ref) > most_equal):
-            return None
-        v = ref - (r, c)
-        return min(map(tuple, v.tolist()), key=lambda t: (abs(t[0]) + abs(t[1]), t))
+        return inside & (before[g[:, None], np.clip(y, 0, rows - 1), np.clip(x, 0, cols - 1)] == now[g, r, c][:, None])
+
+    def indexed(g, r, c):
+        """Decide the blocks that the index has an answer for; which ones."""
+        want = g * codes + now[g, r, c]
+        begin = np.searchsorted(places, want)
+        n = np.searchsorted(places, want, "right") - begin
+        if most_equal is not None:
+            n[n > most_equal] = 0
+        found = n > 0
+        g, r, c = g[found], r[found], c[found]
+        source[g, r, c] = 3
+        mv[g, r, c] = np.stack(_nearest(r, c, begin[found], n[found], ref_y, ref_x), axis=1)
+        return found
 
     for wave in range(cols + 2 * (rows - 1)):
         r = np.arange(max(0, -(-(wave - cols + 1) // 2)), min(rows - 1, wave // 2) + 1)
+        g, r = np.repeat(np.arange(pictures), len(r)), np.tile(r, pictures)
         c = wave - 2 * r
-        live = now[r, c] >= 0
-        r, c = r[live], c[live]
+        live = now[g, r, c] >= 0
+        g, r, c = g[live], r[live], c[live]
         if not len(r):
             continue
         candidates, known = [np.zeros((len(r), 2), np.int64)], [np.ones(len(r), bool)]
@@ -128,51 +150,88 @@ def _waves(now, before, most_equal, asked):
             y, x = r + dr, c + dc
             inside = (y >= 0) & (x >= 0) & (x < cols)
             y, x = np.clip(y, 0, rows - 1), np.clip(x, 0, cols - 1)
-            candidates.append(mv[y, x])
-            known.append(inside & (source[y, x] >= 0))
+            candidates.append(mv[g, y, x])
+            known.append(inside & (source[g, y, x] >= 0))
         v, known = np.stack(candidates, axis=1), np.stack(known, axis=1)
-        ok = hits(r, c, v) & known
+        ok = hits(g, r, c, v) & known
         at, got = ok.argmax(axis=1), ok.any(axis=1)
-        source[r[got], c[got]] = np.where(at[got] == 0, 0, 1)
-        mv[r[got], c[got]] = v[got, at[got]]
-        for i in np.flatnonzero(~got & asked[r, c]).tolist():
-            if (found := indexed(r[i], c[i])) is not None:
-                source[r[i], c[i]], mv[r[i], c[i]], got[i] = 3, found, True
+        source[g[got], r[got], c[got]] = np.where(at[got] == 0, 0, 1)
+        mv[g[got], r[got], c[got]] = v[got, at[got]]
+        first = np.flatnonzero(~got & asked[g, r, c])
+        got[first] = indexed(g[first], r[first], c[first])
         left = np.flatnonzero(~got)
         if len(left):
             around = (v[left][:, :, None, :] + local).reshape(len(left), -1, 2)
-            ok = hits(r[left], c[left], around) & np.repeat(known[left], len(local), axis=1)
+            ok = hits(g[left], r[left], c[left], around) & np.repeat(known[left], len(local), axis=1)
             at, near = ok.argmax(axis=1), ok.any(axis=1)
-            source[r[left[near]], c[left[near]]] = 2
-            mv[r[left[near]], c[left[near]]] = around[near, at[near]]
-            for i in left[~near].tolist():
-                if (found := indexed(r[i], c[i])) is not None:
-                    source[r[i], c[i]], mv[r[i], c[i]] = 3, found
+            hit, left = left[near], left[~near]
+            source[g[hit], r[hit], c[hit]] = 2
+            mv[g[hit], r[hit], c[hit]] = around[near, at[near]]
+            indexed(g[left], r[left], c[left])
     return source, mv
 
 
 SOURCES = ("zero", "neighbour", "local", "index")
 
 
+def _coded(batches):
+    """(run, frame, row, col, code) of each picture of rows by run and frame; equal samples have equal codes in a picture and the one before it."""
+    at, known, before, numbers, parts = None, {}, {}, itertools.count(), []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run, frame, row, col = (batch.column(c).to_numpy() for c in ("run", "frame", "row", "col"))
+        px = batch.column("px")
+        ends, samples = px.offsets.to_numpy(), np.ascontiguousarray(px.flatten().to_numpy(zero_copy_only=False), np.int32)
+        ends = (4 * (ends - ends[0])).astype(np.int64)
+        samples = pa.Array.from_buffers(pa.large_binary(), len(px), [None, pa.py_buffer(ends), pa.py_buffer(samples)])
+        cuts = np.flatnonzero((np.diff(frame) != 0) | (np.diff(run) != 0)) + 1
+        for low, high in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            if (run[low], frame[low]) != at:
+                if parts:
+                    yield *at, *map(np.concatenate, zip(*parts, strict=True))
+                at, before, known, parts = (run[low], frame[low]), known, {}, []
+            seen = samples.slice(low, high - low).dictionary_encode()
+            codes = []
+            for v in seen.dictionary.to_pylist():
+                if v not in known:
+                    known[v] = before[v] if v in before else next(numbers)
+                codes.append(known[v])
+            parts.append((row[low:high], col[low:high], np.array(codes, np.int64)[seen.indices.to_numpy()]))
+    if parts:
+        yield *at, *map(np.concatenate, zip(*parts, strict=True))
+
+
+def _decided(held, most_equal):
+    """The vectors of pictures (frame, places and codes, places and codes of the one before it)."""
+    frame, now, was = zip(*held, strict=True)
+    rows, cols = (max(int(p[k].max()) for p in (*now, *was) if len(p[k])) + 1 for k in (0, 1))
+    grids = []
+    for pictures in (now, was):
+        grid = np.full((len(held), rows, cols), -1)
+        g, (r, c, code) = np.repeat(np.arange(len(held)), [len(p[0]) for p in pictures]), map(np.concatenate, zip(*pictures, strict=True))
+        grid[g, r, c] = code
+        grids.append((grid, g, r, c))
+    source, mv = vectors(grids[0][0], grids[1][0], most_equal)
+    g, r, c = grids[0][1:]
+    s = source[g, r, c]
+    names = pa.DictionaryArray.from_arrays(pa.array(s, pa.int8(), mask=s < 0), pa.array(SOURCES)).cast(pa.string())
+    moved = [pa.array(mv[g, r, c, k], pa.int64(), mask=s < 0) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.array(frame)[g]), pa.array(r), pa.array(c), names, *moved], names=["frame", "row", "col", "source", "mv_row", "mv_col"])
+
+
 def _frame_vectors(most_equal: int | None):
-    def work(table: pa.Table) -> pa.Table:
-        frame, row, col, old = (table.column(c).to_numpy() for c in ("frame", "row", "col", "old"))
-        px = table.column("px").combine_chunks()
-        flat, ends = px.flatten().to_numpy(zero_copy_only=False).astype(np.int32), px.offsets.to_numpy()
-        sizes = np.diff(ends)
-        samples = np.full((len(px), int(sizes.max(initial=0))), -1, np.int32)
-        samples[np.arange(samples.shape[1]) < sizes[:, None]] = flat
-        code = np.unique(samples, axis=0, return_inverse=True)[1].ravel()
-        rows, cols = int(row.max()) + 1, int(col.max()) + 1
-        now, before = np.full((rows, cols), -1), np.full((rows, cols), -1)
-        now[row[~old], col[~old]] = code[~old]
-        before[row[old], col[old]] = code[old]
-        source, mv = vectors(now, before, most_equal)
-        r, c = row[~old], col[~old]
-        s = source[r, c]
-        names = np.array([*SOURCES, None], dtype=object)[s]
-        moved = [pa.array(np.where(s >= 0, mv[r, c, k], 0), pa.int64(), mask=s < 0) for k in (0, 1)]
-        return pa.Table.from_arrays([pa.array(frame[~old]), pa.array(r), pa.array(c), pa.array(names, pa.string()), *moved], names=["frame", "row", "col", "source", "mv_row", "mv_col"])
+    def work(batches):
+        held, last, none = [], None, (np.zeros(0, np.int64),) * 3
+        for run, frame, *picture in _coded(batches):
+            if frame // CODED == run:  # else the one before the run
+                held.append((frame, picture, last[2] if last and last[:2] == (run, frame - 1) else none))
+            last = (run, frame, picture)
+            if len(held) == TOGETHER:
+                yield _decided(held, most_equal)
+                held = []
+        if held:
+            yield _decided(held, most_equal)
 
     return work
 
@@ -180,12 +239,14 @@ def _frame_vectors(most_equal: int | None):
 def frame_vectors(blocks: DataFrame, most_equal: int | None = MOST_EQUAL) -> DataFrame:
     """Every block: frame, row, col, source (null if it has no copy in the picture before), mv_row, mv_col, as `vectors` decides.
 
-    A task holds one picture and the one before it.
+    Runs of CODED pictures, and the one before each run, are dealt over all tasks. A task holds the samples of two pictures, and
+    places and codes of TOGETHER pictures, whose waves are decided at once.
     """
-    now = blocks.select(F.col("frame").cast("long"), F.col("row").cast("long"), F.col("col").cast("long"), "px", F.lit(False).alias("old"))
-    last = now.withColumn("frame", F.col("frame") + 1).withColumn("old", F.lit(True))
-    both = now.union(last.join(now.select("frame").distinct(), "frame", "left_semi"))
-    return both.groupBy("frame").applyInArrow(_frame_vectors(most_equal), "frame long, row long, col long, source string, mv_row long, mv_col long")
+    d = blocks.select(*(F.col(c).cast("long").alias(c) for c in ("frame", "row", "col")), "px")
+    run = lambda frame: F.floor(frame / CODED)
+    d = d.withColumn("run", F.explode(F.array_distinct(F.array(run(F.col("frame")), run(F.col("frame") + 1)))))
+    d = dealt(d, "run").sortWithinPartitions("run", "frame")
+    return d.mapInArrow(_frame_vectors(most_equal), "frame long, row long, col long, source string, mv_row long, mv_col long")
 
 
 def motion_totals(found: DataFrame) -> DataFrame:

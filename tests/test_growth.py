@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -43,6 +44,34 @@ def test_cascade_is_the_first_equal_block(spark):
     assert "Generate" not in plan(d)  # samples are not sent once a step
 
 
+def test_vectors_of_many_pictures(spark):
+    """Runs of pictures, some missing, cut by batches anywhere: each is decided as if alone with the one before it."""
+    rng, films, rows = np.random.default_rng(4), {}, []
+    for f in range(-20, 180):
+        last = films.get(f - 1, rng.integers(0, 30, (5, 7)))
+        films[f] = np.where(rng.random((5, 7)) < 0.2, rng.integers(-1, 40, (5, 7)), np.roll(last, int(rng.integers(-2, 3)), 1))
+    for f in (3, 16, 47, 64, 65, 66):
+        del films[f]
+    for f, g in films.items():
+        rows += [(f, r, c, [int(g[r, c])] * (1 + int(g[r, c]) % 3)) for r, c in np.ndindex(5, 7) if g[r, c] >= 0]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 50)
+    try:
+        d = M.frame_vectors(spark.createDataFrame(rows, "frame long, row long, col long, px array<int>"))
+        got = {(r["frame"], r["row"], r["col"]): (r["source"], r["mv_row"], r["mv_col"]) for r in d.collect()}
+    finally:
+        spark.conf.unset(key)
+    want = {}
+    for f, g in films.items():
+        source, mv = M.vectors(g, films.get(f - 1, np.full((5, 7), -1)))
+        want |= {(f, r, c): (M.SOURCES[source[r, c]], *mv[r, c].tolist()) if source[r, c] >= 0 else (None,) * 3 for r, c in np.ndindex(5, 7) if g[r, c] >= 0}
+    assert got == want and {w[0] for w in want.values()} == {*M.SOURCES, None}
+    assert "Union" not in plan(d) and "Join" not in plan(d)  # samples are sent once, not as both pictures
+    stack = np.stack([films[0], films[1]]), np.stack([np.full((5, 7), -1), films[0]])
+    for whole, alone in zip(M.vectors(*stack), zip(*map(M.vectors, *stack), strict=True), strict=True):
+        assert (whole == np.stack(alone)).all()
+
+
 def test_frequencies_of_many_colours(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.randrange(m) for _ in range(n)]) for i, (n, m) in enumerate([(0, 1), (1, 5), (300, 7), (300, 200), (9000, 5000)])] + [(9, None)]
