@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .picture_queries import on_pictures
 from .plans.bridges import table
-from .plans.pictures import COLS, PLANES_SQL, ROWS, planes
+from .plans.pictures import COLS, PLANES_SQL, ROWS, planes, tasks
 from .queries import register
 from .sources import bytestream as Y
 from .sources import frames as V
@@ -49,7 +49,7 @@ def plane_sums(p: DataFrame) -> DataFrame:
 def file_raw_planes(spark, sf_dir):
     """Pictures written as headerless 4:4:4 files, read back by ranges of frames and cut into planes."""
     root = folder(spark)
-    V.write_frames(films(V.frames_of_blocks(whole(spark, sf_dir), ROWS, COLS), root, ".yuv")).write.format("noop").mode("overwrite").save()
+    V.write_frames(films(V.frames_of_blocks(whole(spark, sf_dir), ROWS, COLS), root, ".yuv"), tasks=tasks(spark, sf_dir)).write.format("noop").mode("overwrite").save()
     size = V.frame_bytes(F.lit("444"), F.lit(8), F.lit(WIDTH), F.lit(HEIGHT))
     return plane_sums(V.planes(V.read_frames(V.raw_places(V.files(spark, root), size)), "444", 8, WIDTH, HEIGHT))
 
@@ -67,7 +67,7 @@ def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_y4m_planes(spark, sf_dir):
     """Pictures written as Y4M files of 10-bit 4:2:0, their headers held against the plan, read back and cut into planes."""
     root = folder(spark)
-    V.write_y4m(films(deep(spark, sf_dir), root, ".y4m"), WIDTH, HEIGHT, "30000:1001", "420p10").write.format("noop").mode("overwrite").save()
+    V.write_y4m(films(deep(spark, sf_dir), root, ".y4m"), WIDTH, HEIGHT, "30000:1001", "420p10", tasks=tasks(spark, sf_dir)).write.format("noop").mode("overwrite").save()
     heads = V.y4m_headers(V.files(spark, root))
     planned = heads.select("path", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit("420").alias("sampling"), F.lit(10).alias("depth"))
     return plane_sums(V.planes(V.read_frames(V.y4m_places(V.check_headers(heads, planned))), "420", 10, WIDTH, HEIGHT))
@@ -81,7 +81,7 @@ def file_y4m_digests(spark, sf_dir):
     """Y4M files: what their headers say, and the digest of all frames' bytes as they were written."""
     root = folder(spark)
     sums = f"{root}-sums"
-    V.write_y4m(films(deep(spark, sf_dir), root, ".y4m"), WIDTH, HEIGHT, "30000:1001", "420p10").write.parquet(sums)
+    V.write_y4m(films(deep(spark, sf_dir), root, ".y4m"), WIDTH, HEIGHT, "30000:1001", "420p10", tasks=tasks(spark, sf_dir)).write.parquet(sums)
     film = lambda: F.regexp_extract("path", "film-([01])", 1).cast("long").alias("film")
     heads = V.y4m_headers(V.files(spark, root)).select(film(), "width", "height", "fps", "sampling", F.col("depth").cast("long").alias("depth"))
     return heads.join(spark.read.parquet(sums).select(film(), "frames", "sha256"), "film")
@@ -91,7 +91,7 @@ def file_y4m_digests(spark, sf_dir):
 def file_first_frames(spark, sf_dir):
     """The first frame of each headerless film, by its digest; a film without one would raise."""
     root = folder(spark)
-    V.write_frames(films(V.frames_of_blocks(whole(spark, sf_dir), ROWS, COLS), root, ".yuv")).write.format("noop").mode("overwrite").save()
+    V.write_frames(films(V.frames_of_blocks(whole(spark, sf_dir), ROWS, COLS), root, ".yuv"), tasks=tasks(spark, sf_dir)).write.format("noop").mode("overwrite").save()
     size = V.frame_bytes(F.lit("444"), F.lit(8), F.lit(WIDTH), F.lit(HEIGHT))
     d = V.read_frames(V.clip(V.raw_places(V.files(spark, root), size), 1))
     return d.select(F.regexp_extract("path", "film-([01])", 1).cast("long").alias("film"), "frame", F.sha2("data", 256).alias("sha256"))
@@ -109,7 +109,7 @@ def file_stream_units(spark, sf_dir):
     byte = lambda v: F.unhex(F.lpad(F.hex(v.cast("long")), 2, "0"))
     unit = F.concat(code, byte(F.col("user_id") % 56), byte(F.col("user_id") % 32 * 8 + F.col("event_id") % 7 + 1), F.encode("props", "utf-8"))
     d = e.select(F.concat(F.lit(f"{root}/"), F.col("event_type"), F.lit(".bin")).alias("path"), F.col("event_id").alias("frame"), unit.alias("data"))
-    V.write_frames(d, part=1 << 16).write.format("noop").mode("overwrite").save()
+    V.write_frames(d, part=1 << 16, tasks=e.count() >> 16).write.format("noop").mode("overwrite").save()
     u = Y.units(Y.byte_ranges(V.files(spark, root), 999))
     return u.select(F.regexp_extract("path", r"([^/]*)\.bin$", 1).alias("stream"), F.col("offset").alias("unit_offset"), "unit_type", "layer_id", "temporal_id", "payload_len")
 

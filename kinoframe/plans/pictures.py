@@ -16,6 +16,13 @@ from .bridges import blocks, table
 ROWS, COLS = 16, 24
 #: Blocks of the moving pattern and of the places that change, by id. Fixed values.
 MOVING, CHANGING = (8, 40), (200, 23)
+#: Places of one task: those of 256 pictures.
+PLACES_A_TASK = 256 * ROWS * COLS
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the places need, however few the session shuffles into: what one task sorts does not grow with the table."""
+    return -(-table(spark, sf_dir, "orders").count() // PLACES_A_TASK)
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +32,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = F.col("o_orderkey")
     d = table(spark, sf_dir, "orders").select(F.floor(key / (ROWS * COLS)).alias("frame"), F.floor(key % (ROWS * COLS) / COLS).alias("row"), (key % COLS).alias("col"), "o_custkey")
-    d = dealt(d, "frame")
+    d = dealt(d, "frame", tasks=tasks(spark, sf_dir))
     moving = ((F.col("col") + F.floor(F.col("frame") / 2)) * 7 + F.col("row") * 5) % MOVING[1] + MOVING[0]
     d = d.withColumn("seen", F.when(F.col("o_custkey") % 11 == 0, CHANGING[0] + F.col("o_custkey") % CHANGING[1]).otherwise(moving))
     ids = [low + i for low, n in (MOVING, CHANGING) for i in range(n)]

@@ -296,18 +296,19 @@ def _join(header: bytes, marker: bytes):
     return run
 
 
-def write_frames(frames: DataFrame, header: bytes = b"", marker: bytes = b"", part: int = FRAMES_A_PART) -> DataFrame:
+def write_frames(frames: DataFrame, header: bytes = b"", marker: bytes = b"", part: int = FRAMES_A_PART, tasks: int = 0) -> DataFrame:
     """Write (path, frame, data), the frames of a path in order; lazily, one row a file: path, frames, sha256 of the frames.
 
     Ranges of `part` frame numbers are sorted and written apart, in a folder _parts beside the file; the parts are then joined and
     deleted, and the file moved to its name when whole, so a task that runs again leaves no torn file. A join that runs again when its parts are gone raises.
+    A task sorts the parts that are dealt to it: with about as many `tasks` as parts that is one or a few.
     """
     # dealt by number: an adaptive plan would join parts by their compressed bytes, and a task's sort grow as they shrink
-    d = dealt(frames.withColumn("part", F.floor(F.col("frame") / part).cast("long")), "path", "part").sortWithinPartitions("path", "part", "frame")
+    d = dealt(frames.withColumn("part", F.floor(F.col("frame") / part).cast("long")), "path", "part", tasks=tasks).sortWithinPartitions("path", "part", "frame")
     parts = d.select("path", "part", "data").mapInArrow(_parts, "path string, part long, file string, sizes array<long>")
     return parts.repartition("path").sortWithinPartitions("path", "part").select("path", "file", "sizes").mapInArrow(_join(header, marker), "path string, frames long, sha256 string")
 
 
-def write_y4m(frames: DataFrame, width: int, height: int, fps: str, tag: str) -> DataFrame:
+def write_y4m(frames: DataFrame, width: int, height: int, fps: str, tag: str, tasks: int = 0) -> DataFrame:
     """write_frames as Y4M files, fps as num:den."""
-    return write_frames(frames, b"%s W%d H%d F%s Ip C%s\n" % (MAGIC, width, height, fps.encode(), tag.encode()), MARKER + b"\n")
+    return write_frames(frames, b"%s W%d H%d F%s Ip C%s\n" % (MAGIC, width, height, fps.encode(), tag.encode()), MARKER + b"\n", tasks=tasks)

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from kinoframe.operators import copies as M
 from kinoframe.operators import kernels as A
 from kinoframe.operators import palettes as L
+from kinoframe.plans import pictures as P
 from kinoframe.plans.pictures import pictures
 from kinoframe.sources import frames as V
 
@@ -113,6 +114,19 @@ def test_equal_frames_are_sorted_by_many_tasks(spark, tmp_path):
     assert sorted(r["frames"] for r in done.collect()) == [32, 32] and (tmp_path / "1").read_bytes() == b"x" * 32000
 
 
+def test_more_pictures_are_more_tasks(spark, tmp_path, monkeypatch):
+    """However few partitions the session has: a task must not sort more samples and frames as tables grow."""
+    few = entry.queries()["file_y4m_digests"](spark, DATA).collect()
+    monkeypatch.setattr(P, "PLACES_A_TASK", 100)
+    assert pictures(spark, DATA).rdd.getNumPartitions() == 15
+    many = entry.queries()["file_y4m_digests"](spark, DATA).collect()
+    assert sorted(many) == sorted(few) and len(many) == 2
+    d = spark.createDataFrame([(f"{tmp_path}/a", i, bytes([i])) for i in range(40)], V.FRAME)
+    done = V.write_y4m(d, 1, 1, "1:1", "mono", tasks=40)
+    assert "40), REPARTITION_BY_NUM" in done._jdf.queryExecution().executedPlan().toString()
+    assert [r["frames"] for r in done.collect()] == [40] and (tmp_path / "a").read_bytes().endswith(b"".join(b"FRAME\n" + bytes([i]) for i in range(40)))
+
+
 def test_totals_of_planes(spark):
     d = spark.createDataFrame([("a", 0, 0, [5, 0, 7]), ("a", 0, 1, [])], "path string, frame long, plane int, px array<int>")
     assert sorted(tuple(r) for r in V.plane_totals(d).collect()) == [("a", 0, 0, 3, 12, 26), ("a", 0, 1, 0, 0, 0)]
