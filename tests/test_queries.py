@@ -51,6 +51,15 @@ def test_flat_frames_match_in_place(spark):
     assert {r[0]: tuple(r[1:]) for r in C.motion_matches(df, None).collect()} == got
 
 
+def test_palettes_count_samples_as_they_are(spark, tmp_path):
+    px = [[7] * 64, [10, 11] * 32, [5] * 63 + [6], [0, 1, 2, 3] * 16, [0, 64, 128, 192] * 16, [0, 1, 2, 3, 4] * 12 + [0] * 4, list(range(64))]
+    rows = [(i, 1, [(v + 0.5) / 200 - 0.6 for v in p]) for i, p in enumerate(px)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["block_palettes"](spark, str(tmp_path)).orderBy("block_id").collect()
+    assert [tuple(r)[1:] for r in got] == [(len(set(p)), max(p) - min(p), 2 <= len(set(p)) <= 4) for p in px]
+    assert [r["palette_worthy"] for r in got] == [False, True, True, True, True, False, False]
+
+
 def test_walsh_hadamard_of_every_quarter(spark):
     from kinoframe.operators import blocks as B
 
